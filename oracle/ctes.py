@@ -461,3 +461,42 @@ SELECT 'S' || lpad((page_id // 8)::VARCHAR, 5, '0') AS ticker, page_id, (page_id
   '2024-01-' || lpad((page_id % 28 + 1)::VARCHAR, 2, '0') AS published_at
 FROM pages WHERE page_id % 8 < 5
 """)
+
+# ---- quality scores -------------------------------------------------------------------------
+
+cte("score_dates", "SELECT * FROM (VALUES (DATE '1995-12-31'), (DATE '2001-06-30'), (DATE '2001-11-30')) AS t(as_of)")
+for _t in ("inc", "bal", "cfs"):
+    cte(f"two_{_t}", f"""
+SELECT x.*, d.as_of, row_number() OVER (PARTITION BY ticker, as_of ORDER BY period_end DESC) AS rn
+FROM {_t} AS x JOIN score_dates AS d ON x.period_end <= d.as_of
+""")
+cte("two_years", """
+SELECT c.ticker, c.as_of, c.net_income, c.revenue, c.revenue_strict, c.ebit, c.gross_profit, f.ocf,
+  b.total_assets, b.current_assets, b.current_liabilities, b.long_term_debt, b.shares_issued, b.retained_earnings, b.total_liabilities,
+  coalesce(p.net_income, c.net_income) AS net_income_0, coalesce(p.revenue, c.revenue) AS revenue_0,
+  coalesce(p.gross_profit, c.gross_profit) AS gross_profit_0, coalesce(q.total_assets, b.total_assets) AS total_assets_0,
+  coalesce(q.current_assets, b.current_assets) AS current_assets_0, coalesce(q.current_liabilities, b.current_liabilities) AS current_liabilities_0,
+  coalesce(q.long_term_debt, b.long_term_debt) AS long_term_debt_0, coalesce(q.shares_issued, b.shares_issued) AS shares_issued_0
+FROM two_inc AS c LEFT JOIN two_inc AS p ON p.ticker = c.ticker AND p.as_of = c.as_of AND p.rn = 2
+LEFT JOIN two_bal AS b ON b.ticker = c.ticker AND b.as_of = c.as_of AND b.rn = 1
+LEFT JOIN two_bal AS q ON q.ticker = c.ticker AND q.as_of = c.as_of AND q.rn = 2
+LEFT JOIN two_cfs AS f ON f.ticker = c.ticker AND f.as_of = c.as_of AND f.rn = 1
+WHERE c.rn = 1
+""")
+cte("f_scores", """
+SELECT ticker, as_of, coalesce((net_income / total_assets > 0)::INTEGER, 0) + coalesce((ocf > 0)::INTEGER, 0)
+  + coalesce((ocf > net_income)::INTEGER, 0) + coalesce((net_income / total_assets > net_income_0 / total_assets_0)::INTEGER, 0)
+  + coalesce((coalesce(long_term_debt, 0) / total_assets < coalesce(long_term_debt_0, 0) / total_assets_0)::INTEGER, 0)
+  + coalesce((current_assets / current_liabilities > current_assets_0 / current_liabilities_0)::INTEGER, 0)
+  + coalesce((shares_issued <= shares_issued_0)::INTEGER, 0)
+  + coalesce((gross_profit / revenue > gross_profit_0 / revenue_0)::INTEGER, 0)
+  + coalesce((revenue / total_assets > revenue_0 / total_assets_0)::INTEGER, 0) AS f_score
+FROM two_years
+""")
+cte("z_scores", """
+SELECT t.ticker, t.as_of, 1.2e0 * ((current_assets - current_liabilities) / total_assets) + 1.4e0 * (retained_earnings / total_assets)
+  + 3.3e0 * (ebit / total_assets)
+  + 0.6e0 * (nullif(shares_outstanding, 0) * coalesce(nullif(last_price, 0), nullif(alt_price, 0)) / total_liabilities)
+  + 1e0 * (revenue_strict / total_assets) AS altman_z
+FROM two_years AS t JOIN companies AS c ON c.ticker = t.ticker
+""")

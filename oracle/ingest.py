@@ -6,7 +6,7 @@ SELECT l.ticker, l.statement, l.line_item, d.p AS period_end, s.value
 FROM (SELECT DISTINCT ticker, statement, line_item FROM statements) AS l
 CROSS JOIN (SELECT make_date(y::INTEGER, 12, 31) AS p FROM generate_series(1995, 2000) AS g(y)) AS d
 LEFT JOIN statements AS s ON s.ticker = l.ticker AND s.line_item = l.line_item AND s.statement = l.statement
-  AND s.period_end = d.p""", r2=["value"]),
+  AND s.period_end = d.p""", r6=["value"]),
     "s2_current_price": build("""
 SELECT ticker, coalesce(nullif(last_price, 0), nullif(alt_price, 0)) AS current_price FROM companies""", r6=["current_price"]),
     "s3_current_shares": build("SELECT ticker, nullif(shares_outstanding, 0) AS shares_outstanding FROM companies"),

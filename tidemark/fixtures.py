@@ -11,8 +11,15 @@ AS_OF = ("2000-06-30", "2001-06-30")
 LAST_DAY = "2001-11-30"
 
 
+_SCANS: dict = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """Lazy scan; the handle (not the data) is kept so the file footer is read once."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _SCANS:
+        _SCANS[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return _SCANS[key]
 
 
 def _dec(c: Column) -> Column:

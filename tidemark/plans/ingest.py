@@ -14,13 +14,13 @@ from tidemark.session import shared_dir
 from tidemark.sources import integrity, market, news, sinks, snapshots, statements as st
 
 
-@query(money=("value",))
+@query()
 def s1_statements_long(t):
     """Wide statements (one column per period) unpivoted to one row per cell."""
     years = [f"{y}-12-31" for y in range(1995, 2001)]
     wide = (
-        t.statements.groupBy("ticker", "statement", "line_item")
-        .pivot("period_end", [F.lit(y).cast("date") for y in years]).agg(F.max("value"))
+        t.statements.withColumn("period", F.col("period_end").cast("string"))
+        .groupBy("ticker", "statement", "line_item").pivot("period", years).agg(F.max("value"))
     )
     return st.to_long(wide)
 

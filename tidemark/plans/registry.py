@@ -13,13 +13,15 @@ class Tables:
     """Fixture tables by attribute, derived lazily from one data directory."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir, self._made = spark, sf_dir, {}
 
     def raw(self, name: str) -> DataFrame:
         return fixtures.table(self.spark, self.sf_dir, name)
 
     def __getattr__(self, name: str) -> DataFrame:
-        return getattr(fixtures, name)(self.spark, self.sf_dir)
+        if name not in self._made:
+            self._made[name] = getattr(fixtures, name)(self.spark, self.sf_dir)
+        return self._made[name]
 
 
 def rounded(df: DataFrame, money=()) -> DataFrame:
