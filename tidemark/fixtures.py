@@ -481,3 +481,38 @@ def snapshots_raw(spark, sf_dir) -> DataFrame:
         F.col("ticker").alias("file_ticker"), k.alias("k"),
         F.when(mod(k, 21), F.substring(doc, 1, 12)).otherwise(doc).alias("doc"),
     )
+
+
+def median_documents(spark, sf_dir) -> DataFrame:
+    """One stored snapshot per nation, each with one of twelve conditions."""
+    n = F.col("n_nationkey")
+    kind = n % 12
+    stats = (
+        table(spark, sf_dir, "customer")
+        .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == n)
+        .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+        .groupBy("r_name")
+        .agg((F.sum(F.col("c_acctbal").cast("decimal(18,2)")).cast("double") / 1e6).alias("m"),
+             (F.count(F.lit(1)) % 5).alias("c"))
+    )
+    maps = stats.agg(
+        F.map_from_entries(F.collect_list(F.struct("r_name", "m"))).alias("sector_medians"),
+        F.map_from_entries(F.collect_list(F.struct("r_name", "c"))).alias("sector_sample_counts"),
+    ).withColumn("one", F.lit(1))
+    stamp = (
+        F.when(kind == 3, "yesterday").when(kind == 4, "2001-06-30T12:00:00")
+        .when(kind == 5, "2001-06-27T12:00:00+00:00").when(kind == 2, F.lit(None))
+        .otherwise("2001-06-30T12:00:00+00:00")
+    )
+    doc = F.to_json(F.struct(
+        stamp.alias("generated_at"),
+        F.when(kind == 6, F.lit(None)).when(kind == 8, 0).otherwise(100).alias("universe_size"),
+        F.when(kind == 7, -1).when(kind == 9, 49).otherwise(80).alias("tickers_used"),
+        F.when(kind != 11, F.lit(0.045)).alias("risk_free_rate"),
+        F.struct(F.when(kind == 10, 0.03).otherwise(0.025).alias("terminal_growth_rate"))
+        .alias("assumptions"),
+        "sector_medians", "sector_sample_counts",
+    ))
+    return table(spark, sf_dir, "nation").withColumn("one", F.lit(1)).join(maps, "one").select(
+        n.alias("doc_id"), F.when(kind == 1, F.substring(doc, 1, 40)).otherwise(doc).alias("doc")
+    )

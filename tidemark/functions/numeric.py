@@ -61,3 +61,14 @@ def first_reason(*checks) -> Column:
 
 def double_array(values) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
+
+
+def fence(df, names):
+    """Compute the named columns here, once.
+
+    A filter on a computed column is normally rewritten in terms of its inputs, which copies
+    long expression chains many times over. Passing the values through a one-row generator
+    keeps them as plain attributes; it adds no shuffle.
+    """
+    rest = [c for c in df.columns if c not in names]
+    return df.select(*rest, F.inline(F.array(F.struct(*names))))

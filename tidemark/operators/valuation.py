@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions import valuation as V
-from tidemark.functions.numeric import first_reason, is_finite, ratio
+from tidemark.functions.numeric import fence, first_reason, is_finite, ratio
 from tidemark.operators import asof
 from tidemark.operators.fundamentals import capital_input_error, valuation_inputs
 from tidemark.params import DcfParams, ScanParams
@@ -42,6 +42,7 @@ def value_companies(df: DataFrame, p: DcfParams = DcfParams(), **overrides) -> D
     Narrow: one projection chain. The explicit years are unrolled in the expression.
     """
     out = assumption_columns(df, p, **overrides)
+    given = set(out.columns)
     rate = V.wacc("price", "shares", "total_debt", "beta", "risk_free", "debt_cost", "tax_rate", p)
     out = out.withColumn("wacc", rate)
     last = V.fcf_in("revenue", "growth", "margin", "tax_rate", F.lit(float(p.years)), p)
@@ -69,7 +70,8 @@ def value_companies(df: DataFrame, p: DcfParams = DcfParams(), **overrides) -> D
         "market_enterprise_value": market_ev,
         "fcf_yield": V.fcf_yield("ocf", "capex", market_ev),
     })
-    return out.withColumn("dcf_error", dcf_error())
+    out = out.withColumn("dcf_error", dcf_error())
+    return fence(out, [c for c in out.columns if c not in given])
 
 
 def dcf_error() -> Column:
@@ -169,6 +171,7 @@ def valuations(rows: DataFrame, p: DcfParams = DcfParams()) -> DataFrame:
     ))
     values = ("price", "intrinsic_value", "price_to_intrinsic", "wacc", "beta", "fcf_yield",
               "tax_rate", "fcf_growth", "roic")
-    return v.withColumn("approximations", F.when(kept, notes).otherwise(
+    out = v.withColumn("approximations", F.when(kept, notes).otherwise(
         F.array().cast("array<string>")
     )).withColumns({c: F.when(kept, F.col(c)) for c in values}).select(*VALUATION_COLUMNS)
+    return fence(out, ["skip_reason", "approximations", *values]).select(*VALUATION_COLUMNS)
