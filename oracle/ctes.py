@@ -464,7 +464,7 @@ FROM pages WHERE page_id % 8 < 5
 
 # ---- quality scores -------------------------------------------------------------------------
 
-cte("score_dates", "SELECT * FROM (VALUES (DATE '1995-12-31'), (DATE '2001-06-30'), (DATE '2001-11-30')) AS t(as_of)")
+cte("score_dates", "SELECT * FROM (VALUES (DATE '1995-12-31'), (DATE '2001-06-30'), (DATE '2001-08-31')) AS t(as_of)")
 for _t in ("inc", "bal", "cfs"):
     cte(f"two_{_t}", f"""
 SELECT x.*, d.as_of, row_number() OVER (PARTITION BY ticker, as_of ORDER BY period_end DESC) AS rn

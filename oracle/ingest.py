@@ -33,7 +33,7 @@ SELECT ticker, pos, title, publisher, url AS link, 1700000000 + page_id AS publi
 WHERE title IS NOT NULL AND NOT nested"""),
     "s12_ticker_context": build("""
 SELECT n.ticker, coalesce((SELECT arg_max(close, date) / 100e0 FROM macro_prices AS m WHERE m.ticker = '^RF'
-    AND date BETWEEN DATE '2001-11-20' AND DATE '2001-11-30'), 0.042e0) AS risk_free,
+    AND date BETWEEN DATE '2001-08-21' AND DATE '2001-08-31'), 0.042e0) AS risk_free,
   (SELECT arg_max(close, date) FROM macro_prices AS m WHERE m.ticker = '^VIX') AS vix,
   string_agg(n.title, '; ' ORDER BY n.pos) AS titles
 FROM news_items AS n WHERE n.title IS NOT NULL GROUP BY n.ticker""", r6=["risk_free", "vix"]),

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 AS_OF = ("2000-06-30", "2001-06-30")
-LAST_DAY = "2001-11-30"
+LAST_DAY = "2001-08-31"
 
 
 _SCANS: dict = {}
@@ -516,3 +516,68 @@ def median_documents(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "nation").withColumn("one", F.lit(1)).join(maps, "one").select(
         n.alias("doc_id"), F.when(kind == 1, F.substring(doc, 1, 40)).otherwise(doc).alias("doc")
     )
+
+
+def portfolio_picks(spark, sf_dir) -> DataFrame:
+    """The first twelve companies of each industry, as one portfolio per industry."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("industry").orderBy("universe_pos")
+    return (
+        companies(spark, sf_dir).withColumn("pick_rank", F.row_number().over(w))
+        .filter(F.col("pick_rank") <= 12)
+        .select(F.col("industry").alias("portfolio_id"), "ticker", "sector", "beta", "pick_rank")
+    )
+
+
+def holdings(spark, sf_dir) -> DataFrame:
+    """One portfolio per nation: the five region series and a name without prices."""
+    n = F.col("n_nationkey")
+    slots = F.array(*[
+        F.struct(F.lit(f"R_{r}").alias("ticker"), (((n + i) % 4) / 10.0).alias("weight"))
+        for i, r in enumerate(("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"))
+    ], F.struct(F.lit("UNPRICED").alias("ticker"), ((n % 10) / 5.0).alias("weight")))
+    single = F.array(
+        F.struct(F.when(n % 12 == 5, "IDX").otherwise("UNPRICED").alias("ticker"),
+                 F.lit(0.9).alias("weight"))
+    )
+    return table(spark, sf_dir, "nation").select(
+        F.concat(F.lit("P"), n).alias("portfolio_id"),
+        F.inline(F.when(n % 6 == 5, single).otherwise(slots)),
+    )
+
+
+def risk_prices(spark, sf_dir) -> DataFrame:
+    return region_prices(spark, sf_dir).unionByName(
+        macro_prices(spark, sf_dir).filter("ticker = 'IDX'")
+    )
+
+
+def region_curves(spark, sf_dir) -> DataFrame:
+    """Daily curve of each region against the index."""
+    idx = macro_prices(spark, sf_dir).filter("ticker = 'IDX'").select(
+        "date", F.col("close").alias("benchmark")
+    )
+    return region_prices(spark, sf_dir).join(idx, "date").select(
+        "ticker", "date", F.col("close").alias("strategy"), "benchmark"
+    )
+
+
+def hedge_positions(spark, sf_dir) -> DataFrame:
+    """Held options around the money, plus ordinary equities that must be ignored."""
+    k = F.col("p_partkey")
+    return table(spark, sf_dir, "part").filter((k % 53).between(17, 20)).select(
+        F.concat(F.lit("SPY"), F.lpad(k.cast("string"), 7, "0")).alias("symbol"),
+        F.when(k % 5 == 0, "us_equity").otherwise("us_option").alias("asset_class"),
+        (1.0 + k % 2).alias("qty"), (0.1 * (1 + k % 3)).alias("market_value"),
+    )
+
+
+def hedge_requests(spark, sf_dir) -> DataFrame:
+    c = F.col("c_custkey")
+    equity = 50000.0 + 1000.0 * (c % 100)
+    return table(spark, sf_dir, "customer").select(
+        F.col("c_name").alias("portfolio_id"), F.lit("SPY").alias("underlying"),
+        equity.alias("equity"), F.col("c_acctbal").alias("var_dollars"),
+        F.when(c % 3 != 0, 0.01 * equity * (c % 5)).alias("buying_power"),
+    )

@@ -1,0 +1,148 @@
+"""Portfolio construction and trade plans."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark import fixtures as fx
+from tidemark.operators import asof, hedging, lookup, orders, portfolio as pf
+from tidemark.plans.common import landed_valuations
+from tidemark.plans.registry import query
+
+EQUITY = 100_000.0
+
+
+def weights(t):
+    return pf.inverse_beta_weights(t.portfolio_picks)
+
+
+@query()
+def p1_inverse_beta_weights(t):
+    return weights(t).select("portfolio_id", "ticker", "pick_rank", "weight")
+
+
+@query()
+def p2_capped_distribution(t):
+    """Half of each portfolio is spread again over its names, none above 15 percent."""
+    half = weights(t).withColumn("weight", F.least(F.col("weight") / 2, F.lit(0.15))).withColumn(
+        "amount", F.lit(0.5)
+    )
+    return pf.distribute_capped(half, "amount", 0.15).select(
+        "portfolio_id", "ticker", "weight", "new_weight"
+    )
+
+
+@query()
+def p3_capped_weights(t):
+    return pf.capped_weights(t.portfolio_picks)
+
+
+@query()
+def a10_sector_totals(t):
+    return pf.sector_totals(weights(t))
+
+
+@query()
+def p4_liquidation_plan(t):
+    v = landed_valuations(t).filter(F.col("as_of") == F.lit(fx.AS_OF[1]).cast("date"))
+    targets = t.portfolio_picks.filter("pick_rank <= 3").select("ticker").distinct()
+    return pf.liquidation_plan(t.positions, targets, v)
+
+
+@query()
+def p5_rebalance_plan(t):
+    return pf.rebalance_plan(weights(t), t.positions, EQUITY).select(
+        "portfolio_id", "ticker", "side", "target_notional", "current_notional", "order_notional",
+        "status",
+    )
+
+
+@query()
+def p6_cent_allocation(t):
+    plan = pf.rebalance_plan(weights(t), t.positions, EQUITY)
+    return pf.fit_to_buying_power(plan, 33_333.33).select(
+        "portfolio_id", "ticker", "side", "order_notional", "scaled", "status"
+    )
+
+
+def post_fill(t):
+    k = F.col("universe_pos")
+    sectors = t.companies.select(F.col("ticker").alias("symbol"), "sector")
+    excess = F.col("market_value") - 0.15 * EQUITY
+    trims = t.positions.join(
+        t.companies.select(F.col("ticker").alias("symbol"), "universe_pos"), "symbol"
+    ).filter(k % 3 != 0).select(
+        "symbol", F.when(k % 3 == 1, excess).otherwise(excess / 2).alias("trimmed")
+    )
+    return pf.post_fill_check(t.positions, sectors, trims, EQUITY)
+
+
+@query()
+def p7_post_fill_check(t):
+    return post_fill(t)
+
+
+@query()
+def p7_caps_resolved(t):
+    return pf.caps_resolved(post_fill(t))
+
+
+@query()
+def p8_fill_labels(t):
+    o = orders.resolve_orders(t.order_events)
+    return o.select("order_id", orders.fill_label("liquidation").alias("liquidation"),
+                    orders.fill_label("rebalance").alias("rebalance"))
+
+
+@query()
+def p9_holdings_weights(t):
+    return pf.holdings_of(t.positions, EQUITY)
+
+
+@query()
+def j8_positions_against_targets(t):
+    targets = t.portfolio_picks.filter("pick_rank <= 3").select(
+        F.col("ticker").alias("symbol")).distinct()
+    left = t.positions.join(targets, "symbol", "left_anti").select(
+        "symbol", F.lit("left_targets").alias("kind"), "market_value"
+    )
+    held = t.positions.select("symbol", "market_value")
+    kept = targets.join(held, "symbol", "left").select(
+        "symbol", F.lit("target").alias("kind"),
+        F.coalesce("market_value", F.lit(0.0)).alias("market_value"),
+    )
+    return left.unionByName(kept)
+
+
+@query()
+def j9_exits_not_rebought(t):
+    done = orders.resolve_orders(t.order_events).withColumn(
+        "status", orders.fill_label("liquidation"))
+    return pf.keep_after_exits(t.companies.select("ticker"), done)
+
+
+def spot_quotes(t):
+    grid = asof.date_grid(t.spark, [fx.AS_OF[1]])
+    spot = asof.as_of_price(t.macro_prices.filter("ticker = 'IDX'"), grid)
+    return spot.select(F.lit("SPY").alias("underlying"), "as_of", F.col("price").alias("spot"))
+
+
+@query()
+def j10_nearest_contract(t):
+    return hedging.nearest_contract(t.option_chain, spot_quotes(t))
+
+
+@query()
+def a11_hedge_exposure(t):
+    chosen = hedging.nearest_contract(t.option_chain, spot_quotes(t))
+    return hedging.hedge_exposure(t.hedge_positions, chosen)
+
+
+@query()
+def p10_hedge_plan(t):
+    return hedging.hedge_plan(t.hedge_requests, t.option_chain, spot_quotes(t), t.hedge_positions)
+
+
+@query()
+def k3_allocation_view(t):
+    return lookup.allocation(t.positions.select("symbol", "market_value"), EQUITY)
