@@ -1 +1,124 @@
-SQL: dict[str, str] = {}
+from oracle.ctes import build, cte
+from tidemark.operators import second_opinion as so
+from tidemark.params import METRIC_TOLERANCES, SensitivityGrids
+from tidemark.operators.sensitivity import OUTPUTS, scenarios
+
+cte("second_source", f"""
+SELECT h.*, m.pretax, m.tax_provision, m.interest, m.total_debt, m.cash, m.price, m.shares, m.beta, m.risk_free
+FROM ({so.history_sql("SELECT ticker, period_end - DATE '1970-01-01' AS day_no, revenue, ebit FROM inc WHERE revenue IS NOT NULL")}) AS h
+JOIN market_rows AS m ON m.ticker = h.ticker AND m.as_of = DATE '2001-06-30'
+""")
+cte("second_days", so.as_sql("SELECT * FROM second_source", so.dcf_stages("days")))
+cte("second_periods", "SELECT * FROM (" + so.as_sql("SELECT * FROM second_source", so.dcf_stages("periods")) + ") WHERE wacc IS NOT NULL")
+cte("made", f"""
+SELECT v.*, {", ".join(f"f.f{y} AS fcf_{y}" for y in range(1, 6))} FROM dcf AS v JOIN (
+  SELECT ticker, as_of, {", ".join(f"max(fcf) FILTER (y = {y}) AS f{y}" for y in range(1, 6))} FROM flows GROUP BY 1, 2) AS f
+  ON f.ticker = v.ticker AND f.as_of = v.as_of WHERE v.as_of = DATE '2001-06-30' AND price > 0 AND wacc > 0.025e0
+""")
+COLUMNS = {
+    "revenue_cagr": ("growth", "capped_cagr"), "operating_margin": ("margin", "avg_margin"), "wacc": ("wacc", "wacc"),
+    **{f"fcf_year_{y}": (f"fcf_{y}", f"fcf_{y}") for y in range(1, 6)},
+    **{m: (m, m) for m in ("terminal_value", "pv_explicit_fcf", "pv_terminal_value", "enterprise_value", "equity_value")},
+    "intrinsic_value_per_share": ("intrinsic_value", "intrinsic_value"),
+}
+
+
+def melted(source: str, side: int, tweak=None) -> str:
+    parts = []
+    for i, m in enumerate(METRIC_TOLERANCES):
+        value = (tweak or {}).get(m, COLUMNS[m][side])
+        parts.append(f"SELECT ticker, '{m}' AS metric, {i} AS metric_pos, {value} AS value FROM {source}")
+    return " UNION ALL ".join(parts)
+
+
+TOLS = ", ".join(f"('{m}', '{k}', {t!r}::DOUBLE)" for m, (k, t) in METRIC_TOLERANCES.items())
+
+
+def compared(left: str, right: str) -> str:
+    return f"""
+SELECT ticker, j.metric, metric_pos, produced, expected, CASE WHEN kind = 'rate' THEN 'percentage_points' WHEN expected = 0 THEN 'absolute' ELSE 'relative' END AS difference_kind,
+  CASE WHEN kind = 'rate' THEN tol * 100 WHEN expected = 0 THEN 1e-6 ELSE tol END AS tolerance,
+  coalesce(CASE WHEN kind = 'rate' THEN abs(produced - expected) <= tol WHEN expected = 0 THEN abs(produced) <= 1e-6
+    ELSE abs(produced - expected) / abs(expected) <= tol END, false) AS passed
+FROM (SELECT coalesce(a.ticker, b.ticker) AS ticker, coalesce(a.metric, b.metric) AS metric, coalesce(a.metric_pos, b.metric_pos) AS metric_pos,
+    a.value AS produced, b.value AS expected FROM ({left}) AS a FULL JOIN ({right}) AS b ON a.ticker = b.ticker AND a.metric = b.metric) AS j
+JOIN (VALUES {TOLS}) AS k(metric, kind, tol) ON k.metric = j.metric"""
+
+
+cte("made_melted", melted("made", 0))
+cte("second_melted", melted("second_periods", 1))
+cte("base_compared", compared("SELECT * FROM made_melted", "SELECT * FROM second_melted"))
+GRID = ", ".join("(" + ", ".join("NULL::DOUBLE" if v is None else (str(v) if i < 2 else f"{v!r}::DOUBLE") for i, v in enumerate(r)) + ")"
+                 for r in scenarios(SensitivityGrids()))
+cte("grid", f"SELECT * FROM (VALUES {GRID}) AS g(table_no, pos, s_wacc, s_terminal, s_growth, s_margin)")
+cte("second_cells", so.as_sql("SELECT s.*, g.* FROM second_periods AS s, grid AS g", so.cell_stages()))
+# The library's base case renamed to the second formulation's column names.
+cte("made_cells", so.as_sql("""SELECT m.ticker, m.revenue AS rev_last, m.growth AS capped_cagr, m.margin AS avg_margin, m.tax_rate AS tax_used, m.wacc,
+  coalesce(m.total_debt, 0e0) AS debt_used, coalesce(m.cash, 0e0) AS cash_used, m.shares, g.* FROM made AS m, grid AS g""", so.cell_stages()))
+NAMES = sorted({o for outs in OUTPUTS.values() for o in outs})
+
+
+def melted_cells(source: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT ticker, table_no, pos, '{o}' AS output, cell_{o} AS value FROM {source} WHERE table_no IN ({', '.join(str(t) for t, outs in OUTPUTS.items() if o in outs)})"
+        for o in NAMES)
+
+
+cte("cells_compared", f"""
+SELECT a.ticker, a.table_no::INTEGER AS table_no, a.pos::INTEGER AS pos, a.output,
+  CASE WHEN a.value IS NULL OR b.value IS NULL THEN 'missing' WHEN b.value = 0 THEN 'absolute' ELSE 'relative' END AS kind,
+  CASE WHEN a.value IS NULL OR b.value IS NULL THEN a.value IS NULL AND b.value IS NULL WHEN b.value = 0 THEN abs(a.value) <= 1e-6
+    ELSE abs(a.value - b.value) / abs(b.value) <= CASE WHEN a.output LIKE 'fcf%' THEN 0.001e0 WHEN a.output = 'intrinsic_value' THEN 0.005e0 ELSE 0.002e0 END END AS passed
+FROM ({melted_cells("made_cells")}) AS a JOIN ({melted_cells("second_cells")}) AS b
+  ON a.ticker = b.ticker AND a.table_no = b.table_no AND a.pos = b.pos AND a.output = b.output
+""")
+cte("injected", """
+SELECT *, final_fcf * 1.025e0 / wacc AS bad_tv, final_fcf * 1.025e0 / wacc / pow(1 + wacc, 5) AS bad_pv FROM made
+""")
+MONEY = ["terminal_value", "pv_explicit_fcf", "pv_terminal_value", "enterprise_value", "equity_value"]
+DIVERGENCE = """
+SELECT ticker, arg_min(metric, metric_pos) FILTER (NOT passed) AS first_divergence, count(*) FILTER (NOT passed) AS failures FROM {0} GROUP BY 1"""
+
+SQL = {
+    "x23_second_dcf": build(f"""
+SELECT ticker, raw_cagr, capped_cagr, avg_margin, tax_used, tax_method, debt_cost_used, debt_method, raw_wacc, wacc, {', '.join(MONEY)}, intrinsic_value FROM second_days""",
+        r2=MONEY, r6=["raw_cagr", "capped_cagr", "avg_margin", "tax_used", "debt_cost_used", "raw_wacc", "wacc", "intrinsic_value"]),
+    "j12_full_outer_compare": build("SELECT ticker, metric, produced, expected, passed FROM (" + compared(
+        "SELECT * FROM made_melted WHERE ticker NOT LIKE '%5'", "SELECT * FROM second_melted WHERE ticker NOT LIKE '%7'") + ") WHERE metric_pos < 3",
+        r2=["produced", "expected"]),
+    "l3_tolerance_compare": build("SELECT ticker, metric, difference_kind, tolerance, passed FROM base_compared", r6=["tolerance"]),
+    "l5_base_reconciliation": build(DIVERGENCE.format("base_compared")),
+    "w15_first_divergence": build(DIVERGENCE.format("(" + compared(
+        melted("made", 0, {"wacc": "wacc + CASE WHEN ticker LIKE '%3' THEN 0.01e0 ELSE 0e0 END"}), "SELECT * FROM second_melted") + ")")),
+    "a13_directional_bias": build("""
+SELECT metric, above, below, above + below >= 2 AND (above = 0 OR below = 0) AS biased FROM (
+  SELECT metric, count(*) FILTER (d > 0) AS above, count(*) FILTER (d < 0) AS below FROM (
+    SELECT metric, CASE WHEN abs(produced - expected) <= 1e-9 * abs(expected) THEN 0 ELSE produced - expected END AS d FROM base_compared) GROUP BY 1)"""),
+    "l4_cell_compare": build("SELECT * FROM cells_compared"),
+    "a15_coverage": build("""
+SELECT ticker, table_no, count(DISTINCT pos) AS scenarios, count(DISTINCT output) AS outputs, count(*) AS scalars, bool_and(passed) AS all_passed
+FROM cells_compared GROUP BY 1, 2"""),
+    "w14_monotonic": build("""
+SELECT ticker, table_no::INTEGER AS table_no, bool_and(coalesce(CASE WHEN table_no = 1 THEN step <= 1e-9 ELSE step >= -1e-9 END, true)) AS monotonic
+FROM (SELECT ticker, table_no, cell_intrinsic_value - lag(cell_intrinsic_value) OVER (PARTITION BY ticker, table_no ORDER BY pos) AS step
+  FROM made_cells WHERE table_no < 5 AND cell_intrinsic_value IS NOT NULL) GROUP BY 1, 2"""),
+    "l6_sensitivity_reconciliation": build("""
+SELECT ticker, count(*) AS scalars, count(*) FILTER (NOT passed) AS failures, bool_and(passed) AS all_passed FROM cells_compared GROUP BY 1"""),
+    "a14_verdict": build("SELECT ticker FROM base_compared GROUP BY 1 HAVING NOT bool_and(passed)"),
+    "l16_reconciliation_run": build("""
+SELECT b.p AS base_pass, b.f AS base_failing, c.p AS sensitivity_pass, c.f AS sensitivity_failing, b.p AND c.p AS overall_pass
+FROM (SELECT bool_and(ok) AS p, count(*) FILTER (NOT ok) AS f FROM (SELECT bool_and(passed) AS ok FROM base_compared GROUP BY ticker)) AS b,
+  (SELECT bool_and(ok) AS p, count(*) FILTER (NOT ok) AS f FROM (SELECT bool_and(passed) AS ok FROM cells_compared GROUP BY ticker)) AS c"""),
+    "l7_error_injection": build("""
+SELECT ticker, u.metric, u.d AS difference, u.t AS tolerance, u.d > u.t AS detected FROM (
+  SELECT ticker, unnest([{'metric': 'terminal_value', 'd': abs(terminal_value - bad_tv) / abs(terminal_value), 't': 0.002e0},
+    {'metric': 'pv_terminal_value', 'd': abs(pv_terminal_value - bad_pv) / abs(pv_terminal_value), 't': 0.002e0},
+    {'metric': 'enterprise_value', 'd': abs(pv_terminal_value - bad_pv) / abs(enterprise_value), 't': 0.002e0},
+    {'metric': 'equity_value', 'd': abs(pv_terminal_value - bad_pv) / abs(equity_value), 't': 0.002e0},
+    {'metric': 'intrinsic_value', 'd': abs(pv_terminal_value - bad_pv) / abs(equity_value), 't': 0.005e0}]) AS u FROM injected)""", r6=["difference", "tolerance"]),
+    "l15_fiscal_calendar": build("""
+SELECT ticker, count(*) AS periods, (max(p) - min(p)) / 365.25e0 AS years_actual, count(*) - 1e0 AS years_naive,
+  abs((max(p) - min(p)) / 365.25e0 - (count(*) - 1)) > 0.05e0 AS irregular
+FROM (SELECT ticker, CASE WHEN substr(ticker, 2)::INTEGER % 6 = 0 AND period_end = DATE '2000-12-31' THEN DATE '2001-03-31' ELSE period_end END AS p FROM inc)
+GROUP BY 1""", r6=["years_actual", "years_naive"]),
+}
