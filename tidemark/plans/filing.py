@@ -1,0 +1,136 @@
+"""Regulatory facts, provenance and data-quality checks."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark.operators import facts as fa, manifest as mf
+from tidemark.plans.registry import query
+from tidemark.session import land
+from tidemark.sources import integrity, snapshots as sn
+
+
+def scanned(t):
+    """Parsed facts, landed because every later step reads them."""
+    return land(fa.scan_facts(t.xbrl_facts_raw), "facts")
+
+
+@query(money=("val",))
+def l8_fact_filter(t):
+    return fa.annual_facts(fa.scan_facts(t.xbrl_facts_raw)).select(
+        "ticker", "tag", "start", "end", "val", "accn", "filed"
+    )
+
+
+@query(money=("val",))
+def w13_first_filed(t):
+    firsts = fa.first_filed(fa.annual_facts(fa.scan_facts(t.xbrl_facts_raw)))
+    return firsts.select("ticker", "tag", "end", "val", "accn", "filed")
+
+
+@query(money=("val",))
+def u3_tag_merge(t):
+    firsts = fa.first_filed(fa.annual_facts(fa.scan_facts(t.xbrl_facts_raw)))
+    return fa.merge_tags(firsts, fa.FIELD_TAGS["revenue"], "revenue").select(
+        "ticker", "end", "tag", "val", "accn"
+    )
+
+
+@query()
+def j6_tag_intersection(t):
+    return fa.latest_complete_year(fa.merged_fields(fa.scan_facts(t.xbrl_facts_raw)))
+
+
+@query(money=("revenue", "ebit"))
+def w17_last_five_years(t):
+    years = fa.history_years(fa.merged_fields(fa.scan_facts(t.xbrl_facts_raw)))
+    return years.select("ticker", "end", "revenue", "ebit", "revenue_tag", "years_back")
+
+
+@query(money=("total_debt",))
+def a16_debt_rollup(t):
+    f = scanned(t)
+    return fa.debt_rollup(f, fa.latest_complete_year(fa.merged_fields(f)))
+
+
+@query(money=("revenue", "pretax", "tax", "interest", "cash", "total_debt"))
+def l9_company_extraction(t):
+    return fa.extract_companies(scanned(t)).select(
+        "ticker", "latest_end", "revenue", "pretax", "tax", "interest", "revenue_accn", "cash",
+        "total_debt", "method", "component_tags", "history_years", "first_year",
+    )
+
+
+@query()
+def x24_filing_urls(t):
+    return fa.scan_facts(t.xbrl_facts_raw).select("cik", "accn").distinct().select(
+        "accn", fa.filing_url("cik", "accn").alias("url")
+    )
+
+
+def market_side(t):
+    return t.companies.select(
+        "ticker", F.col("alt_price").alias("price"), F.col("shares_outstanding").alias("shares"),
+        "beta", "sector", F.lit("2001-06-30T00:00:00Z").alias("retrieved_at"),
+    )
+
+
+@query(money=("raw_value",))
+def u4_provenance_rows(t):
+    return mf.build(scanned(t), market_side(t))
+
+
+def damaged_manifest(t):
+    """The manifest with one kind of damage per ticker group."""
+    rows = mf.build(scanned(t), market_side(t))
+    k = F.substring("ticker", 2, 5).cast("int") % 12
+    field = F.col("field")
+    out = rows.filter(~((k == 1) & (field == "Tax Provision (latest)")))
+    out = out.withColumn("raw_value", F.when((k == 3) & (field == mf.DERIVED), F.col("raw_value") * 2)
+                         .otherwise(F.col("raw_value")))
+    out = out.withColumn("accession", F.when(
+        (k == 4) & F.startswith("field", F.lit(mf.COMPONENT)), F.lit("")
+    ).when((k == 5) & (field == mf.DERIVED), F.concat("accession", F.lit("; "), "accession"))
+        .when((k == 6) & (field == "Revenue"), F.lit(None)).otherwise(F.col("accession")))
+    out = out.withColumn("period", F.when((k == 7) & (field == "Beta"), F.lit("")).otherwise(
+        F.col("period")))
+    out = out.withColumn("provenance", F.when((k == 8) & (field == mf.DERIVED), F.lit("reported"))
+                         .otherwise(F.col("provenance")))
+    return out.unionByName(out.filter((k == 2) & (field == "Beta")))
+
+
+@query()
+def l10_manifest_completeness(t):
+    return mf.completeness_problems(damaged_manifest(t))
+
+
+@query()
+def l11_manifest_structure(t):
+    expected = fa.extract_companies(scanned(t)).select(
+        "ticker", "history_years", "pretax", "tax", "cash")
+    return mf.structure_problems(damaged_manifest(t), expected)
+
+
+@query()
+def u2_manifest_differences(t):
+    """Entries every company should have against those present in the damaged manifest."""
+    names = F.array(*[F.lit(n) for n in (*mf.LATEST_FIELDS.values(), mf.CASH, *mf.MARKET_FIELDS)])
+    companies = fa.latest_complete_year(fa.merged_fields(scanned(t))).select("ticker")
+    wanted = companies.select("ticker", F.explode(names).alias("field"))
+    present = damaged_manifest(t).filter(F.array_contains(names, F.col("field"))).select(
+        "ticker", "field")
+    return integrity.set_difference(wanted, present)
+
+
+@query()
+def l12_snapshot_schema(t):
+    return sn.check_schema(sn.parse(t.snapshots_raw))
+
+
+@query(money=("value",))
+def l13_adapter_check(t):
+    """Some reshaped values are altered on purpose."""
+    docs = sn.parse(t.snapshots_raw)
+    got = sn.to_statements(docs).withColumn("value", F.when(
+        F.endswith("ticker", F.lit("5")), F.col("value") + 1).otherwise(F.col("value")))
+    return sn.adapter_mismatches(docs, got)

@@ -1,0 +1,59 @@
+"""Stateful behaviour: attempt limits, freshness, order resolution and the fill log."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from tidemark.operators import latest, orders
+from tidemark.plans.registry import query
+from tidemark.session import shared_dir
+from tidemark.streaming import attempts, flows
+
+
+@query()
+def t1_attempt_limit(t):
+    """A one-day window, so that the sparse events reach the limit."""
+    return attempts.limit_attempts(t.access_events, window_seconds=86_400)
+
+
+@query()
+def t2_latest_fresh(t):
+    e = t.raw("events")
+    seen = F.unix_seconds(F.col("ts").cast("timestamp"))
+    value = F.when(F.col("event_type") != "view", F.col("value"))
+    rows = e.select("user_id", value.alias("value"), seen.alias("seen_at"))
+    now = F.lit(1706572800)  # 2024-01-30 00:00 UTC
+    return latest.latest_fresh(rows, ["user_id"], "value", "seen_at", now, 43_200)
+
+
+@query()
+def t3_order_resolution(t):
+    return orders.resolve_orders(t.order_events).select(
+        "order_id", "status", "filled_qty", "resolved", F.col("polls").cast("bigint").alias("polls")
+    )
+
+
+@query()
+def t4_fill_log(t):
+    """A stream over the event files, run until it has caught up, then read back."""
+    base = f"{shared_dir(t.spark)}/tidemark/fills-{uuid.uuid4().hex}"
+    schema = t.raw("events").schema
+    stream = t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(
+        t.sf_dir
+    )
+    uid = F.col("user_id")
+    fills = stream.select(
+        "ts", F.concat(F.lit("S"), F.lpad((uid % 100).cast("string"), 5, "0")).alias("ticker"),
+        F.when(uid % 2 == 0, "BUY").otherwise("SELL").alias("action"),
+        F.when(F.col("event_type").isin("purchase", "click"), F.col("value"))
+        .otherwise(F.lit(0.0)).alias("quantity"),
+        (50.0 + uid % 60).alias("execution_price"),
+    )
+    flows.log_fills(fills, f"{base}/log", f"{base}/checkpoint").awaitTermination()
+    from tidemark.sources.sinks import read_trades
+
+    log = read_trades(t.spark, f"{base}/log")
+    return log.select(F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), "ticker",
+                      "action", "quantity", "execution_price", "wacc", "var_95")
