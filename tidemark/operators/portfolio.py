@@ -160,14 +160,18 @@ def cents(c: Column) -> Column:
     return F.floor(exact * 100).cast("bigint")
 
 
-def fit_to_buying_power(plan: DataFrame, buying_power: float,
+def fit_to_buying_power(plan: DataFrame, buying_power: float | None,
                         p: PortfolioParams = PortfolioParams()) -> DataFrame:
-    """Scale pending buys to the budget, then hand out whole cents in pick order.
+    """Scale pending buys to the budget, then hand out whole cents in pick order. Without a
+    budget every pending order keeps its size.
 
     Giving each order min(own cents, cents left) equals the increase of min(running sum,
     budget), so no sequential loop is needed and the budget can never be exceeded.
     """
     buying = (F.col("status") == "pending") & (F.col("side") == "buy")
+    if buying_power is None:
+        done = F.when(F.col("status") != "pending", F.col("status")).when(buying, "would_buy")
+        return plan.withColumns({"scaled": F.lit(False), "status": done.otherwise("would_sell")})
     whole = Window.partitionBy("portfolio_id")
     total = F.sum(F.when(buying, F.col("order_notional")).otherwise(F.lit(0.0))).over(whole)
     rows = plan.withColumn("total_buys", total)
