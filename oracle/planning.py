@@ -22,7 +22,7 @@ SELECT symbol, sector, CASE WHEN over_cap THEN market_value - 15000e0 ELSE 0e0 E
   CASE WHEN NOT over_cap OR trimmed IS NULL THEN market_value / 100000e0
     WHEN rest <= 15000e0 + 0.010001e0 THEN least(rest / 100000e0, 0.15e0) ELSE rest / 100000e0 END AS weight,
   NOT over_cap OR coalesce(rest <= 15000e0 + 0.010001e0, false) AS resolved
-FROM (SELECT *, greatest(market_value - trimmed, 0) AS rest FROM (
+FROM (SELECT *, CASE WHEN trimmed IS NOT NULL THEN greatest(market_value - trimmed, 0) END AS rest FROM (
   SELECT p.symbol, coalesce(c.sector, 'Unknown') AS sector, p.market_value, p.market_value / 100000e0 > 0.15e0 + 1e-9 AS over_cap,
     CASE c.universe_pos % 3 WHEN 1 THEN p.market_value - 0.15e0 * 100000 WHEN 2 THEN (p.market_value - 0.15e0 * 100000) / 2 END AS trimmed
   FROM positions AS p LEFT JOIN companies AS c ON c.ticker = p.symbol WHERE p.asset_class = 'us_equity'))

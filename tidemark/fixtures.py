@@ -1,6 +1,7 @@
 """Finance tables derived from the star-schema parquet (rules in FIXTURES.md).
 
-Monetary facts are summed as decimals, so they do not depend on partitioning.
+Facts have at most four decimals and are summed as whole ten-thousandths, so the sums are
+exact and do not depend on partitioning.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return _SCANS[key]
 
 
-def _dec(c: Column) -> Column:
-    return c.cast("decimal(18,4)")
+def _units(c: Column) -> Column:
+    return F.rint(c * 10000.0).cast("bigint")
 
 
 def ticker_of(k: Column) -> Column:
@@ -40,7 +41,7 @@ def base_facts(spark, sf_dir) -> DataFrame:
     ep, disc, tax = F.col("l_extendedprice"), F.col("l_discount"), F.col("l_tax")
 
     def total(c):
-        return F.coalesce(F.sum(_dec(c)).cast("double"), F.lit(0.0))
+        return F.coalesce(F.sum(_units(c)), F.lit(0)) / F.lit(10000.0)
 
     return (
         li.filter(F.col("l_shipdate") < F.lit("2001-01-01").cast("timestamp_ntz"))
@@ -138,17 +139,15 @@ def companies(spark, sf_dir) -> DataFrame:
 
 
 def _close(total: Column, n: Column) -> Column:
-    return 100.0 * total.cast("double") / n
+    return 100.0 * (total / F.lit(10000.0)) / n
 
 
-def _daily(spark, sf_dir) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
-    return li.groupBy(
-        F.col("l_suppkey").alias("k"), F.col("l_shipdate").cast("date").alias("date")
-    ).agg(
-        F.sum(_dec((1 - F.col("l_discount")) * (1 + F.col("l_tax")))).alias("s"),
-        F.sum(_dec(F.col("l_discount"))).alias("sd"),
-        F.sum(_dec(F.col("l_tax"))).alias("st"),
+def _daily(spark, sf_dir, keys=("k",)) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem").withColumnRenamed("l_suppkey", "k")
+    return li.groupBy(*keys, F.col("l_shipdate").cast("date").alias("date")).agg(
+        F.sum(_units((1 - F.col("l_discount")) * (1 + F.col("l_tax")))).alias("s"),
+        F.sum(_units(F.col("l_discount"))).alias("sd"),
+        F.sum(_units(F.col("l_tax"))).alias("st"),
         F.count(F.lit(1)).alias("n"),
     )
 
@@ -176,16 +175,13 @@ def region_prices(spark, sf_dir) -> DataFrame:
 
 def macro_prices(spark, sf_dir) -> DataFrame:
     """Index, yield and volatility series, all from one daily rollup."""
-    day = _daily(spark, sf_dir).groupBy("date").agg(
-        F.sum("s").alias("s"), F.sum("sd").alias("sd"), F.sum("st").alias("st"),
-        F.sum("n").alias("n"),
-    )
+    day = _daily(spark, sf_dir, ())
     series = F.array(
         F.struct(F.lit("IDX").alias("ticker"), _close(F.col("s"), F.col("n")).alias("close")),
         F.struct(F.lit("^RF").alias("ticker"),
-                 (4.0 + 10.0 * (F.col("sd").cast("double") / F.col("n"))).alias("close")),
+                 (4.0 + 10.0 * (F.col("sd") / F.lit(10000.0) / F.col("n"))).alias("close")),
         F.struct(F.lit("^VIX").alias("ticker"),
-                 (12.0 + 100.0 * (F.col("st").cast("double") / F.col("n"))).alias("close")),
+                 (12.0 + 100.0 * (F.col("st") / F.lit(10000.0) / F.col("n"))).alias("close")),
     )
     return day.select("date", F.inline(series)).select("ticker", "date", "close")
 

@@ -7,10 +7,14 @@ never range-joined and never shuffled before their partial aggregation.
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidemark.params import ScanParams
 
+MAX_RANGES = 64
+
 
 def date_grid(spark: SparkSession, dates) -> DataFrame:
     values = F.array(*[F.lit(d).cast("date") for d in dates])
@@ -23,11 +27,27 @@ def visible_days(grid: DataFrame, lookback_days: int) -> DataFrame:
     return grid.select("as_of", F.explode(days).alias("date"))
 
 
-def latest_within(quotes: DataFrame, grid: DataFrame, value: str, lookback_days: int,
+def within_lookback(c: Column, dates, lookback_days: int) -> Column:
+    """Plain range predicate over all windows, so that it reaches the scan."""
+    days = [date.fromisoformat(str(d)) for d in dates]
+    windows = [(d - timedelta(days=lookback_days), d) for d in days]
+    if len(windows) > MAX_RANGES:
+        windows = [(min(w[0] for w in windows), max(days))]
+    out = F.lit(False)
+    for low, high in windows:
+        out = out | c.between(F.lit(low), F.lit(high))
+    return out
+
+
+def latest_within(quotes: DataFrame, dates, value: str, lookback_days: int,
                   keys=("ticker",)) -> DataFrame:
     """Last non-null value on or before each date, at most lookback_days old."""
+    grid = date_grid(quotes.sparkSession, dates)
     hits = (
-        quotes.filter(F.col(value).isNotNull() & ~F.isnan(value))
+        quotes.filter(
+            within_lookback(F.col("date"), dates, lookback_days)
+            & F.col(value).isNotNull() & ~F.isnan(value)
+        )
         .join(visible_days(grid, lookback_days), "date")
     )
     return hits.groupBy(*keys, "as_of").agg(
@@ -35,8 +55,8 @@ def latest_within(quotes: DataFrame, grid: DataFrame, value: str, lookback_days:
     )
 
 
-def as_of_price(prices: DataFrame, grid: DataFrame, p: ScanParams = ScanParams()) -> DataFrame:
-    return latest_within(prices, grid, "close", p.price_lookback_days).select(
+def as_of_price(prices: DataFrame, dates, p: ScanParams = ScanParams()) -> DataFrame:
+    return latest_within(prices, dates, "close", p.price_lookback_days).select(
         "ticker", "as_of", F.col("close").alias("price"), F.col("close_date").alias("price_date")
     )
 
@@ -92,9 +112,7 @@ def split_factor(splits: DataFrame, dates) -> DataFrame:
 def as_of_shares(shares: DataFrame, splits: DataFrame, companies: DataFrame, dates,
                  p: ScanParams = ScanParams()) -> DataFrame:
     """Split-adjusted share count within a year of the date, else today's count, flagged."""
-    spark = shares.sparkSession
-    grid = date_grid(spark, dates)
-    recent = latest_within(shares, grid, "shares", p.shares_lookback_days)
+    recent = latest_within(shares, dates, "shares", p.shares_lookback_days)
     universe = companies.select(
         "ticker", F.col("shares_outstanding").alias("shares_now"),
         F.explode(F.array(*[F.lit(d).cast("date") for d in dates])).alias("as_of"),
@@ -114,7 +132,7 @@ def risk_free(prices: DataFrame, dates, ticker="^RF", p: ScanParams = ScanParams
     """Yield as a fraction per date; every date gets a row, the fallback where none is quoted."""
     grid = date_grid(prices.sparkSession, dates)
     own = prices.filter(F.col("ticker") == ticker)
-    found = latest_within(own, grid, "close", p.rf_lookback_days, keys=())
+    found = latest_within(own, dates, "close", p.rf_lookback_days, keys=())
     return grid.join(found, "as_of", "left").select(
         "as_of",
         F.coalesce(F.col("close") / 100.0, F.lit(p.rf_fallback)).alias("risk_free"),

@@ -80,9 +80,8 @@ def dropped_picks(picks: DataFrame, prices: DataFrame, until) -> DataFrame:
 def forward_performance(prices: DataFrame, holdings: DataFrame, dates, until,
                         lookback_days: int = 10, exit_days: int = 5) -> DataFrame:
     """Entry as of each date against the newest close near `until`."""
-    spark = prices.sparkSession
-    entry = asof.latest_within(prices, asof.date_grid(spark, dates), "close", lookback_days)
-    last = asof.latest_within(prices, asof.date_grid(spark, [until]), "close", exit_days)
+    entry = asof.latest_within(prices, dates, "close", lookback_days)
+    last = asof.latest_within(prices, [until], "close", exit_days)
     joined = holdings.select("ticker", "as_of").join(
         entry.select("ticker", "as_of", F.col("close").alias("entry_price"),
                      F.col("close_date").alias("entry_date")), ["ticker", "as_of"],

@@ -209,7 +209,11 @@ def post_fill_check(positions: DataFrame, sectors: DataFrame, trims: DataFrame,
     j = held.join(trims, "symbol", "left").join(sectors, "symbol", "left")
     cap_value = p.position_cap * equity
     over = F.col("market_value") / equity > p.position_cap + p.eps
-    remaining = F.greatest(F.col("market_value") - F.col("trimmed"), F.lit(0.0))
+    # greatest skips nulls, so an unconfirmed trim must be kept apart
+    remaining = F.when(
+        F.col("trimmed").isNotNull(),
+        F.greatest(F.col("market_value") - F.col("trimmed"), F.lit(0.0)),
+    )
     settled = remaining <= cap_value + p.trim_tolerance
     weight = (
         F.when(~over | F.col("trimmed").isNull(), F.col("market_value") / equity)

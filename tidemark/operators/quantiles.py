@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 ACCURACY = 10_000
+SMALL = 3 * ACCURACY
 
 
 def grouped_quantile(df: DataFrame, keys, value: str, q: float, out: str) -> DataFrame:
@@ -26,11 +27,13 @@ def grouped_quantile(df: DataFrame, keys, value: str, q: float, out: str) -> Dat
         F.min("__v").alias("__min"),
         F.max("__v").alias("__max"),
         F.count(F.lit(1)).alias("__n"),
-    ).select(
-        *keys, "__n",
-        (F.col("__b")[0] if low_q > 0.0 else F.col("__min")).alias("__lo"),
-        (F.col("__b")[1] if high_q < 1.0 else F.col("__max")).alias("__hi"),
     )
+    # Below a few times the sketch's resolution its rank error is not smaller than the step
+    # between ranks; such a group is ranked whole, which is at most SMALL values.
+    whole = F.col("__n") <= SMALL
+    low = F.when(whole | F.lit(low_q == 0.0), F.col("__min")).otherwise(F.col("__b")[0])
+    high = F.when(whole | F.lit(high_q == 1.0), F.col("__max")).otherwise(F.col("__b")[1])
+    bracket = bracket.select(*keys, "__n", low.alias("__lo"), high.alias("__hi"))
     same = [F.col(f"r.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
     joined = rows.alias("r").join(bracket.alias("b"), same).filter(F.col("__v") <= F.col("__hi"))
     spot = F.when(F.col("__v") >= F.col("__lo"), F.col("__v"))

@@ -29,15 +29,13 @@ def log_returns(prices: DataFrame, as_of=None, p: RiskParams = RiskParams()) ->
 def complete_dates(returns: DataFrame, keys=()) -> DataFrame:
     """Rows on dates that every series of the set has."""
     keys = list(keys)
-    series = returns.groupBy(*keys).agg(F.count_distinct("ticker").alias("series"))
+    names = F.count_distinct("ticker").alias("series")
     days = returns.groupBy(*keys, "date").agg(F.count(F.lit(1)).alias("present"))
     if keys:
-        full = days.join(series, keys)
+        full = days.join(returns.groupBy(*keys).agg(names), keys).filter("present = series")
     else:
-        full = days.withColumn("one", F.lit(1)).join(series.withColumn("one", F.lit(1)), "one")
-    return returns.join(
-        full.filter("present = series").select(*keys, "date"), [*keys, "date"], "left_semi"
-    )
+        full = days.filter(F.col("present") == returns.agg(names).scalar())
+    return returns.join(full.select(*keys, "date"), [*keys, "date"], "left_semi")
 
 
 def return_stats(returns: DataFrame) -> DataFrame:
@@ -172,10 +170,15 @@ def simulate_paths(weights: DataFrame, aligned: DataFrame, p: RiskParams = RiskP
         .alias("series")
     )
     n_blocks = -(-p.simulations // p.block)
+    # A very wide portfolio is cut into slices of about p.slice names; their partial sums are
+    # added by the aggregation below.
+    slices = F.greatest(F.ceil(F.col("names") / p.slice), F.lit(1))
+    width = weights.groupBy("portfolio_id").agg(F.count(F.lit(1)).alias("names"))
     work = (
-        weights.join(columns, ["portfolio_id", "ticker"])
+        weights.join(columns, ["portfolio_id", "ticker"]).join(width, "portfolio_id")
+        .withColumn("part", F.pmod(F.hash("ticker"), slices))
         .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-        .repartition("portfolio_id", "block")
+        .repartition("portfolio_id", "block", "part")
     )
 
     def run(batches):

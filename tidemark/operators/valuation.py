@@ -11,16 +11,13 @@ from tidemark.operators.fundamentals import capital_input_error, valuation_input
 from tidemark.params import DcfParams, ScanParams
 
 
-def assumption_columns(df: DataFrame, p: DcfParams, growth=None, margin=None,
-                       terminal_growth=None) -> DataFrame:
+def _assumptions(p: DcfParams, growth=None, margin=None, terminal_growth=None) -> dict:
     """Resolve each assumption once: explicit, else historical, else default."""
 
     def explicit(column, scalar):
-        if column is not None:
-            return F.col(column)
-        return F.lit(scalar).cast("double")
+        return F.col(column) if column else F.lit(scalar).cast("double")
 
-    return df.withColumns({
+    return {
         "growth": F.coalesce(
             explicit(growth, p.growth), F.col("growth_hist"), F.lit(p.default_growth)
         ),
@@ -30,48 +27,42 @@ def assumption_columns(df: DataFrame, p: DcfParams, growth=None, margin=None,
         "tax_rate": F.coalesce(
             explicit(None, p.tax_rate), F.col("tax_derived"), F.lit(p.default_tax)
         ),
-        "terminal_growth": (
-            F.col(terminal_growth) if terminal_growth else F.lit(p.terminal_growth)
-        ),
-    })
+        "terminal_growth": explicit(terminal_growth, p.terminal_growth),
+    }
+
+
+def assumption_columns(df: DataFrame, p: DcfParams, **overrides) -> DataFrame:
+    return df.withColumns(_assumptions(p, **overrides))
 
 
 def value_companies(df: DataFrame, p: DcfParams = DcfParams(), **overrides) -> DataFrame:
     """Add the valuation columns to rows carrying price, shares, risk_free, beta and inputs.
 
-    Narrow: one projection chain. The explicit years are unrolled in the expression.
+    Narrow: one select whose later columns refer to earlier ones. The explicit years are
+    unrolled in the expression.
     """
-    out = assumption_columns(df, p, **overrides)
-    given = set(out.columns)
-    rate = V.wacc("price", "shares", "total_debt", "beta", "risk_free", "debt_cost", "tax_rate", p)
-    out = out.withColumn("wacc", rate)
-    last = V.fcf_in("revenue", "growth", "margin", "tax_rate", F.lit(float(p.years)), p)
     base = F.when(F.col("revenue") > 0, F.col("revenue"))
-    out = out.withColumn("final_fcf", F.when(base.isNotNull(), last))
-    out = out.withColumns({
-        "terminal_value": V.terminal_value("final_fcf", "wacc", "terminal_growth"),
-        "pv_explicit_fcf": F.when(
-            base.isNotNull(),
-            V.pv_fcf_sum("revenue", "growth", "margin", "tax_rate", "wacc", p),
-        ),
-    })
-    out = out.withColumn(
-        "pv_terminal_value", F.col("terminal_value") / F.pow(1 + F.col("wacc"), float(p.years))
-    )
-    out = out.withColumn("enterprise_value", F.col("pv_explicit_fcf") + F.col("pv_terminal_value"))
-    out = out.withColumn(
-        "equity_value",
-        F.col("enterprise_value") - F.coalesce("total_debt", F.lit(0.0))
-        + F.coalesce("cash", F.lit(0.0)),
-    )
+    last = V.fcf_in("revenue", "growth", "margin", "tax_rate", F.lit(float(p.years)), p)
+    explicit = V.pv_fcf_sum("revenue", "growth", "margin", "tax_rate", "wacc", p)
     market_ev = V.market_enterprise_value("price", "shares", "total_debt", "cash")
-    out = out.withColumns({
+    debt, cash = F.coalesce("total_debt", F.lit(0.0)), F.coalesce("cash", F.lit(0.0))
+    added = {
+        **_assumptions(p, **overrides),
+        "wacc": V.wacc(
+            "price", "shares", "total_debt", "beta", "risk_free", "debt_cost", "tax_rate", p
+        ),
+        "final_fcf": F.when(base.isNotNull(), last),
+        "terminal_value": V.terminal_value("final_fcf", "wacc", "terminal_growth"),
+        "pv_explicit_fcf": F.when(base.isNotNull(), explicit),
+        "pv_terminal_value": F.col("terminal_value") / F.pow(1 + F.col("wacc"), float(p.years)),
+        "enterprise_value": F.col("pv_explicit_fcf") + F.col("pv_terminal_value"),
+        "equity_value": F.col("enterprise_value") - debt + cash,
         "intrinsic_value": F.when(F.col("shares") > 0, ratio("equity_value", "shares")),
         "market_enterprise_value": market_ev,
-        "fcf_yield": V.fcf_yield("ocf", "capex", market_ev),
-    })
-    out = out.withColumn("dcf_error", dcf_error())
-    return fence(out, [c for c in out.columns if c not in given])
+        "fcf_yield": V.fcf_yield("ocf", "capex", "market_enterprise_value"),
+        "dcf_error": dcf_error(),
+    }
+    return fence(df.select("*", *[c.alias(n) for n, c in added.items()]), list(added))
 
 
 def dcf_error() -> Column:
@@ -110,16 +101,19 @@ def project_cash_flows(df: DataFrame, p: DcfParams = DcfParams()) -> DataFrame:
 
 def market_rows(companies: DataFrame, statements: DataFrame, prices: DataFrame, shares: DataFrame,
                 splits: DataFrame, dates, p: DcfParams = DcfParams(),
-                s: ScanParams = ScanParams(), rf_ticker="^RF") -> DataFrame:
-    """Universe x dates with every point-in-time input attached."""
+                s: ScanParams = ScanParams(), macro: DataFrame | None = None,
+                rf_ticker="^RF") -> DataFrame:
+    """Universe x dates with every point-in-time input attached.
+
+    macro holds the yield series; without it the series is taken from prices.
+    """
     from datetime import date, timedelta
 
     cuts = [
         (d, (date.fromisoformat(str(d)) - timedelta(days=s.filing_lag_days)).isoformat())
         for d in dates
     ]
-    grid = asof.date_grid(companies.sparkSession, dates)
-    quotes = prices.filter(F.col("ticker") != rf_ticker)
+    quotes = prices if macro is not None else prices.filter(F.col("ticker") != rf_ticker)
     universe = companies.select(
         "ticker", "beta", "universe_pos",
         F.coalesce(F.nullif("sector", F.lit("")), F.lit("Unknown")).alias("sector"),
@@ -129,9 +123,9 @@ def market_rows(companies: DataFrame, statements: DataFrame, prices: DataFrame,
     return (
         universe
         .join(valuation_inputs(statements, cuts, p), key, "left")
-        .join(asof.as_of_price(quotes, grid, s), key, "left")
+        .join(asof.as_of_price(quotes, dates, s), key, "left")
         .join(asof.as_of_shares(shares, splits, companies, dates, s), key, "left")
-        .join(asof.risk_free(prices, dates, rf_ticker, s), "as_of", "left")
+        .join(asof.risk_free(prices if macro is None else macro, dates, rf_ticker, s), "as_of", "left")
     )
 
 
@@ -145,8 +139,8 @@ VALUATION_COLUMNS = (
 def valuations(rows: DataFrame, p: DcfParams = DcfParams()) -> DataFrame:
     """Point-in-time valuation with ordered skip reasons; skipped rows keep only their keys."""
     v = value_companies(rows, p)
-    iv, price = F.col("intrinsic_value"), F.col("price")
-    piv = F.when(iv > 0, ratio(price, iv))
+    iv = F.col("intrinsic_value")
+    piv = F.when(iv > 0, ratio("price", iv))
     reason = F.coalesce(
         first_reason(
             (F.col("income_period").isNull() | F.col("balance_period").isNull(), "no_statements"),
@@ -156,14 +150,14 @@ def valuations(rows: DataFrame, p: DcfParams = DcfParams()) -> DataFrame:
         F.col("dcf_error"),
         first_reason(
             (~is_finite("intrinsic_value") | (iv <= 0), "intrinsic_value_not_positive"),
-            (~is_finite(piv), "ratio_not_finite"),
+            (~is_finite("price_to_intrinsic"), "ratio_not_finite"),
         ),
     )
-    v = v.withColumns({
-        "skip_reason": reason,
-        "price_to_intrinsic": piv,
-        "roic": V.roic("ebit", "tax_rate", "total_debt", "equity", "cash"),
-    })
+    v = v.select(
+        "*", piv.alias("price_to_intrinsic"),
+        V.roic("ebit", "tax_rate", "total_debt", "equity", "cash").alias("roic"),
+        reason.alias("skip_reason"),
+    )
     kept = F.col("skip_reason").isNull()
     notes = F.array_compact(F.array(
         F.lit("beta"), F.lit("sector"),
@@ -171,7 +165,9 @@ def valuations(rows: DataFrame, p: DcfParams = DcfParams()) -> DataFrame:
     ))
     values = ("price", "intrinsic_value", "price_to_intrinsic", "wacc", "beta", "fcf_yield",
               "tax_rate", "fcf_growth", "roic")
-    out = v.withColumn("approximations", F.when(kept, notes).otherwise(
-        F.array().cast("array<string>")
-    )).withColumns({c: F.when(kept, F.col(c)) for c in values}).select(*VALUATION_COLUMNS)
-    return fence(out, ["skip_reason", "approximations", *values]).select(*VALUATION_COLUMNS)
+    row = F.struct(
+        "skip_reason", F.when(kept, notes).otherwise(F.array().cast("array<string>"))
+        .alias("approximations"), *[F.when(kept, F.col(c)).alias(c) for c in values],
+    )
+    out = v.select("ticker", "as_of", "sector", "universe_pos", F.inline(F.array(row)))
+    return out.select(*VALUATION_COLUMNS)

@@ -118,9 +118,10 @@ class RiskParams:
     min_coverage: float = 0.5
     seed: int = 7
     block: int = 1_000
+    slice: int = 500
 
     def __post_init__(self):
-        for name in ("lookback", "simulations", "horizon_days", "block"):
+        for name in ("lookback", "simulations", "horizon_days", "block", "slice"):
             object.__setattr__(self, name, whole(name, getattr(self, name)))
 
 

@@ -11,7 +11,10 @@ from tidemark.session import land
 
 
 def market_rows(t, dates=fx.AS_OF) -> DataFrame:
-    return valuation.market_rows(t.companies, t.statements, t.prices, t.shares, t.splits, dates)
+    return valuation.market_rows(
+        t.companies, t.statements, t.company_prices, t.shares, t.splits, dates,
+        macro=t.macro_prices,
+    )
 
 
 def landed_valuations(t, dates=fx.AS_OF, p: DcfParams = DcfParams()) -> DataFrame:

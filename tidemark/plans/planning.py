@@ -122,8 +122,7 @@ def j9_exits_not_rebought(t):
 
 
 def spot_quotes(t):
-    grid = asof.date_grid(t.spark, [fx.AS_OF[1]])
-    spot = asof.as_of_price(t.macro_prices.filter("ticker = 'IDX'"), grid)
+    spot = asof.as_of_price(t.macro_prices.filter("ticker = 'IDX'"), [fx.AS_OF[1]])
     return spot.select(F.lit("SPY").alias("underlying"), "as_of", F.col("price").alias("spot"))
 
 

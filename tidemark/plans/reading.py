@@ -14,9 +14,8 @@ def k2_paged_trades(t):
     trades = t.trade_logs.filter("action <> 'RISK_SNAPSHOT'")
     rows = lookup.page(
         trades.orderBy(F.desc("ts"), F.desc("event_id")), limit=75, offset=50
-    ).select("event_id", "ticker", "action", "quantity", F.lit(1).alias("one"))
-    total = trades.agg(F.count(F.lit(1)).alias("total")).withColumn("one", F.lit(1))
-    return rows.join(total, "one").drop("one")
+    ).select("event_id", "ticker", "action", "quantity")
+    return rows.withColumn("total", trades.agg(F.count(F.lit(1))).scalar())
 
 
 @query()

@@ -162,8 +162,7 @@ def f21_pseudonyms(t):
 
 @query()
 def j1_as_of_price(t):
-    grid = asof.date_grid(t.spark, fx.AS_OF)
-    return asof.as_of_price(t.company_prices, grid)
+    return asof.as_of_price(t.company_prices, fx.AS_OF)
 
 
 @query()

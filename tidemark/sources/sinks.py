@@ -72,5 +72,5 @@ def publish_snapshot(snapshot: DataFrame, path: str) -> None:
 
 
 def newest_snapshot(snapshots: DataFrame) -> DataFrame:
-    newest = snapshots.agg(F.max("generated_at").alias("generated_at"))
-    return snapshots.join(newest, "generated_at", "left_semi")
+    newest = snapshots.agg(F.max("generated_at"))
+    return snapshots.filter(F.col("generated_at") == newest.scalar())

@@ -25,6 +25,7 @@ def to_long(wide: DataFrame) -> DataFrame:
     """Statements with one column per period end become one row per cell, nulls kept."""
     ids = ["ticker", "statement", "line_item"]
     periods = [c for c in wide.columns if c not in ids]
+    wide = wide.select(*ids, *[F.col(f"`{c}`").try_cast("double").alias(c) for c in periods])
     return wide.unpivot(ids, periods, "period_end", "value").select(
         *ids, F.to_date("period_end").alias("period_end"), nan_to_null("value").alias("value")
     )
@@ -32,7 +33,7 @@ def to_long(wide: DataFrame) -> DataFrame:
 
 def read_wide_statements(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     try:
-        wide = spark.read.format(fmt).options(header=True, inferSchema=True).load(path)
+        wide = spark.read.format(fmt).options(header=True).load(path)
     except AnalysisException as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
