@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.numeric import ratio
 from tidemark.operators import asof
+from tidemark.session import land
 
 DAYS_PER_YEAR = 365.25
 
@@ -48,7 +49,8 @@ def equity_curve(picks: DataFrame, prices: DataFrame, benchmark: str, dates, unt
 
     Picks without any bar are dropped and their weight goes to the others.
     """
-    bars = pick_bars(picks, prices.filter(F.col("ticker") != benchmark), until)
+    # A few bars per pick, read three times below: written once instead of joined three times.
+    bars = land(pick_bars(picks, prices.filter(F.col("ticker") != benchmark), until), "bars")
     own = prices.filter(F.col("ticker") == benchmark).withColumn(
         "as_of", F.explode(F.array(*[F.lit(d).cast("date") for d in dates]))
     )
