@@ -494,7 +494,7 @@ def median_documents(spark, sf_dir) -> DataFrame:
     maps = stats.agg(
         F.map_from_entries(F.collect_list(F.struct("r_name", "m"))).alias("sector_medians"),
         F.map_from_entries(F.collect_list(F.struct("r_name", "c"))).alias("sector_sample_counts"),
-    ).withColumn("one", F.lit(1))
+    )
     stamp = (
         F.when(kind == 3, "yesterday").when(kind == 4, "2001-06-30T12:00:00")
         .when(kind == 5, "2001-06-27T12:00:00+00:00").when(kind == 2, F.lit(None))
@@ -509,7 +509,8 @@ def median_documents(spark, sf_dir) -> DataFrame:
         .alias("assumptions"),
         "sector_medians", "sector_sample_counts",
     ))
-    return table(spark, sf_dir, "nation").withColumn("one", F.lit(1)).join(maps, "one").select(
+    both = {c: maps.select(c).scalar() for c in ("sector_medians", "sector_sample_counts")}
+    return table(spark, sf_dir, "nation").withColumns(both).select(
         n.alias("doc_id"), F.when(kind == 1, F.substring(doc, 1, 40)).otherwise(doc).alias("doc")
     )
 

@@ -41,8 +41,8 @@ def evaluate(requests: DataFrame, companies: DataFrame, statements: DataFrame, m
         F.when(ok & (F.col("intrinsic_value") > 0) & (F.col("price") != 0),
                ratio("price", "intrinsic_value")),
     )
-    one = snapshots.select(F.lit(1).alias("one"), "snapshot", "malformed")
-    looked = lookup.lookup(v.withColumn("one", F.lit(1)).join(one, "one"), now, look)
+    stored = {c: snapshots.select(c).scalar() for c in ("snapshot", "malformed")}
+    looked = lookup.lookup(v.withColumns(stored), now, look)
 
     def source(c):
         return F.when(F.col(c).isNull(), "historical").otherwise("custom")

@@ -230,10 +230,11 @@ def post_fill_check(positions: DataFrame, sectors: DataFrame, trims: DataFrame,
 
 def caps_resolved(checked: DataFrame, p: PortfolioParams = PortfolioParams()) -> DataFrame:
     """One row: all positions resolved and no sector above its cap."""
-    totals = sector_totals(checked, (), p).agg(F.bool_or("breach").alias("sector_breach"))
-    rows = checked.agg(F.bool_and("resolved").alias("positions_ok")).withColumn("one", F.lit(1))
-    j = rows.join(totals.withColumn("one", F.lit(1)), "one").drop("one")
-    return j.withColumn("resolved", F.col("positions_ok") & ~F.col("sector_breach"))
+    breach = sector_totals(checked, (), p).agg(F.bool_or("breach"))
+    rows = checked.agg(F.bool_and("resolved").alias("positions_ok"))
+    return rows.withColumn("sector_breach", breach.scalar()).withColumn(
+        "resolved", F.col("positions_ok") & ~F.col("sector_breach")
+    )
 
 
 def holdings_of(positions: DataFrame, equity: float) -> DataFrame:

@@ -109,9 +109,10 @@ def verdict(base: DataFrame, cells: DataFrame) -> DataFrame:
         per = df.groupBy("ticker").agg(F.bool_and("passed").alias("ok"))
         return per.agg(
             F.bool_and("ok").alias(f"{name}_pass"), F.count_if(~F.col("ok")).alias(f"{name}_failing")
-        ).withColumn("one", F.lit(1))
+        )
 
-    j = part(base, "base").join(part(cells, "sensitivity"), "one").drop("one")
+    other = part(cells, "sensitivity")
+    j = part(base, "base").withColumns({c: other.select(c).scalar() for c in other.columns})
     return j.withColumn("overall_pass", F.col("base_pass") & F.col("sensitivity_pass"))
 
 

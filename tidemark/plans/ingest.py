@@ -89,9 +89,9 @@ def s11_search_feed(t):
 @query()
 def s12_ticker_context(t):
     rate = asof.risk_free(t.macro_prices, [fx.LAST_DAY]).select("risk_free")
-    vix = market.latest_close(t.macro_prices, "^VIX").select(F.col("close").alias("vix"))
-    macro = rate.withColumn("one", F.lit(1)).join(vix.withColumn("one", F.lit(1)), "one")
-    ctx = news.ticker_context(news.headlines(t.news_raw), macro.drop("one"))
+    vix = market.latest_close(t.macro_prices, "^VIX").select("close")
+    macro = rate.withColumn("vix", vix.scalar())
+    ctx = news.ticker_context(news.headlines(t.news_raw), macro)
     return ctx.select(
         "ticker", "risk_free", "vix",
         F.array_join(F.col("headlines.title"), "; ").alias("titles"),

@@ -42,7 +42,7 @@ def search_feed(news: DataFrame, n: int = HEADLINES) -> DataFrame:
 
 
 def ticker_context(lines: DataFrame, macro: DataFrame) -> DataFrame:
-    """Headlines and macro readings per ticker. macro is one row, so the join adds no rows."""
+    """Headlines per ticker next to the macro readings (one row, read as scalars)."""
     story = F.struct("pos", "title", "publisher", "link", "published_at")
     per = lines.groupBy("ticker").agg(F.array_sort(F.collect_list(story)).alias("headlines"))
-    return per.withColumn("one", F.lit(1)).join(macro.withColumn("one", F.lit(1)), "one").drop("one")
+    return per.withColumns({c: macro.select(c).scalar() for c in macro.columns})
