@@ -269,9 +269,9 @@ def access_events(spark, sf_dir) -> DataFrame:
 def option_chain(spark, sf_dir) -> DataFrame:
     """Contracts spread over expiries and strikes, one per part key."""
     k = F.col("p_partkey")
+    symbol = F.concat(F.lit("SPY"), F.lpad(k.cast("string"), 7, "0"))
     return table(spark, sf_dir, "part").select(
-        F.concat(F.lit("SPY"), F.lpad(k.cast("string"), 7, "0")).alias("symbol"),
-        F.lit("SPY").alias("underlying"),
+        symbol.alias("symbol"), F.substring(symbol, 1, 3).alias("underlying"),
         F.date_add(F.lit("2001-07-01").cast("date"), (k % 61).cast("int"))
         .alias("expiration_date"),
         (80.0 + (k % 53)).alias("strike_price"),
@@ -574,7 +574,8 @@ def hedge_requests(spark, sf_dir) -> DataFrame:
     c = F.col("c_custkey")
     equity = 50000.0 + 1000.0 * (c % 100)
     return table(spark, sf_dir, "customer").select(
-        F.col("c_name").alias("portfolio_id"), F.lit("SPY").alias("underlying"),
+        F.col("c_name").alias("portfolio_id"),
+        F.replace(F.substring("c_name", 1, 8), F.lit("Customer"), F.lit("SPY")).alias("underlying"),
         equity.alias("equity"), F.col("c_acctbal").alias("var_dollars"),
         F.when(c % 3 != 0, 0.01 * equity * (c % 5)).alias("buying_power"),
     )

@@ -78,7 +78,7 @@ def hedge_exposure(positions: DataFrame, contracts: DataFrame, p: HedgeParams =
         & F.col("qty").isNotNull()
     ).select(F.col("symbol").alias("held"), "qty",
              F.coalesce("market_value", F.lit(0.0)).alias("held_value"),
-             F.lit(p.underlying).alias("underlying"))
+             F.substring("symbol", 1, len(p.underlying)).alias("underlying"))
     j = held.join(contracts, "underlying")
     same = F.col("held") == F.col("symbol")
     zero = F.lit(0.0)

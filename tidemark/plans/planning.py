@@ -123,7 +123,8 @@ def j9_exits_not_rebought(t):
 
 def spot_quotes(t):
     spot = asof.as_of_price(t.macro_prices.filter("ticker = 'IDX'"), [fx.AS_OF[1]])
-    return spot.select(F.lit("SPY").alias("underlying"), "as_of", F.col("price").alias("spot"))
+    name = F.replace("ticker", F.lit("IDX"), F.lit("SPY"))
+    return spot.select(name.alias("underlying"), "as_of", F.col("price").alias("spot"))
 
 
 @query()
