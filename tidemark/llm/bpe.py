@@ -9,6 +9,7 @@ shuffle, and a lost task is just run again.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from array import array
@@ -187,18 +188,20 @@ def _chunks(texts):
         yield chunk
 
 
-def _loaded(shared) -> Encoder:
+def _loaded(key: str, spec) -> Encoder:
     """One encoder for each Python worker and tokenizer file."""
-    if shared.id not in _LOADED:
+    if key not in _LOADED:
         _LOADED.clear()
-        _LOADED[shared.id] = Encoder(shared.value)
-    return _LOADED[shared.id]
+        _LOADED[key] = Encoder(spec.value)
+    return _LOADED[key]
 
 
 def _shared(df: DataFrame, tokenizer: str):
-    """The tokenizer file, a few MB whatever the input, read once on the driver."""
+    """The tokenizer file, a few MB whatever the input, read once on the driver, and its digest."""
     with open(tokenizer, encoding="utf-8") as f:
-        return df.sparkSession.sparkContext.broadcast(f.read())
+        spec = f.read()
+    key = hashlib.sha256(spec.encode()).hexdigest()
+    return key, df.sparkSession.sparkContext.broadcast(spec)
 
 
 def encode(df: DataFrame, tokenizer: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
@@ -211,7 +214,7 @@ def encode(df: DataFrame, tokenizer: str, text_col: str = "text", out_col: str =
 
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
-        encoder, offsets, out = _loaded(shared), [0], []
+        encoder, offsets, out = _loaded(*shared), [0], []
         for chunk in _chunks(texts):
             for ids in encoder.encode(chunk):
                 out.append(ids)
@@ -232,7 +235,7 @@ def decode(df: DataFrame, tokenizer: str, ids_col: str = "ids", out_col: str = "
 
     @F.arrow_udf("string")
     def texts(lists: pa.Array) -> pa.Array:
-        table, out = _loaded(shared).table, []
+        table, out = _loaded(*shared).table, []
         for ids in lists:
             if not ids.is_valid:
                 out.append("")
