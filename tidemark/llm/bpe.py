@@ -24,11 +24,10 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
 OPEN_SPACE = re.compile(r" (?=\s|\Z)").search
-CACHED_PIECES = 600_000    # encodings a Python worker remembers
+CACHED_PIECES = 400_000    # encodings a Python worker remembers
 CACHED_PAIRS = 2_000_000
-CHUNK_CHARS = 3_000_000    # texts whose new words are encoded together
-TRIE_WORDS = 20_000        # words in one trie
-TOKEN = WORD = -1          # keys of trie nodes beside the bytes
+CHUNK_CHARS = 6_000_000    # texts whose new words are encoded together
+TOKEN = -1                 # key of a vocabulary node's token beside the bytes
 NEVER = 1 << 40
 _LOADED: dict = {}
 
@@ -49,7 +48,7 @@ class Encoder:
         ids = {raw(t): i for t, i in model["model"]["vocab"].items() if t not in self.special}
         bytes_of = {i: b for b, i in ids.items()} | {i: t.encode() for t, i in self.special.items()}
         self.table = [bytes_of.get(i, b"") for i in range(max(bytes_of) + 1)]
-        self.tokens: dict = {}          # vocabulary trie: byte -> node, TOKEN -> id
+        self.tokens: dict = {}          # trie of the vocabulary: byte -> node, TOKEN -> id
         for token, i in ids.items():
             node = self.tokens
             for byte in token:
@@ -99,25 +98,26 @@ class Encoder:
                 j += 1
 
     def encode_words(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of distinct words, as little-endian integers, through one trie."""
-        root: dict = {}
-        for word in words:
-            node = root
-            for byte in word.encode():
-                node = node.setdefault(byte, {})
-            node[WORD] = word
+        """Ids of distinct words, as integers in native byte order.
+
+        In sorted order the words are a depth-first walk of their trie; only the nodes on the path
+        to the current word are held, the rest of it is shared with the word before.
+        """
         fits, tokens, found = self.fits, self.tokens, {}
-        ends, starts = [-1], [0]        # by depth: the last token and where it starts
-        stack = [(root, 0, 0, [])]      # node, depth, byte, tokens the parent has under way
-        while stack:
-            node, depth, byte, before = stack.pop()
-            under_way = []
-            if depth:
-                del ends[depth:], starts[depth:]
-                for start, place in before:         # longest token first
+        # by depth: the last token, where it starts, and tokens under way as (start, node)
+        ends, starts, nodes, before = [-1], [0], [[(0, tokens)]], b""
+        for path, word in sorted((word.encode(), word) for word in words):
+            shared, most = 0, min(len(path), len(before))
+            while shared < most and path[shared] == before[shared]:
+                shared += 1
+            del ends[shared + 1:], starts[shared + 1:], nodes[shared + 1:]
+            node = nodes[shared]
+            for depth in range(shared + 1, len(path) + 1):
+                byte, above, node = path[depth - 1], node, []
+                for start, place in above:          # longest token first
                     if (place := place.get(byte)) is None:
                         continue
-                    under_way.append((start, place))
+                    node.append((start, place))
                     if len(ends) == depth and (token := place.get(TOKEN)) is not None:
                         if start:
                             pair = ends[start] << 32 | token
@@ -127,16 +127,13 @@ class Encoder:
                                 continue
                         ends.append(token)
                         starts.append(start)
-            under_way.append((depth, tokens))
-            for key, child in node.items():
-                if key == WORD:
-                    ids, at = [], depth
-                    while at:
-                        ids.append(ends[at])
-                        at = starts[at]
-                    found[child] = array("i", ids[::-1]).tobytes()
-                else:
-                    stack.append((child, depth + 1, key, under_way))
+                node.append((depth, tokens))
+                nodes.append(node)
+            before, at, ids = path, len(path), []
+            while at:
+                ids.append(ends[at])
+                at = starts[at]
+            found[word] = array("i", ids[::-1]).tobytes()
         if len(fits) > CACHED_PAIRS:
             fits.clear()
         return found
@@ -165,15 +162,22 @@ class Encoder:
         new = [p for p in needed if p not in self.pieces]
         if len(self.pieces) + len(new) > CACHED_PIECES:
             self.pieces = {p: self.pieces[p] for p in needed if p in self.pieces}
-        split = {p: [p] if isinstance(p, int) else self.split(p) for p in new}
-        words = sorted({w for ws in split.values() for w in ws if isinstance(w, str)})
-        known = {i: array("i", [i]).tobytes() for i in new if isinstance(i, int)}
-        for at in range(0, len(words), TRIE_WORDS):
-            known |= self.encode_words(words[at:at + TRIE_WORDS])
+        split = {p: self.words_of(p) for p in new}
+        known = self.encode_words({w for ws in split.values() for w in ws if isinstance(w, str)})
+        known |= {i: array("i", [i]).tobytes() for i in new if isinstance(i, int)}
         for piece, ws in split.items():
             self.pieces[piece] = b"".join([known[w] for w in ws])
         return [b"".join(map(self.pieces.__getitem__, t)) for t in texts]
 
+    def words_of(self, piece: str | int) -> list[str | int]:
+        if isinstance(piece, int) or (piece.isascii() and piece[1:].isalpha() and piece[0] == " "):
+            return [piece]
+        return self.split(piece)
+
+    def decode(self, ids: np.ndarray) -> str:
+        known = ids[(ids >= 0) & (ids < len(self.table))]
+        return b"".join(map(self.table.__getitem__, known.tolist())).decode("utf-8", "replace")
+
 
 def _chunks(texts):
     """Texts of an Arrow array, null as empty, in lists of bounded length or one long text."""
@@ -204,6 +208,16 @@ def _shared(df: DataFrame, tokenizer: str):
     return key, df.sparkSession.sparkContext.broadcast(spec)
 
 
+def _encoded(encoder: Encoder, texts: pa.Array) -> list[bytes]:
+    return [ids for chunk in _chunks(texts) for ids in encoder.encode(chunk)]
+
+
+def _lists(out: list[bytes]) -> pa.Array:
+    offsets = np.cumsum([0, *map(len, out)]) // 4
+    values = pa.array(np.frombuffer(b"".join(out), np.int32), pa.int32())
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+
+
 def encode(df: DataFrame, tokenizer: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
     """Adds the token ids of each whole text; a column named out_col is replaced.
 
@@ -214,13 +228,7 @@ def encode(df: DataFrame, tokenizer: str, text_col: str = "text", out_col: str =
 
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
-        encoder, offsets, out = _loaded(*shared), [0], []
-        for chunk in _chunks(texts):
-            for ids in encoder.encode(chunk):
-                out.append(ids)
-                offsets.append(offsets[-1] + len(ids) // 4)
-        values = np.frombuffer(b"".join(out), np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
+        return _lists(_encoded(_loaded(*shared), texts))
 
     return df.withColumn(out_col, ids(F.col(text_col)))
 
@@ -235,14 +243,27 @@ def decode(df: DataFrame, tokenizer: str, ids_col: str = "ids", out_col: str = "
 
     @F.arrow_udf("string")
     def texts(lists: pa.Array) -> pa.Array:
-        table, out = _loaded(*shared).table, []
-        for ids in lists:
-            if not ids.is_valid:
-                out.append("")
-                continue
-            known = ids.values.drop_null().to_numpy()
-            known = known[(known >= 0) & (known < len(table))]
-            out.append(b"".join(map(table.__getitem__, known.tolist())).decode("utf-8", "replace"))
-        return pa.array(out, pa.string())
+        encoder, none = _loaded(*shared), np.array([], np.int32)
+        return pa.array([encoder.decode(x.values.drop_null().to_numpy() if x.is_valid else none)
+                         for x in lists], pa.string())
 
     return df.withColumn(out_col, texts(F.col(ids_col)))
+
+
+def round_trip(df: DataFrame, tokenizer: str, text_col: str = "text", ids_col: str = "ids",
+               decoded_col: str = "decoded") -> DataFrame:
+    """Adds the ids of each text and what they decode to, as encode and decode do.
+
+    One function call makes both: Spark would run encode twice if two functions used its result.
+    """
+    shared = _shared(df, tokenizer)
+
+    @F.arrow_udf("ids array<int>, decoded string")
+    def both(texts: pa.Array) -> pa.Array:
+        encoder = _loaded(*shared)
+        out = _encoded(encoder, texts)
+        decoded = pa.array([encoder.decode(np.frombuffer(x, np.int32)) for x in out], pa.string())
+        return pa.StructArray.from_arrays([_lists(out), decoded], ["ids", "decoded"])
+
+    both = both(F.col(text_col))
+    return df.withColumns({ids_col: both["ids"], decoded_col: both["decoded"]})

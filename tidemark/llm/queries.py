@@ -21,8 +21,7 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
 
 
 def bpe_digests(docs: DataFrame) -> DataFrame:
-    ids = bpe.encode(docs.select("doc_id", "text"), TOKENIZER).drop("text")
-    return bpe.decode(ids, TOKENIZER).select(
+    return bpe.round_trip(docs.select("doc_id", "text"), TOKENIZER).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
