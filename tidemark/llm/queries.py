@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm import bpe
+from tidemark.llm import bpe, fingerprints
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 QUERIES: dict = {}
@@ -33,3 +33,16 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
 def op1_bpe(spark, sf_dir):
     """Encodes every document and decodes the ids again."""
     return bpe_digests(table(spark, sf_dir, "documents"))
+
+
+def edit_likeness(docs: DataFrame) -> DataFrame:
+    return fingerprints.against_edits(docs).select(
+        "doc_id", "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256"), "fingerprint",
+        "edited_fingerprint", "near_edited", "near_next",
+    )
+
+
+@query
+def op3_fingerprints(spark, sf_dir):
+    """Fingerprints of documents, of their edited texts, and how alike they are."""
+    return edit_likeness(table(spark, sf_dir, "documents"))
