@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm import bpe, fingerprints
+from tidemark.llm import bpe, fingerprints, mixing
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 QUERIES: dict = {}
@@ -46,3 +46,9 @@ def edit_likeness(docs: DataFrame) -> DataFrame:
 def op3_fingerprints(spark, sf_dir):
     """Fingerprints of documents, of their edited texts, and how alike they are."""
     return edit_likeness(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_mixing(spark, sf_dir):
+    """Words that the mix of sources takes of each document."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
