@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm import bpe, fingerprints, mixing
+from tidemark.llm import bpe, fingerprints, lines, mixing
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 QUERIES: dict = {}
@@ -52,3 +52,51 @@ def op3_fingerprints(spark, sf_dir):
 def op10_mixing(spark, sf_dir):
     """Words that the mix of sources takes of each document."""
     return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def line_digests(docs: DataFrame) -> DataFrame:
+    n_lines = F.size(F.split("text", "\n")).alias("n_lines")
+    docs = docs.select("doc_id", "text", F.when(F.col("text").isNotNull(), n_lines).alias("n_lines"))
+    return lines.dedup_lines(docs).select(
+        "doc_id", "n_lines", F.col("removed_lines").alias("n_removed"),
+        F.sha2(F.col("text"), 256).alias("text_sha256"))
+
+
+@query
+def op9_line_dedup(spark, sf_dir):
+    """Documents without the later copies of runs of lines with 50 words or more."""
+    return line_digests(table(spark, sf_dir, "documents"))
+
+
+SQL["op9_line_dedup"] = r"""
+with docs as (select doc_id, text, string_split(text, chr(10)) lines from documents),
+numbered as (
+  select doc_id, generate_subscripts(lines, 1) - 1 line_no, unnest(lines) line from docs
+), counted as (
+  select *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) words from numbered
+), placed as (
+  select *, sum(words) over (partition by doc_id order by line_no)::bigint stop
+  from counted where words > 0
+), starts as (select *, stop - words start from placed),
+windows as (
+  select doc_id, line_no first, max(line_no) over a last, string_agg(line, chr(10)) over a content,
+         sum(words) over a n from starts
+  window a as (partition by doc_id order by start range between current row and 49 following)
+  union all
+  select doc_id, min(line_no) over b, line_no, string_agg(line, chr(10)) over b, sum(words) over b
+  from starts
+  window b as (partition by doc_id order by stop range between 49 preceding and current row)
+), later as (
+  select doc_id, first, last from (
+    select *, min((doc_id, first)) over (partition by content) earliest from windows where n >= 50
+  ) where (doc_id, first) > earliest
+), gone as (
+  select distinct doc_id, unnest(generate_series(first, last)) line_no from later
+), kept as (
+  select doc_id, count(*) - count(gone.line_no) n_kept, count(gone.line_no) n_removed,
+         coalesce(string_agg(line, chr(10) order by line_no) filter (gone.line_no is null), '') text
+  from numbered left join gone using (doc_id, line_no) group by doc_id
+)
+select doc_id, len(lines)::int n_lines, coalesce(n_removed, 0)::int n_removed, sha256(kept.text) text_sha256
+from docs left join kept using (doc_id)
+"""
