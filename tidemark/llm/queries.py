@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm import bpe, fingerprints, lines, mixing
+from tidemark.llm import bpe, fingerprints, lines, mixing, simhash
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 QUERIES: dict = {}
@@ -100,3 +100,14 @@ windows as (
 select doc_id, len(lines)::int n_lines, coalesce(n_removed, 0)::int n_removed, sha256(kept.text) text_sha256
 from docs left join kept using (doc_id)
 """
+
+
+def simhash_groups(docs: DataFrame) -> DataFrame:
+    return simhash.groups(simhash.fingerprints(docs.select("doc_id", "text"))).select(
+        "doc_id", F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op2_simhash(spark, sf_dir):
+    """SimHash of each document's 3-word shingles, and the group that links at 2 bits make."""
+    return simhash_groups(table(spark, sf_dir, "documents"))
