@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm import bpe, fingerprints, lines, mixing, simhash
+from tidemark.llm import bpe, fingerprints, langid, lines, mixing, simhash
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 QUERIES: dict = {}
@@ -111,3 +111,16 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
 def op2_simhash(spark, sf_dir):
     """SimHash of each document's 3-word shingles, and the group that links at 2 bits make."""
     return simhash_groups(table(spark, sf_dir, "documents"))
+
+
+def languages(docs: DataFrame) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    docs = docs.select("doc_id", "text", "lang", held_out.alias("held_out"))
+    model = langid.train(docs.where("not held_out"))
+    return langid.predict(docs.drop("lang"), model).select("doc_id", "held_out", "language.*")
+
+
+@query
+def op6_language_id(spark, sf_dir):
+    """Language of each document; documents whose checksum leaves 2 are not learned from."""
+    return languages(table(spark, sf_dir, "documents"))
