@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from tidemark.llm import bpe, fingerprints, langid, lines, mixing, simhash
+from tidemark.llm import bpe, fingerprints, langid, lines, mixing, quality, quotes, simhash
+from tidemark.session import land
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 QUERIES: dict = {}
@@ -124,3 +125,39 @@ def languages(docs: DataFrame) -> DataFrame:
 def op6_language_id(spark, sf_dir):
     """Language of each document; documents whose checksum leaves 2 are not learned from."""
     return languages(table(spark, sf_dir, "documents"))
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    feats = quality.measured(docs.select("doc_id", "text", "source", "lang")).drop("row")
+    feats = land(feats, "measures")
+    return quality.classify(feats, quality.fit(feats, labels)).select(
+        "doc_id", "evidence", "host_quality", "path_quality", "quality", "keep")
+
+
+@query
+def op5_quality(spark, sf_dir):
+    """Quality posterior of each document from its text, its source and its language section."""
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def as_replies(turns: DataFrame) -> DataFrame:
+    """Conversations as they look in mail: each turn begins with the two turns before it, quoted.
+
+    The table has no quotes, so they are derived here: '>' for the turn before, '>>' for the one
+    before that. A conversation's first turn quotes nothing.
+    """
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+
+    def quote(n):
+        return F.regexp_replace(F.lag("text", n).over(order), "(?m)^", ">" * n + " ")
+
+    parts = F.filter(F.array(quote(2), quote(1), F.col("text")), lambda x: x.isNotNull())
+    return turns.select("conv_id", "turn", "role", F.when(
+        F.col("text").isNotNull(), F.array_join(parts, "\n")).alias("text"))
+
+
+@query
+def op8_quotation_linking(spark, sf_dir):
+    """Messages in reply order, linked by what they quote and freed of it."""
+    return quotes.link(as_replies(table(spark, sf_dir, "conversations"))).select(
+        "conv_id", "turn", "role", "parent", "root", "depth", F.sha2(F.col("text"), 256).alias("text_sha256"))
