@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidemark.llm import bpe, fingerprints, langid, lines, mixing, quality, quotes, simhash
+from tidemark.llm import (
+    bpe, fingerprints, hamming, langid, lines, mixing, quality, quotes, simhash,
+)
 from tidemark.session import land
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
@@ -161,3 +163,11 @@ def op8_quotation_linking(spark, sf_dir):
     """Messages in reply order, linked by what they quote and freed of it."""
     return quotes.link(as_replies(table(spark, sf_dir, "conversations"))).select(
         "conv_id", "turn", "role", "parent", "root", "depth", F.sha2(F.col("text"), 256).alias("text_sha256"))
+
+
+@query
+def op7_hamming_search(spark, sf_dir):
+    """Ten nearest codes of every vector whose id is divisible by 20, among all vectors."""
+    rows = hamming.codes(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    rows = land(rows.drop("embedding"), "vector-codes")
+    return hamming.top_k(rows, rows.where("vec_id % 20 = 0"))
