@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.llm import (
-    bpe, fingerprints, hamming, langid, lines, mixing, quality, quotes, simhash,
+    bpe, fingerprints, hamming, langid, lines, mixing, quality, quotes, simhash, suffixes,
 )
 from tidemark.session import land
 
@@ -171,3 +171,17 @@ def op7_hamming_search(spark, sf_dir):
     rows = hamming.codes(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
     rows = land(rows.drop("embedding"), "vector-codes")
     return hamming.top_k(rows, rows.where("vec_id % 20 = 0"))
+
+
+def substring_digests(docs: DataFrame, length: int = suffixes.LENGTH) -> DataFrame:
+    removed = F.aggregate("spans", F.lit(0), lambda n, s: n + s["end"] - s["start"])
+    return suffixes.dedup_substrings(docs, length).select(
+        "doc_id", F.octet_length("text").cast("long").alias("n_bytes"),
+        removed.cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
+@query
+def op4_suffix_dedup(spark, sf_dir):
+    """Documents without the bytes that strings of 400 bytes found elsewhere cover."""
+    return substring_digests(table(spark, sf_dir, "documents"))
