@@ -9,19 +9,22 @@ this ends. Tasks hand on a spanning forest of the links they find, never all pai
 
 from __future__ import annotations
 
+import math
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.llm.components import components
 from tidemark.session import land
 
 SEED = 42
+CHECK_WORDS = 8             # 64-bit words of a check
 SUBTRIE_CODES = 20_000      # codes that a task holds at once
 LEAF_PAIRS = 4_096          # code pairs compared at once at the end of a walk
+MOST_PAIRS = 1_000_000
 # Fixed odd multipliers that turn one hash into several.
 MIX = np.array([1] + [int(xxhash.xxh64_intdigest(bytes([i]))) | 1 for i in range(1, 64)], np.uint64)
 
@@ -68,11 +71,13 @@ def node_pairs(codes: np.ndarray, budget: int):
         if differ > budget or a == a_end or b == b_end or (a == b and a_end - a < 2):
             continue
         if (a_end - a) * (b_end - b) <= LEAF_PAIRS or bit < 0:
-            off = np.bitwise_count(codes[a:a_end, None] ^ codes[None, b:b_end])
-            left, right = np.nonzero(off <= budget)
-            left, right = left + a, right + b
-            keep = left < right
-            yield left[keep], right[keep]
+            rows = max(1, MOST_PAIRS // (b_end - b))     # equal codes can make a large leaf
+            for at in range(a, a_end, rows):
+                off = np.bitwise_count(codes[at:min(a_end, at + rows), None] ^ codes[None, b:b_end])
+                left, right = np.nonzero(off <= budget)
+                left, right = left + at, right + b
+                keep = left < right
+                yield left[keep], right[keep]
             continue
         half = np.uint64(1 << bit)
 
@@ -93,6 +98,7 @@ def forest(codes: np.ndarray, nodes: np.ndarray, checks: np.ndarray | None, budg
     codes, nodes = codes[order], nodes[order]
     checks = checks[order] if checks is not None else None
     parent = list(range(len(codes)))
+    label = np.arange(len(codes))
 
     def find(i):
         while parent[i] != i:
@@ -100,16 +106,21 @@ def forest(codes: np.ndarray, nodes: np.ndarray, checks: np.ndarray | None, budg
         return i
 
     for left, right in node_pairs(codes, budget):
+        apart = label[left] != label[right]
+        left, right = left[apart], right[apart]
         if checks is not None and len(left):
             near = np.bitwise_count(checks[left] ^ checks[right]).sum(1) <= most
             left, right = left[near], right[near]
-        for i, j in zip(left.tolist(), right.tolist()):
+        if not len(left):
+            continue
+        for i, j in zip(label[left].tolist(), label[right].tolist()):
             i, j = find(i), find(j)
             if i != j:
                 parent[max(i, j)] = min(i, j)
-    roots = np.array([find(i) for i in range(len(codes))])
-    linked = roots != np.arange(len(codes))
-    return nodes[linked], nodes[roots[linked]]
+        names, place = np.unique(label, return_inverse=True)
+        label = np.array([find(i) for i in names.tolist()])[place]
+    linked = label != np.arange(len(codes))
+    return nodes[linked], nodes[label[linked]]
 
 
 def _cut(free: int, blocks: int) -> list[int]:
@@ -123,12 +134,12 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(codes: DataFrame, budget: int, most: int = 0) -> DataFrame:
+def links(codes: DataFrame, budget: int, most: int = 0, least_free: int = 2) -> DataFrame:
     """Edges a, b that span all links between nodes whose codes differ in at most budget bits.
 
     codes has columns node, table, code and check. Nodes of one table are compared; if check is not
     null, links are those whose checks differ in at most most bits. Node and code must be one-to-one
-    in a table unless there are checks.
+    in a table unless there are checks. Subtries with least_free free bits or fewer are not cut again.
     """
     rows, done = codes.withColumn("mask", F.lit(0).cast("long")), None
     masks = {0}
@@ -140,9 +151,9 @@ def links(codes: DataFrame, budget: int, most: int = 0) -> DataFrame:
         rows = rows.withColumn("value", F.col("code").bitwiseAND(F.col("mask")))
         rows = land(rows, "subtries")
         counts = rows.groupBy("table", "mask", "value").agg(F.count("*").alias("n"))
-        # with no more free bits than the budget, all codes of a subtrie are linked
         free = F.lit(64) - F.bit_count("mask")
-        large = land(counts.where((F.col("n") > SUBTRIE_CODES) & (free > budget)).drop("n"), "large-subtries")
+        large = (F.col("n") > SUBTRIE_CODES) & (free > max(budget, least_free))
+        large = land(counts.where(large).drop("n"), "large-subtries")
         key = ["table", "mask", "value"]
         masks = {r.mask & (1 << 64) - 1 for r in large.select("mask").distinct().collect()}
         small = rows.join(large, key, "left_anti") if masks else rows
@@ -193,3 +204,45 @@ def groups(df: DataFrame, budget: int = 2, id_col: str = "doc_id", code_col: str
     names = codes.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = land(codes.join(names, "root").select("code", "component_id"), "named-codes")
     return docs.join(named, "code").select("doc_id", "code", "component_id")
+
+
+def near_duplicates(df: DataFrame, size: int = 5, similarity: float = 0.8, tables: int = 8,
+                    budget: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of df without near copies: of each group the row with the smallest id stays.
+
+    Candidates are pairs within budget bits in one of several SimHashes of a text's distinct words;
+    they are linked if longer SimHashes of their shingles differ as little as those of texts whose
+    shingle sets have this Jaccard similarity. Texts without words, null ones too, are copies of each
+    other; null ids come last; of repeated rows one stays.
+    """
+    cosine = 2 * similarity / (1 + similarity)
+    most = int(64 * CHECK_WORDS * math.acos(cosine) / math.pi)
+
+    @F.arrow_udf("words array<long>, check array<long>")
+    def signatures(texts: pa.Array) -> pa.Array:
+        words, checks = [], []
+        for text in texts:
+            text = text.as_py()
+            words.append(signature(np.unique(shingle_hashes(text, 1)), tables))
+            checks.append(signature(shingle_hashes(text, size), CHECK_WORDS))
+        return pa.StructArray.from_arrays([
+            pa.array([x.view(np.int64) for x in words], pa.list_(pa.int64())),
+            pa.array([x.view(np.int64) for x in checks], pa.list_(pa.int64()))], ["words", "check"])
+
+    key = F.xxhash64(F.col(id_col).isNull(), F.col(id_col), F.col(text_col))
+    whole = df.select(F.struct(*df.columns).alias("row"), key.alias("key"), F.col(text_col).alias("text"),
+                      F.col(id_col).alias("doc_id"))
+    signed = whole.select("key", "doc_id", signatures("text").alias("s")).select(
+        "key", "doc_id", F.xxhash64("s.words", "s.check").alias("node"), "s.words", "s.check")
+    nodes = land(signed.groupBy("node").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key")).alias("best"),
+        F.min(F.struct("words", "check")).alias("s")).select("node", "best", "s.*"), "signatures")
+    codes = nodes.select("node", F.posexplode("words").alias("table", "code"), "check")
+    # equal codes stay together however they are cut, so one more cut is all that helps
+    roots = components(links(codes, budget, most, least_free=40))
+    kept = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(
+        F.min("best")["key"].alias("key"))
+    kept = land(kept.select("key"), "kept-rows")
+    # the node of a text is the same wherever it stands, so repeated rows differ in nothing
+    again = F.row_number().over(Window.partitionBy("key").orderBy("doc_id"))
+    return whole.join(kept, "key", "left_semi").withColumn("n", again).where("n = 1").select("row.*")
