@@ -5,7 +5,7 @@ each other mostly share it, so a document is a sequence of stretches with one su
 windows have equal anchors. Stretches whose anchor is nowhere else are done, and equal stretches
 collapse to one. The rest goes, by anchor, to shards of bounded size: in each, prefix doubling ranks
 the suffixes until windows of equal rank are equal. Anchors with more text than a shard are spread
-over several, and the windows of their sorted suffix arrays are merged by digest.
+over several; their distinct windows, sorted by digest, are merged by binary search.
 """
 
 from __future__ import annotations
@@ -145,7 +145,7 @@ def duplicate_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     wanted = contents.groupBy("anchor").agg(
         F.count("*").alias("kinds"), F.bool_or("at.again").alias("again"), F.sum(size).alias("bytes"))
     wanted = wanted.where("kinds > 1 or again").select(
-        "anchor", F.ceil(F.col("bytes") / SHARD_BYTES).alias("shards"))
+        "anchor", F.ceil(F.col("bytes") / SHARD_BYTES).cast("int").alias("shards"))
     whole = stretches.join(contents.where("n > 1").select("anchor", "content"), ["anchor", "content"]) \
         .select(*DOC, "first", "last")
     single = contents.join(wanted, "anchor").select(
@@ -159,39 +159,44 @@ def duplicate_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                       & (F.col("digest") == F.col("of_digest")))
     bytes_ = F.encode("text", "utf-8")
     parts = texts.select(*DOC, bytes_.alias("data"), F.explode("places").alias("p")).select(
-        *DOC, "p.first", "p.anchor", "p.shard", (F.col("p.shards") > 1).alias("spread"),
+        *DOC, "p.first", "p.anchor", "p.shard", "p.shards",
         F.substring("data", F.col("p.first") + 1, F.col("p.last") - F.col("p.first") + length).alias("data"))
     found = land(_shards(parts, length), "shard-windows")
-    # windows of anchors spread over shards: equal digests from two shards
-    spread = found.where("d1 is not null")
-    twice = spread.groupBy("d1", "d2").agg(F.count("*").alias("n")).where("n > 1").select("d1", "d2")
-    merged = spread.join(twice, ["d1", "d2"]).select(*DOC, "first", "last")
-    return whole.unionByName(found.where("d1 is null").select(*DOC, "first", "last")).unionByName(merged)
+    return whole.unionByName(found.where("payload is null").select(*DOC, "first", "last")).unionByName(
+        _merged(found.where("payload is not null").select("anchor", "part", "payload")))
 
 
 def _shards(parts: DataFrame, length: int) -> DataFrame:
-    """Runs of repeated windows in each shard; of spread anchors also each distinct window's digest."""
+    """Runs of repeated windows in each shard; of spread anchors also their distinct windows.
+
+    These are packed as WINDOW records sorted by digest, a row for each range of digests.
+    """
     def search(batches):
         held, size, at = [], 0, None
 
         def flush():
-            out = []
-            marks = repeated([r["data"] for r in held], length)
-            for r, (twice, lone) in zip(held, marks, strict=True):
-                base = r["doc_id"], r["digest"]
-                out += [(*base, r["first"] + a, r["first"] + b, None, None) for a, b in _spans(twice)]
-                if r["spread"]:
-                    for s in np.flatnonzero(lone).tolist():
-                        x = xxhash.xxh3_128_digest(r["data"][s:s + length])
-                        out.append((*base, r["first"] + s, r["first"] + s,
-                                    int.from_bytes(x[:8], "big", signed=True),
-                                    int.from_bytes(x[8:], "big", signed=True)))
+            out, records = [], []
+            for r, (twice, lone) in zip(held, repeated([r["data"] for r in held], length), strict=True):
+                doc = r["doc_id"], r["digest"]
+                out += [(*doc, r["first"] + a, r["first"] + b, *[None] * 3) for a, b in _spans(twice)]
+                if r["shards"] > 1:
+                    records += [(xxhash.xxh3_128_digest(r["data"][s:s + length]), r["doc_id"] is not None,
+                                 doc[0] or 0, doc[1], r["first"] + s) for s in np.flatnonzero(lone).tolist()]
+            if records:
+                records = np.array(records, WINDOW)
+                records = records[np.argsort(records["window"])]
+                anchor, ranges = held[0]["anchor"], held[0]["shards"]
+                part = np.frombuffer(records["window"].tobytes(), np.uint8)[::16].astype(np.int64) * ranges // 256
+                cuts = np.searchsorted(part, np.arange(ranges + 1))
+                out += [(*[None] * 4, anchor, k, records[i:j].tobytes())
+                        for k, (i, j) in enumerate(zip(cuts, cuts[1:])) if i < j]
             return pa.RecordBatch.from_pylist([dict(zip(SHARD.names, o, strict=True)) for o in out], SHARD)
 
         for batch in batches:
             for row in batch.to_pylist():
                 key = row["anchor"], row["shard"]
-                if key != at and (size >= SHARD_BYTES // 2 or row["spread"] or (held and held[-1]["spread"])):
+                alone = row["shards"] > 1 or (held and held[-1]["shards"] > 1)
+                if key != at and (size >= SHARD_BYTES // 2 or alone):
                     if held:
                         yield flush()
                     held, size = [], 0
@@ -203,11 +208,51 @@ def _shards(parts: DataFrame, length: int) -> DataFrame:
 
     key = ["anchor", "shard"]
     return parts.repartition(*key).sortWithinPartitions(*key).mapInArrow(
-        search, "doc_id long, digest long, first int, last int, d1 long, d2 long")
+        search, "doc_id long, digest long, first int, last int, anchor long, part int, payload binary")
+
+
+def _merged(lists: DataFrame) -> DataFrame:
+    """Runs of windows that several shards of an anchor have, from their lists of one digest range."""
+    def merge(batches):
+        held, at = [], None
+
+        def flush():
+            # each list looks its windows up in the lists before it
+            known, twice = held[0], []
+            for more in held[1:]:
+                place = np.searchsorted(known["window"], more["window"])
+                same = known["window"][np.minimum(place, len(known) - 1)] == more["window"]
+                twice += [more[same], known[place[same]]]
+                known = np.insert(known, place[~same], more[~same])
+            found = np.unique(np.concatenate(twice)[["known", "doc_id", "digest", "first"]]) if twice else ()
+            runs = []
+            for known, doc_id, digest, first in [x.item() for x in found]:
+                doc = doc_id if known else None, digest
+                if runs and runs[-1][:2] == doc and runs[-1][3] == first - 1:
+                    runs[-1] = *runs[-1][:3], first
+                else:
+                    runs.append((*doc, first, first))
+            return pa.RecordBatch.from_pylist([dict(zip(RUNS.names, r, strict=True)) for r in runs], RUNS)
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                key = row["anchor"], row["part"]
+                if key != at and held:
+                    yield flush()
+                    held = []
+                at = key
+                held.append(np.frombuffer(row["payload"], WINDOW))
+        if held:
+            yield flush()
+
+    key = ["anchor", "part"]
+    return lists.repartition(*key).sortWithinPartitions(*key).mapInArrow(
+        merge, "doc_id long, digest long, first int, last int")
 
 
-SHARD = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("first", pa.int32()),
-                   ("last", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64())])
+RUNS = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
+SHARD = pa.schema([*RUNS, ("anchor", pa.int64()), ("part", pa.int32()), ("payload", pa.binary())])
+WINDOW = np.dtype([("window", "V16"), ("known", bool), ("doc_id", "i8"), ("digest", "i8"), ("first", "i4")])
 
 
 def dedup_substrings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
