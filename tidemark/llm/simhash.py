@@ -149,7 +149,6 @@ def links(codes: DataFrame, budget: int, most: int = 0, least_free: int = 2) ->
             F.lit(_signed(m)), F.array(*map(F.lit, c)).cast("array<long>"))])
         rows = rows.withColumn("mask", F.explode(F.element_at(spread, F.col("mask"))))
         rows = rows.withColumn("value", F.col("code").bitwiseAND(F.col("mask")))
-        rows = land(rows, "subtries")
         counts = rows.groupBy("table", "mask", "value").agg(F.count("*").alias("n"))
         free = F.lit(64) - F.bit_count("mask")
         large = (F.col("n") > SUBTRIE_CODES) & (free > max(budget, least_free))
