@@ -81,7 +81,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     runs = land(repeated_runs(keyed.select(*DOC, "text"), min_words), "line-runs")
     runs = runs.groupBy(F.col("doc_id").alias("of_id"), F.col("digest").alias("of_digest")).agg(
         F.collect_list(F.struct("first", "last")).alias("runs"))
-    joined = keyed.join(runs, F.col("doc_id").eqNullSafe(F.col("of_id"))
+    # one plan at every size, whether or not the runs would fit a broadcast
+    joined = keyed.join(runs.hint("merge"), F.col("doc_id").eqNullSafe(F.col("of_id"))
                         & (F.col("digest") == F.col("of_digest")), "left")
     kept = F.filter(F.split("text", "\n"), lambda _, i: ~F.exists(
         "runs", lambda r: (r["first"] <= i) & (i <= r["last"])))
