@@ -244,4 +244,4 @@ def near_duplicates(df: DataFrame, size: int = 5, similarity: float = 0.8, table
     kept = land(kept.select("key"), "kept-rows")
     # the node of a text is the same wherever it stands, so repeated rows differ in nothing
     again = F.row_number().over(Window.partitionBy("key").orderBy("doc_id"))
-    return whole.join(kept, "key", "left_semi").withColumn("n", again).where("n = 1").select("row.*")
+    return whole.join(kept.hint("merge"), "key", "left_semi").withColumn("n", again).where("n = 1").select("row.*")
