@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tidemark.session import land
+
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 DOCS_PER_LANGUAGE = 500     # most labelled documents used of each language
@@ -171,11 +173,20 @@ class Reader:
 
 
 def sample(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
-    """At most DOCS_PER_LANGUAGE labelled texts of each language, by a hash of the text."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
+    """At most DOCS_PER_LANGUAGE labelled texts of each language, those with the smallest hashes.
+
+    A language's count sets the share of hashes that can matter, so that what is ordered stays small
+    however many documents it has.
+    """
+    order = Window.partitionBy("lang").orderBy("hash", "text")
     docs = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     docs = docs.where(F.col("lang").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
-    return docs.withColumn("n", F.row_number().over(order)).where(f"n <= {DOCS_PER_LANGUAGE}").drop("n")
+    docs = docs.withColumn("hash", F.pmod(F.xxhash64("text"), F.lit(1 << 40)))
+    share = F.least(F.lit(1.0), 8 * DOCS_PER_LANGUAGE / F.count("*"))
+    shares = land(docs.groupBy("lang").agg((share * (1 << 40)).cast("long").alias("below")), "shares")
+    some = docs.join(shares, "lang").where("hash <= below")
+    return some.withColumn("n", F.row_number().over(order)).where(f"n <= {DOCS_PER_LANGUAGE}") \
+        .select("text", "lang")
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
