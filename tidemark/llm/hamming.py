@@ -88,11 +88,12 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_i
             flips = [x - (1 << 64) if x >> 63 else x for x in flips]
             own = part("q", i)
             if flips:
-                some = open_.select("q", F.lit(i).alias("segment"), 
+                some = open_.select("q", F.lit(i).alias("segment"),
                     F.explode(F.lit(np.array(flips, np.int64))).alias("value"))
                 some = some.withColumn("value", F.col("value").bitwiseXOR(own))
                 probes = some if probes is None else probes.unionByName(some)
-        found = probes.join(index, ["segment", "value"]).where(home == F.col("segment")).select(
+        # the size of exploded probes is not known beforehand: neither side may be broadcast
+        found = probes.join(index.hint("shuffle_hash"), ["segment", "value"]).where(home == F.col("segment")).select(
             "q", "code", "first", "members", F.bit_count(off).alias("distance"))
         if best is not None:
             found = found.unionByName(best.join(open_, "q", "left_semi"))
