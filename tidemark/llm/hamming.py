@@ -1,6 +1,6 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-A code is cut into segments of about log2(number of codes) bits. Codes within distance d of a query
+A code is cut into segments so that a bucket of a segment holds about four codes. Codes within distance d of a query
 agree with it up to floor(d / segments) bits in some segment, so after probing all segments up to
 radius r every code within segments * (r + 1) - 1 bits is known. Radii grow for the queries whose
 k-th neighbour is not yet within that distance.
@@ -43,8 +43,11 @@ def codes(vectors: DataFrame, vec_col: str = "embedding", out_col: str = "code")
 
 
 def _segments(n: int) -> list[tuple[int, int]]:
-    """First bit and width of each segment for n codes."""
-    parts = math.ceil(64 / max(4, min(20, round(math.log2(max(2, n))))))
+    """First bit and width of each segment for n codes: about four codes to a bucket.
+
+    Buckets of one code would ask for far more probes than there are codes to find.
+    """
+    parts = math.ceil(64 / max(4, min(20, round(math.log2(max(2, n / 4))))))
     edges = [64 * i // parts for i in range(parts + 1)]
     return list(zip(edges, (b - a for a, b in zip(edges, edges[1:]))))
 
