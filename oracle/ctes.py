@@ -434,11 +434,11 @@ cte("snap", """
 SELECT c.ticker AS file_ticker, universe_pos AS k, CASE WHEN universe_pos % 18 = 0 THEN 'X' ELSE '' END || c.ticker AS ticker,
   universe_pos % 21 = 0 AS malformed, universe_pos % 26 <> 0 AS has_latest, universe_pos % 27 <> 0 AS has_history,
   alt_price, shares_outstanding, beta, sector
-FROM companies AS c WHERE universe_pos IN (SELECT k FROM base_facts WHERE fy >= 1996)
+FROM companies AS c WHERE universe_pos IN (SELECT k FROM base_facts)
 """)
 cte("snap_hist", """
 SELECT s.*, f.period_end, f.rev, f.ebit, f.interest, f.tax, max(f.period_end) OVER (PARTITION BY s.k) AS newest
-FROM snap AS s JOIN facts_wide AS f ON f.k = s.k AND year(f.period_end) >= 1996
+FROM snap AS s JOIN facts_wide AS f ON f.k = s.k
 WHERE NOT malformed AND has_latest AND has_history
 """)
 cte("snap_statements", """

@@ -3,9 +3,9 @@ from tidemark.functions.normal import normal_cdf_sql
 import oracle.scanning  # noqa: F401  (registers shared table expressions)
 
 cte("portfolio_picks", """
-SELECT * FROM (SELECT industry AS portfolio_id, ticker, sector, beta, row_number() OVER (PARTITION BY industry ORDER BY universe_pos) AS pick_rank
-  FROM companies) WHERE pick_rank <= 12
+SELECT industry AS portfolio_id, ticker, sector, beta, row_number() OVER (PARTITION BY industry ORDER BY universe_pos) AS pick_rank FROM companies
 """)
+cte("targets", "SELECT ticker FROM companies WHERE beta <= 1 OR beta IS NULL")
 cte("weights", """
 SELECT *, raw / sum(raw) OVER (PARTITION BY portfolio_id) AS weight
 FROM (SELECT *, 1e0 / CASE WHEN coalesce(beta, 1e0) < 0.5e0 THEN 0.5e0 ELSE coalesce(beta, 1e0) END AS raw FROM portfolio_picks)
@@ -28,11 +28,14 @@ FROM (SELECT *, CASE WHEN trimmed IS NOT NULL THEN greatest(market_value - trimm
   FROM positions AS p LEFT JOIN companies AS c ON c.ticker = p.symbol WHERE p.asset_class = 'us_equity'))
 """)
 cte("polled", """
-SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY ts, event_id) AS poll, status IN ('filled', 'rejected') AS done FROM order_events
+SELECT e.*, epoch_us(ts) - s.start AS since, status IN ('filled', 'rejected') AS done FROM order_events AS e
+JOIN (SELECT order_id, min(epoch_us(ts)) AS start FROM order_events GROUP BY 1) AS s ON s.order_id = e.order_id
+WHERE epoch_us(ts) - s.start <= 9 * 3 * 86400000000
 """)
 cte("resolved_orders", """
-SELECT p.*, e.done_at IS NOT NULL AS resolved FROM polled AS p JOIN (SELECT order_id, min(poll) FILTER (done) AS done_at, max(poll) AS last_poll
-  FROM polled WHERE poll <= 10 GROUP BY 1) AS e ON e.order_id = p.order_id AND p.poll = coalesce(done_at, last_poll)
+SELECT *, done AS resolved, CASE WHEN done THEN (since + 3 * 86400000000 - 1) // (3 * 86400000000) + 1 ELSE 10 END AS poll
+FROM polled QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY NOT done,
+  CASE WHEN done THEN ts END, CASE WHEN done THEN event_id END, ts DESC, event_id DESC) = 1
 """)
 cte("spot", """
 SELECT d.as_of, (SELECT arg_max(close, date) FROM macro_prices WHERE ticker = 'IDX' AND date BETWEEN d.as_of - 10 AND d.as_of) AS spot
@@ -45,7 +48,7 @@ ORDER BY abs(expiration_date - (as_of + 30)), abs(strike_price - spot), chain_po
 """)
 cte("hedge_positions", """
 SELECT 'SPY' || lpad(p_partkey::VARCHAR, 7, '0') AS symbol, CASE WHEN p_partkey % 5 = 0 THEN 'us_equity' ELSE 'us_option' END AS asset_class,
-  1e0 + p_partkey % 2 AS qty, 0.1e0 * (1 + p_partkey % 3) AS market_value FROM part WHERE p_partkey % 53 BETWEEN 17 AND 20
+  1e0 + p_partkey % 2 AS qty, 0.001e0 * (1 + p_partkey % 3) AS market_value FROM part
 """)
 cte("exposure", """
 SELECT c.underlying, c.as_of, coalesce(sum(qty) FILTER (h.symbol = c.symbol), 0e0) AS matching_qty,
@@ -89,7 +92,7 @@ FROM halves AS h LEFT JOIN (SELECT c.portfolio_id, min(level) AS level FROM (
     "a10_sector_totals": build("""
 SELECT portfolio_id, coalesce(sector, 'Unknown') AS sector, sum(weight) AS sector_weight, sum(weight) > 0.25e0 + 1e-9 AS breach FROM weights GROUP BY 1, 2""", r6=["sector_weight"]),
     "p4_liquidation_plan": build("""
-SELECT symbol, qty, market_value, reason FROM (SELECT p.*, CASE WHEN symbol NOT IN (SELECT ticker FROM portfolio_picks WHERE pick_rank <= 3) THEN 'left_targets'
+SELECT symbol, qty, market_value, reason FROM (SELECT p.*, CASE WHEN symbol NOT IN (SELECT ticker FROM targets) THEN 'left_targets'
     WHEN current_price >= intrinsic_value THEN 'profit_taking' END AS reason
   FROM positions AS p LEFT JOIN valuations AS v ON v.ticker = p.symbol AND v.as_of = DATE '2001-06-30' WHERE asset_class = 'us_equity')
 WHERE reason IS NOT NULL""", r6=["qty", "market_value"]),
@@ -118,8 +121,8 @@ SELECT p AS positions_ok, s AS sector_breach, p AND NOT s AS resolved FROM (SELE
 SELECT order_id, {label("LIQUIDATED", "PARTIALLY_LIQUIDATED")} AS liquidation, {label("ORDER FILLED", "PARTIALLY FILLED")} AS rebalance FROM resolved_orders"""),
     "p9_holdings_weights": build("SELECT symbol AS ticker, market_value / 100000e0 AS weight FROM positions WHERE asset_class = 'us_equity'", r6=["weight"]),
     "j8_positions_against_targets": build("""
-SELECT symbol, 'left_targets' AS kind, market_value FROM positions WHERE symbol NOT IN (SELECT ticker FROM portfolio_picks WHERE pick_rank <= 3)
-UNION ALL SELECT ticker, 'target', coalesce(market_value, 0) FROM (SELECT DISTINCT ticker FROM portfolio_picks WHERE pick_rank <= 3) LEFT JOIN positions ON symbol = ticker""", r6=["market_value"]),
+SELECT symbol, 'left_targets' AS kind, market_value FROM positions WHERE symbol NOT IN (SELECT ticker FROM targets)
+UNION ALL SELECT ticker, 'target', coalesce(market_value, 0) FROM targets LEFT JOIN positions ON symbol = ticker""", r6=["market_value"]),
     "j9_exits_not_rebought": build("""
 SELECT ticker FROM companies WHERE ticker NOT IN (SELECT symbol FROM resolved_orders WHERE status = 'filled' AND filled_qty > 0)"""),
     "j10_nearest_contract": build("SELECT * FROM chosen", r6=["strike_price", "spot"]),

@@ -18,5 +18,7 @@ WHERE event_type <> 'view' AND epoch_us(ts) // 1000000 > 1706572800 - 43200 AND
     "t3_order_resolution": build("SELECT order_id, status, filled_qty, resolved, poll AS polls FROM resolved_orders", r6=["filled_qty"]),
     "t4_fill_log": build("""
 SELECT epoch_us(ts) AS ts_us, symbol AS ticker, upper(side) AS action, filled_qty AS quantity, 50e0 + order_id::BIGINT % 60 AS execution_price,
-  NULL::DOUBLE AS wacc, NULL::DOUBLE AS var_95 FROM order_events WHERE filled_qty > 0""", r6=["quantity", "execution_price"]),
+  NULL::DOUBLE AS wacc, NULL::DOUBLE AS var_95 FROM order_events WHERE filled_qty > 0
+UNION ALL SELECT epoch_us(ts), 'PORTFOLIO', 'RISK_SNAPSHOT', 0e0, 0e0, NULL, 0.01e0 * (1 + user_id % 5) FROM events WHERE event_type = 'signup'""",
+        r6=["quantity", "execution_price", "var_95"]),
 }

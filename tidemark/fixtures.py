@@ -453,7 +453,7 @@ def snapshots_raw(spark, sf_dir) -> DataFrame:
         F.when(~mod(k, 11), 0.1 * rev).alias("cash_and_equivalents_usd"),
         accn.alias("pretax_income_accession"),
     )
-    per = base_facts(spark, sf_dir).filter("fy >= 1996").groupBy("k").agg(
+    per = base_facts(spark, sf_dir).groupBy("k").agg(
         F.array_sort(F.collect_list(year)).alias("h"), F.max_by(latest, fy).alias("l")
     )
     c = companies(spark, sf_dir).withColumn("k", F.col("universe_pos").cast("bigint"))
@@ -516,17 +516,21 @@ def median_documents(spark, sf_dir) -> DataFrame:
 
 
 def portfolio_picks(spark, sf_dir) -> DataFrame:
-    """The first twelve companies of each industry, as one portfolio per industry."""
+    """All companies of each industry, as one portfolio per industry."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("industry").orderBy("universe_pos")
     return (
         companies(spark, sf_dir).withColumn("pick_rank", F.row_number().over(w))
-        .filter(F.col("pick_rank") <= 12)
         .select(F.col("industry").alias("portfolio_id"), "ticker", "sector", "beta", "pick_rank")
     )
 
 
+def targets(spark, sf_dir) -> DataFrame:
+    """Names to hold: all companies that move no more than the market; unknown betas count as one."""
+    return companies(spark, sf_dir).filter(F.coalesce("beta", F.lit(1.0)) <= 1).select("ticker")
+
+
 def holdings(spark, sf_dir) -> DataFrame:
     """One portfolio per nation: the five region series and a name without prices."""
     n = F.col("n_nationkey")
@@ -561,12 +565,12 @@ def region_curves(spark, sf_dir) -> DataFrame:
 
 
 def hedge_positions(spark, sf_dir) -> DataFrame:
-    """Held options around the money, plus ordinary equities that must be ignored."""
+    """Held options over all strikes, plus ordinary equities that must be ignored."""
     k = F.col("p_partkey")
-    return table(spark, sf_dir, "part").filter((k % 53).between(17, 20)).select(
+    return table(spark, sf_dir, "part").select(
         F.concat(F.lit("SPY"), F.lpad(k.cast("string"), 7, "0")).alias("symbol"),
         F.when(k % 5 == 0, "us_equity").otherwise("us_option").alias("asset_class"),
-        (1.0 + k % 2).alias("qty"), (0.1 * (1 + k % 3)).alias("market_value"),
+        (1.0 + k % 2).alias("qty"), (0.001 * (1 + k % 3)).alias("market_value"),
     )
 
 

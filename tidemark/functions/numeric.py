@@ -50,7 +50,7 @@ def clamp(c, low, high) -> Column:
 def positive_whole(c, minimum: int = 1) -> Column:
     """Whole numbers of at least `minimum` as bigint, everything else null."""
     c = col(c)
-    ok = is_finite(c) & (c >= minimum) & (c == F.floor(c)) & (c < F.lit(9.0e15))
+    ok = is_finite(c) & (c >= minimum) & (c == F.floor(c)) & (c < F.lit(2.0 ** 63))
     return F.when(ok, c).try_cast("bigint")
 
 

@@ -13,8 +13,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidemark.params import ScanParams
 
-MAX_RANGES = 64
-
 
 def date_grid(spark: SparkSession, dates) -> DataFrame:
     values = F.array(*[F.lit(d).cast("date") for d in dates])
@@ -28,11 +26,13 @@ def visible_days(grid: DataFrame, lookback_days: int) -> DataFrame:
 
 
 def within_lookback(c: Column, dates, lookback_days: int) -> Column:
-    """Plain range predicate over all windows, so that it reaches the scan."""
-    days = [date.fromisoformat(str(d)) for d in dates]
-    windows = [(d - timedelta(days=lookback_days), d) for d in days]
-    if len(windows) > MAX_RANGES:
-        windows = [(min(w[0] for w in windows), max(days))]
+    """Plain range predicate over all windows, touching ones merged, so that it reaches the scan."""
+    windows = []
+    for day in sorted(date.fromisoformat(str(d)) for d in dates):
+        low = day - timedelta(days=lookback_days)
+        if windows and low <= windows[-1][1] + timedelta(days=1):
+            low = windows.pop()[0]
+        windows.append((low, day))
     out = F.lit(False)
     for low, high in windows:
         out = out | c.between(F.lit(low), F.lit(high))

@@ -11,24 +11,26 @@ TERMINAL = (
 )
 
 
-def resolve_orders(events: DataFrame, max_polls: int = 10) -> DataFrame:
-    """State of each order after polling stops: the first terminal one within max_polls
-    observations, else the last one seen."""
+def resolve_orders(events: DataFrame, max_polls: int = 10, interval_seconds: float = 0.5) -> DataFrame:
+    """State of each order when polling stops: its first terminal one up to the last poll, else the
+    last one seen. The first poll is at the order's first event."""
     from pyspark.sql import Window
 
-    seq = Window.partitionBy("order_id").orderBy("ts", "event_id")
-    polled = events.withColumn("poll", F.row_number().over(seq)).filter(F.col("poll") <= max_polls)
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    step = round(interval_seconds * 1_000_000)
+    since = at - F.min(at).over(Window.partitionBy("order_id"))
+    seen = events.withColumn("since", since).filter(F.col("since") <= (max_polls - 1) * step)
     done = F.col("status").isin(*TERMINAL)
-    first_done = F.min(F.when(done, F.col("poll")))
-    ends = polled.groupBy("order_id").agg(
-        first_done.alias("done_at"), F.max("poll").alias("last_poll")
-    )
-    kept = polled.join(ends, "order_id").filter(
-        F.col("poll") == F.coalesce("done_at", "last_poll")
-    )
-    return kept.select(
-        "order_id", "symbol", "side", "status", "filled_qty", "filled_avg_price",
-        F.col("done_at").isNotNull().alias("resolved"), F.col("poll").alias("polls"),
+    state = F.struct("symbol", "side", "status", "filled_qty", "filled_avg_price", "since")
+    order = F.struct("ts", "event_id")
+    ends = seen.groupBy("order_id").agg(
+        F.min_by(state, F.when(done, order)).alias("first_done"), F.max_by(state, order).alias("last"))
+    kept = F.coalesce("first_done", "last")
+    polls = F.when(F.col("first_done").isNotNull(), F.ceil(kept["since"] / step) + 1).otherwise(max_polls)
+    return ends.select(
+        "order_id", *[kept[c].alias(c) for c in (
+            "symbol", "side", "status", "filled_qty", "filled_avg_price")],
+        F.col("first_done").isNotNull().alias("resolved"), polls.cast("int").alias("polls"),
     )
 
 

@@ -19,30 +19,38 @@ def inverse_beta_weights(picks: DataFrame, p: PortfolioParams = PortfolioParams(
     return raw.withColumn("weight", F.col("raw") / F.sum("raw").over(w)).drop("raw")
 
 
-def distribute_capped(weights: DataFrame, amount: str, cap: float) -> DataFrame:
+def distribute_capped(weights: DataFrame, amount: str, cap: float,
+                      p: PortfolioParams = PortfolioParams()) -> DataFrame:
     """Pour `amount` over the rows of a portfolio in proportion to their weights, none above
-    the cap; what does not fit stays cash.
+    the cap; what does not fit stays cash. No weight is lowered; amounts up to eps change nothing.
 
-    Pouring in rounds keeps the uncapped rows proportional, so the result is
-    min(cap, level * weight) with one level per portfolio: the largest rows are full, and the
-    level spreads the rest. Portfolios are short lists, so one window each is enough.
+    Pouring in rounds keeps the rows below the cap proportional, so each of them ends at
+    min(cap, level * weight) with one level per portfolio: the largest are full, and the level
+    spreads the rest. Rows without weight share equally what the others cannot take. Null weights
+    stay null.
     """
-    order = Window.partitionBy("portfolio_id").orderBy(F.desc("weight"), "ticker")
+    kind = F.when(F.col("weight") >= cap, "full").when(F.col("weight") > 0, "open").when(
+        F.col("weight") == 0, "empty")
     whole = Window.partitionBy("portfolio_id")
+    order = Window.partitionBy("portfolio_id", "kind").orderBy(F.desc("weight"), "ticker")
     rest = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    rows = weights.withColumns({
-        "full": F.row_number().over(order) - 1,
+    weight, is_open = F.col("weight"), F.col("kind") == "open"
+    rows = weights.withColumn("kind", kind).withColumns({
+        "ahead": F.row_number().over(order) - 1,
         "tail": F.sum("weight").over(rest),
-        "target": F.sum("weight").over(whole) + F.col(amount),
+        "target": F.sum(F.when(is_open, weight)).over(whole) + F.col(amount),
+        "spare": F.col(amount) - F.sum(F.when(is_open, cap - weight).otherwise(0.0)).over(whole),
+        "empties": F.count_if(F.col("kind") == "empty").over(whole),
     })
-    level = ratio(F.col("target") - F.col("full") * cap, "tail")
-    rows = rows.withColumn("level", level)
-    fits = F.when(F.col("level") * F.col("weight") <= cap, F.struct("full", "level"))
-    best = F.min(fits).over(whole)
-    poured = F.least(F.lit(cap), best["level"] * F.col("weight"))
+    rows = rows.withColumn("level", F.when(is_open, ratio(F.col("target") - F.col("ahead") * cap, "tail")))
+    fits = F.when(F.col("level") * weight <= cap, F.struct("ahead", "level"))
+    rows = rows.withColumn("level", F.min(fits).over(whole)["level"])
+    poured = F.greatest(weight, F.least(F.lit(cap), F.coalesce(F.col("level") * weight, F.lit(cap))))
+    shared = F.least(F.lit(cap), F.greatest(F.lit(0.0), F.col("spare")) / F.col("empties"))
+    changed = F.when(is_open, poured).when(F.col("kind") == "empty", shared).otherwise(weight)
     return rows.withColumn(
-        "new_weight", F.when(best.isNull(), F.lit(cap)).otherwise(poured)
-    ).drop("full", "tail", "target", "level")
+        "new_weight", F.when(F.col(amount) > p.eps, changed).otherwise(weight)
+    ).drop("kind", "ahead", "tail", "target", "spare", "empties", "level")
 
 
 def capped_weights(picks: DataFrame, p: PortfolioParams = PortfolioParams()) -> DataFrame:

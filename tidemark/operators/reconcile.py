@@ -58,9 +58,13 @@ def first_divergence(compared: DataFrame, keys=("ticker",)) -> DataFrame:
              .alias("first_divergence"), "failures")
 
 
-def directional_bias(compared: DataFrame) -> DataFrame:
-    """A metric is biased when at least two companies differ and all in one direction."""
-    d = F.col("produced") - F.col("expected")
+def directional_bias(compared: DataFrame, noise: float = 0.0) -> DataFrame:
+    """A metric is biased when at least two companies differ and all in one direction.
+
+    Differences up to the fraction noise of the expected value count as equal; by default none do.
+    """
+    gap = F.col("produced") - F.col("expected")
+    d = F.when(F.abs(gap) > noise * F.abs("expected"), gap)
     up, down = F.count_if(d > 0), F.count_if(d < 0)
     counts = compared.groupBy("metric").agg(up.alias("above"), down.alias("below"))
     one_sided = (F.col("above") == 0) | (F.col("below") == 0)

@@ -10,6 +10,7 @@ from tidemark.plans.common import landed_valuations
 from tidemark.plans.registry import query
 
 EQUITY = 100_000.0
+POLL_SECONDS = 3 * 86_400.0     # the order events of the fixture are days apart
 
 
 def weights(t):
@@ -45,8 +46,7 @@ def a10_sector_totals(t):
 @query()
 def p4_liquidation_plan(t):
     v = landed_valuations(t).filter(F.col("as_of") == F.lit(fx.AS_OF[1]).cast("date"))
-    targets = t.portfolio_picks.filter("pick_rank <= 3").select("ticker").distinct()
-    return pf.liquidation_plan(t.positions, targets, v)
+    return pf.liquidation_plan(t.positions, t.targets, v)
 
 
 @query()
@@ -89,7 +89,7 @@ def p7_caps_resolved(t):
 
 @query()
 def p8_fill_labels(t):
-    o = orders.resolve_orders(t.order_events)
+    o = orders.resolve_orders(t.order_events, interval_seconds=POLL_SECONDS)
     return o.select("order_id", orders.fill_label("liquidation").alias("liquidation"),
                     orders.fill_label("rebalance").alias("rebalance"))
 
@@ -101,8 +101,7 @@ def p9_holdings_weights(t):
 
 @query()
 def j8_positions_against_targets(t):
-    targets = t.portfolio_picks.filter("pick_rank <= 3").select(
-        F.col("ticker").alias("symbol")).distinct()
+    targets = t.targets.select(F.col("ticker").alias("symbol"))
     left = t.positions.join(targets, "symbol", "left_anti").select(
         "symbol", F.lit("left_targets").alias("kind"), "market_value"
     )
@@ -116,7 +115,7 @@ def j8_positions_against_targets(t):
 
 @query()
 def j9_exits_not_rebought(t):
-    done = orders.resolve_orders(t.order_events).withColumn(
+    done = orders.resolve_orders(t.order_events, interval_seconds=POLL_SECONDS).withColumn(
         "status", orders.fill_label("liquidation"))
     return pf.keep_after_exits(t.companies.select("ticker"), done)
 

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tidemark.operators import latest, orders
+from tidemark.plans.planning import POLL_SECONDS
 from tidemark.plans.registry import query
 from tidemark.session import shared_dir
 from tidemark.streaming import attempts, flows
@@ -30,26 +31,32 @@ def t2_latest_fresh(t):
 
 @query()
 def t3_order_resolution(t):
-    return orders.resolve_orders(t.order_events).select(
+    return orders.resolve_orders(t.order_events, interval_seconds=POLL_SECONDS).select(
         "order_id", "status", "filled_qty", "resolved", F.col("polls").cast("bigint").alias("polls")
     )
 
 
 @query()
 def t4_fill_log(t):
-    """A stream over the event files, run until it has caught up, then read back."""
+    """A stream over the event files, run until it has caught up, then read back.
+
+    Sign-ups stand for the risk row that ends a run.
+    """
     base = f"{shared_dir(t.spark)}/tidemark/fills-{uuid.uuid4().hex}"
     schema = t.raw("events").schema
     stream = t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(
         t.sf_dir
     )
     uid = F.col("user_id")
+    risk = F.col("event_type") == "signup"
+    single = F.concat(F.lit("S"), F.lpad((uid % 100).cast("string"), 5, "0"))
     fills = stream.select(
-        "ts", F.concat(F.lit("S"), F.lpad((uid % 100).cast("string"), 5, "0")).alias("ticker"),
-        F.when(uid % 2 == 0, "BUY").otherwise("SELL").alias("action"),
+        "ts", F.when(risk, "PORTFOLIO").otherwise(single).alias("ticker"),
+        F.when(risk, "RISK_SNAPSHOT").when(uid % 2 == 0, "BUY").otherwise("SELL").alias("action"),
         F.when(F.col("event_type").isin("purchase", "click"), F.col("value"))
         .otherwise(F.lit(0.0)).alias("quantity"),
-        (50.0 + uid % 60).alias("execution_price"),
+        F.when(risk, 0.0).otherwise(50.0 + uid % 60).alias("execution_price"),
+        (0.01 * (1 + uid % 5)).alias("var_95"),
     )
     flows.log_fills(fills, f"{base}/log", f"{base}/checkpoint").awaitTermination()
     from tidemark.sources.sinks import read_trades

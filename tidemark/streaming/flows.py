@@ -38,11 +38,11 @@ def resolutions_stream(events: DataFrame, timeout: str = "5 seconds") -> DataFra
 
 
 def log_fills(fills: DataFrame, path: str, checkpoint: str):
-    """Append confirmed fills to the trade log. Each micro-batch owns one directory, which a
+    """Append confirmed fills and the risk rows of runs to the trade log. Each micro-batch owns one directory, which a
     replay overwrites, so a restart neither loses nor repeats rows."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = trade_log_rows(batch.filter(F.col("quantity") > 0))
+        rows = trade_log_rows(batch.filter((F.col("quantity") > 0) | (F.col("action") == "RISK_SNAPSHOT")))
         rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return fills.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(
