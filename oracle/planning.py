@@ -10,7 +10,11 @@ cte("weights", """
 SELECT *, raw / sum(raw) OVER (PARTITION BY portfolio_id) AS weight
 FROM (SELECT *, 1e0 / CASE WHEN coalesce(beta, 1e0) < 0.5e0 THEN 0.5e0 ELSE coalesce(beta, 1e0) END AS raw FROM portfolio_picks)
 """)
-cte("halves", "SELECT portfolio_id, ticker, least(weight / 2, 0.15e0) AS weight FROM weights")
+cte("spread_cases", """
+SELECT portfolio_id || ' ' || kind AS portfolio_id, ticker, amount, CASE kind WHEN 'high' THEN weight * 1.5e0 WHEN 'empty' THEN 0e0
+  WHEN 'gaps' THEN CASE WHEN pick_rank % 2 = 1 THEN 0e0 ELSE weight / 2 END ELSE weight / 2 END AS weight
+FROM weights, (VALUES ('half', 0.5e0), ('high', 0.2e0), ('gaps', 0.6e0), ('empty', 0.1e0), ('negative', -0.1e0)) AS k(kind, amount)
+""")
 cte("rebalance", """
 SELECT *, CASE WHEN abs(current_notional / 100000e0 - weight) <= 0.03e0 THEN 'within_drift' WHEN abs(raw_order) < 1 THEN 'below_minimum' ELSE 'pending' END AS status,
   CASE WHEN raw_order >= 0 THEN 'buy' ELSE 'sell' END AS side, raw_order AS order_notional
@@ -81,14 +85,17 @@ def label(full: str, part: str) -> str:
 SQL = {
     "p1_inverse_beta_weights": build("SELECT portfolio_id, ticker, pick_rank::INTEGER AS pick_rank, weight FROM weights", r6=["weight"]),
     "p2_capped_distribution": build("""
-SELECT h.portfolio_id, h.ticker, h.weight, CASE WHEN l.level IS NULL THEN 0.15e0 ELSE least(0.15e0, l.level * h.weight) END AS new_weight
-FROM halves AS h LEFT JOIN (SELECT c.portfolio_id, min(level) AS level FROM (
-    SELECT a.portfolio_id, a.ticker, (t.total + 0.5e0 - 0.15e0 * count(*) FILTER (b.weight > a.weight OR (b.weight = a.weight AND b.ticker < a.ticker)))
-      / sum(b.weight) FILTER (b.weight < a.weight OR (b.weight = a.weight AND b.ticker >= a.ticker)) AS level
-    FROM halves AS a JOIN halves AS b ON b.portfolio_id = a.portfolio_id
-    JOIN (SELECT portfolio_id, sum(weight) AS total FROM halves GROUP BY 1) AS t ON t.portfolio_id = a.portfolio_id GROUP BY a.portfolio_id, a.ticker, a.weight, t.total) AS c
-  WHERE abs((SELECT sum(least(0.15e0, c.level * x.weight)) - sum(x.weight) FROM halves AS x WHERE x.portfolio_id = c.portfolio_id) - 0.5e0) < 1e-9 GROUP BY 1) AS l
-  ON l.portfolio_id = h.portfolio_id""", r6=["weight", "new_weight"]),
+WITH RECURSIVE pouring AS (
+  SELECT portfolio_id, ticker, weight AS before, weight, amount AS remaining, true AS active, 0 AS round FROM spread_cases
+  UNION ALL
+  SELECT portfolio_id, ticker, before, weight + give, coalesce(sum(share - give) FILTER (WHERE capped) OVER (PARTITION BY portfolio_id), 0e0),
+    active AND NOT capped, round + 1
+  FROM (SELECT *, least(share, greatest(0.15e0 - weight, 0e0)) AS give, active AND least(share, greatest(0.15e0 - weight, 0e0)) < share - 1e-9 AS capped
+    FROM (SELECT *, CASE WHEN NOT active THEN 0e0 WHEN pool > 0 THEN remaining * (weight / pool) ELSE remaining / n END AS share
+      FROM (SELECT *, sum(weight) FILTER (WHERE active) OVER (PARTITION BY portfolio_id) AS pool,
+          count(*) FILTER (WHERE active) OVER (PARTITION BY portfolio_id) AS n FROM pouring WHERE remaining > 1e-9) WHERE n > 0)))
+SELECT portfolio_id, ticker, any_value(before) AS weight, arg_max(weight, round) AS new_weight FROM pouring GROUP BY portfolio_id, ticker""",
+        r6=["weight", "new_weight"]),
     "a10_sector_totals": build("""
 SELECT portfolio_id, coalesce(sector, 'Unknown') AS sector, sum(weight) AS sector_weight, sum(weight) > 0.25e0 + 1e-9 AS breach FROM weights GROUP BY 1, 2""", r6=["sector_weight"]),
     "p4_liquidation_plan": build("""
@@ -129,11 +136,13 @@ SELECT ticker FROM companies WHERE ticker NOT IN (SELECT symbol FROM resolved_or
     "a11_hedge_exposure": build("SELECT * FROM exposure", r6=["matching_qty", "matching_value", "other_qty", "other_value"]),
     "p10_hedge_plan": build("""
 SELECT portfolio_id, symbol, strike_price AS strike, days::INTEGER AS days, put_price, payoff, budget, target_contracts,
-  CASE WHEN target_contracts > 0 THEN greatest(trunc(target_contracts - matching_qty), 0)::BIGINT ELSE 0 END AS contracts_to_buy
-FROM (SELECT *, CASE WHEN var_dollars > 0 AND payoff > 0 AND budget > 0 THEN greatest(0, least(ceil(var_dollars / payoff), floor(budget / (put_price * 100)), 50)) ELSE 0 END::BIGINT AS target_contracts
-  FROM (SELECT r.*, p.*, e.matching_qty, CASE WHEN c % 3 <> 0 THEN least(greatest(0.02e0 * equity - (matching_value + other_value), 0), 0.01e0 * equity * (c % 5))
-      ELSE greatest(0.02e0 * equity - (matching_value + other_value), 0) END AS budget
-    FROM (SELECT c_custkey AS c, c_name AS portfolio_id, 50000e0 + 1000e0 * (c_custkey % 100) AS equity, c_acctbal AS var_dollars FROM customer) AS r,
-      put_now AS p, exposure AS e))""", r6=["strike", "put_price", "payoff", "budget"]),
+  CASE WHEN target_contracts > 0 THEN greatest(trunc(target_contracts - matching_qty), 0)::BIGINT ELSE 0 END AS contracts_to_buy,
+  CASE WHEN c % 17 = 0 THEN 'no_quote' WHEN c % 19 = 0 THEN 'no_contract' END AS reason
+FROM (SELECT *, CASE WHEN symbol IS NOT NULL AND var_dollars > 0 AND payoff > 0 AND budget > 0 THEN greatest(0, least(ceil(var_dollars / payoff), floor(budget / (put_price * 100)), 50)) ELSE 0 END::BIGINT AS target_contracts
+  FROM (SELECT r.*, p.*, e.matching_qty, CASE WHEN c % 3 <> 0 THEN least(greatest(0.02e0 * equity - coalesce(matching_value + other_value, 0), 0), 0.01e0 * equity * (c % 5))
+      ELSE greatest(0.02e0 * equity - coalesce(matching_value + other_value, 0), 0) END AS budget
+    FROM (SELECT c_custkey AS c, c_name AS portfolio_id, 50000e0 + 1000e0 * (c_custkey % 100) AS equity, c_acctbal AS var_dollars,
+        c_custkey % 17 <> 0 AND c_custkey % 19 <> 0 AS listed FROM customer) AS r
+      LEFT JOIN put_now AS p ON listed LEFT JOIN exposure AS e ON listed))""", r6=["strike", "put_price", "payoff", "budget"]),
     "k3_allocation_view": build("SELECT symbol, market_value, market_value / 100000e0 * 100 AS percentage FROM positions ORDER BY percentage DESC", r6=["market_value", "percentage"]),
 }

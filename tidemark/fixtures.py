@@ -575,11 +575,12 @@ def hedge_positions(spark, sf_dir) -> DataFrame:
 
 
 def hedge_requests(spark, sf_dir) -> DataFrame:
+    """Most ask for the quoted underlying, some for one without contracts or without a quote."""
     c = F.col("c_custkey")
     equity = 50000.0 + 1000.0 * (c % 100)
     return table(spark, sf_dir, "customer").select(
         F.col("c_name").alias("portfolio_id"),
-        F.replace(F.substring("c_name", 1, 8), F.lit("Customer"), F.lit("SPY")).alias("underlying"),
+        F.when(c % 17 == 0, "QQQ").when(c % 19 == 0, "IWM").otherwise("SPY").alias("underlying"),
         equity.alias("equity"), F.col("c_acctbal").alias("var_dollars"),
         F.when(c % 3 != 0, 0.01 * equity * (c % 5)).alias("buying_power"),
     )

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.normal import normal_cdf
-from tidemark.functions.numeric import is_finite, positive_whole, ratio
+from tidemark.functions.numeric import first_reason, is_finite, positive_whole, ratio
 from tidemark.params import HedgeParams
+from tidemark.session import land
 
 
 def price_puts(df: DataFrame, prefix: str = "", spot: str = "spot") -> DataFrame:
@@ -92,10 +93,21 @@ def hedge_exposure(positions: DataFrame, contracts: DataFrame, p: HedgeParams =
 
 def hedge_plan(requests: DataFrame, chain: DataFrame, quotes: DataFrame, positions: DataFrame,
                p: HedgeParams = HedgeParams()) -> DataFrame:
-    """requests: portfolio_id, underlying, equity, var_dollars, buying_power (null = unknown)."""
-    chosen = nearest_contract(chain, quotes, p)
-    held = hedge_exposure(positions, chosen, p)
-    j = requests.join(chosen, "underlying").join(held, ["underlying", "as_of"], "left")
+    """requests: portfolio_id, underlying, equity, var_dollars, buying_power (null = unknown).
+
+    Every request gets a row; reason says why it has no contract: no_quote, no_contract or expired.
+    The terms, one row per underlying and date, are written, so that Spark knows their size when all
+    requests ask for the same underlying.
+    """
+    chosen = land(nearest_contract(chain, quotes, p), "contracts")
+    terms = quotes.select("underlying", "as_of", F.col("spot").alias("quoted")).join(
+        chosen, ["underlying", "as_of"], "left").join(
+        hedge_exposure(positions, chosen, p), ["underlying", "as_of"], "left")
+    j = requests.join(land(terms, "hedge-terms"), "underlying", "left")
+    left_days = F.datediff("expiration_date", "as_of")
+    j = j.withColumn("reason", first_reason(
+        (~is_finite("quoted") | (F.col("quoted") <= 0), "no_quote"),
+        (F.col("symbol").isNull(), "no_contract"), (left_days <= 0, "expired")))
     spent = F.coalesce(F.col("matching_value") + F.col("other_value"), F.lit(0.0))
     own = F.when(F.col("equity") != 0, F.greatest(
         F.col("equity") * p.budget_fraction - spent, F.lit(0.0)))
@@ -107,10 +119,11 @@ def hedge_plan(requests: DataFrame, chain: DataFrame, quotes: DataFrame, positio
         "stress": F.lit(p.stress),
     }).withColumn("years", F.col("days") / 365.0)
     priced = stress_payoff(rows, p.multiplier)
-    priced = priced.withColumn("target_contracts", contracts_needed(priced, p))
+    priced = priced.withColumn("target_contracts", F.when(
+        F.col("reason").isNull(), contracts_needed(priced, p)).otherwise(F.lit(0).cast("bigint")))
     more = F.col("target_contracts") - F.coalesce("matching_qty", F.lit(0.0))
     buy = F.when(F.col("target_contracts") > 0, F.greatest(more.cast("bigint"), F.lit(0)))
     return priced.select(
         "portfolio_id", "symbol", "strike", "days", "put_price", "payoff", "budget",
-        "target_contracts", F.coalesce(buy, F.lit(0).cast("bigint")).alias("contracts_to_buy"),
+        "target_contracts", F.coalesce(buy, F.lit(0).cast("bigint")).alias("contracts_to_buy"), "reason",
     )

@@ -8,6 +8,7 @@ from tidemark import fixtures as fx
 from tidemark.operators import asof, hedging, lookup, orders, portfolio as pf
 from tidemark.plans.common import landed_valuations
 from tidemark.plans.registry import query
+from tidemark.session import land
 
 EQUITY = 100_000.0
 POLL_SECONDS = 3 * 86_400.0     # the order events of the fixture are days apart
@@ -24,11 +25,17 @@ def p1_inverse_beta_weights(t):
 
 @query()
 def p2_capped_distribution(t):
-    """Half of each portfolio is spread again over its names, none above 15 percent."""
-    half = weights(t).withColumn("weight", F.least(F.col("weight") / 2, F.lit(0.15))).withColumn(
-        "amount", F.lit(0.5)
-    )
-    return pf.distribute_capped(half, "amount", 0.15).select(
+    """Five cases of each portfolio, none of whose names may be lifted above 15 percent: half of it
+    is spread again, some names are above the cap, some or all are without weight, and an amount
+    is negative."""
+    w, name = F.col("weight"), F.col("portfolio_id")
+    odd = F.when(F.col("pick_rank") % 2 == 1, F.lit(0.0)).otherwise(w / 2)
+    cases = [("half", w / 2, 0.5), ("high", w * 1.5, 0.2), ("gaps", odd, 0.6), ("empty", F.lit(0.0), 0.1),
+             ("negative", w / 2, -0.1)]
+    spread = weights(t).select("ticker", F.inline(F.array(*[F.struct(
+        F.concat(name, F.lit(f" {case}")).alias("portfolio_id"), start.alias("weight"),
+        F.lit(amount).alias("amount")) for case, start, amount in cases])))
+    return pf.distribute_capped(spread, "amount", 0.15).select(
         "portfolio_id", "ticker", "weight", "new_weight"
     )
 
@@ -123,7 +130,10 @@ def j9_exits_not_rebought(t):
 def spot_quotes(t):
     spot = asof.as_of_price(t.macro_prices.filter("ticker = 'IDX'"), [fx.AS_OF[1]])
     name = F.replace("ticker", F.lit("IDX"), F.lit("SPY"))
-    return spot.select(name.alias("underlying"), "as_of", F.col("price").alias("spot"))
+    own = spot.select(name.alias("underlying"), "as_of", F.col("price").alias("spot"))
+    # a second underlying, on which no contract is listed
+    return land(own.unionByName(own.select(
+        F.lit("IWM").alias("underlying"), "as_of", (F.col("spot") / 2).alias("spot"))), "spot-quotes")
 
 
 @query()
