@@ -12,30 +12,37 @@ JOIN (SELECT ticker, avg(ebit / revenue) FILTER (revenue > 0) AS m,
 """)
 cte("request_rows", f"""
 SELECT c.ticker, coalesce(c.sector, 'Unknown') AS sector, c.beta, coalesce(nullif(last_price, 0), nullif(alt_price, 0)) AS price,
-  c.shares_outstanding AS shares, x.* EXCLUDE (ticker), (SELECT risk_free FROM rf_at WHERE as_of = DATE '2001-06-30') AS risk_free,
+  c.shares_outstanding AS shares, c.ticker AS rid, c.universe_pos, NULL AS refused, x.* EXCLUDE (ticker), (SELECT risk_free FROM rf_at WHERE as_of = DATE '2001-06-30') AS risk_free,
   CASE WHEN c.universe_pos % 2 = 1 THEN growth_request END AS gr, CASE WHEN c.universe_pos % 2 = 1 THEN margin_request END AS mr,
   CASE WHEN c.universe_pos % 2 = 1 THEN terminal_request ELSE 0.025e0 END AS tr
 FROM companies AS c JOIN ({REQUESTS}) AS r ON r.ticker = c.ticker LEFT JOIN inputs_now AS x ON x.ticker = c.ticker
 """)
+cte("asked_rows", """
+SELECT * REPLACE (CASE WHEN gr NOT BETWEEN -0.1e0 AND 0.4e0 THEN 'growth_out_of_range' WHEN mr NOT BETWEEN 0 AND 0.6e0 THEN 'margin_out_of_range'
+  WHEN tr NOT BETWEEN 0 AND 0.05e0 THEN 'terminal_growth_out_of_range' END AS refused) FROM request_rows
+UNION ALL SELECT * REPLACE (ticker || ' again' AS rid, NULL AS gr, NULL AS mr, 0.025e0 AS tr) FROM request_rows WHERE universe_pos % 10 = 2
+UNION ALL BY NAME SELECT 'X' || ticker AS ticker, ticker || ' x' AS rid, 'unknown_ticker' AS refused, 0.025e0 AS tr FROM request_rows WHERE universe_pos % 10 = 0
+UNION ALL BY NAME SELECT '' AS ticker, ticker || ' blank' AS rid, 'invalid_ticker' AS refused, 0.025e0 AS tr FROM request_rows WHERE universe_pos % 10 = 1
+""")
 # Two passes over the same formula: historical assumptions (h) and requested ones (r).
-for _name, _g, _m, _t in (("quoted", "coalesce(growth_hist, 0.08e0)", "coalesce(margin_hist, 0.15e0)", "0.025e0"),
-                          ("asked", "coalesce(gr, growth_hist, 0.08e0)", "coalesce(mr, margin_hist, 0.15e0)", "tr")):
+for _name, _rows, _g, _m, _t in (("quoted", "request_rows", "coalesce(growth_hist, 0.08e0)", "coalesce(margin_hist, 0.15e0)", "0.025e0"),
+                          ("asked", "asked_rows", "coalesce(gr, growth_hist, 0.08e0)", "coalesce(mr, margin_hist, 0.15e0)", "tr")):
     cte(f"{_name}_rates", f"""
 SELECT *, {_g} AS growth, {_m} AS margin, {_t} AS tg, coalesce(tax_derived, 0.21e0) AS tax_rate,
   CASE WHEN price > 0 AND shares > 0 THEN greatest(0.05e0, least(0.2e0, price * shares / (price * shares + coalesce(total_debt, 0)) * (risk_free + coalesce(beta, 1) * 0.055e0)
    + coalesce(total_debt, 0) / (price * shares + coalesce(total_debt, 0)) * coalesce(debt_cost, 0.05e0) * (1 - coalesce(tax_derived, 0.21e0)))) END AS wacc
-FROM request_rows
+FROM {_rows}
 """)
     cte(f"{_name}_flows", f"""
-SELECT ticker, y, wacc, tg, revenue * pow(1 + growth, y) * (margin * (1 - tax_rate) - 0.01e0) - 0.01e0 * (revenue * pow(1 + growth, y) - revenue * pow(1 + growth, y - 1)) AS fcf
+SELECT rid, y, wacc, tg, revenue * pow(1 + growth, y) * (margin * (1 - tax_rate) - 0.01e0) - 0.01e0 * (revenue * pow(1 + growth, y) - revenue * pow(1 + growth, y - 1)) AS fcf
 FROM {_name}_rates, years5 WHERE revenue > 0
 """)
     cte(_name, f"""
 SELECT r.*, ev AS enterprise_value, ev - coalesce(total_debt, 0) + coalesce(cash, 0) AS equity_value,
   (ev - coalesce(total_debt, 0) + coalesce(cash, 0)) / shares AS intrinsic_value,
   CASE WHEN price IS NULL THEN 'price_not_positive' WHEN wacc <= tg THEN 'wacc_not_above_growth' END AS dcf_error
-FROM {_name}_rates AS r LEFT JOIN (SELECT ticker, sum(fcf / pow(1 + wacc, y)) +
-   max(CASE WHEN wacc > tg THEN fcf * (1 + tg) / (wacc - tg) END) FILTER (y = 5) / pow(1 + max(wacc), 5) AS ev FROM {_name}_flows GROUP BY 1) AS f ON f.ticker = r.ticker
+FROM {_name}_rates AS r LEFT JOIN (SELECT rid, sum(fcf / pow(1 + wacc, y)) +
+   max(CASE WHEN wacc > tg THEN fcf * (1 + tg) / (wacc - tg) END) FILTER (y = 5) / pow(1 + max(wacc), 5) AS ev FROM {_name}_flows GROUP BY 1) AS f ON f.rid = r.rid
 """)
 cte("quoted_medians", """
 SELECT sector, median(price / intrinsic_value) AS sector_median, count(*) AS sample_count FROM quoted
@@ -107,18 +114,20 @@ SELECT s.ticker, s.as_of, s.sector, price_to_intrinsic, sector_median, g.altman_
   CASE WHEN s.skip_reason IS NULL AND g.gate IS NULL THEN {BLEND} END AS conviction, coalesce(s.skip_reason, g.gate) AS skip_reason
 FROM scores AS s LEFT JOIN signals AS g ON g.ticker = s.ticker WHERE s.as_of = DATE '2001-06-30'""",
         r6=["price_to_intrinsic", "sector_median", "altman_z", "rsi", "conviction"], big=["f_score"]),
-    "p13_evaluate_requests": build("""
-SELECT a.ticker, a.sector, a.price, CASE WHEN dcf_error IS NULL THEN wacc END AS wacc,
-  CASE WHEN dcf_error IS NULL THEN enterprise_value END AS enterprise_value, CASE WHEN dcf_error IS NULL THEN equity_value END AS equity_value,
-  CASE WHEN dcf_error IS NULL THEN intrinsic_value END AS intrinsic_value, CASE WHEN dcf_error IS NULL THEN growth END AS growth,
-  CASE WHEN dcf_error IS NULL THEN margin END AS margin,
-  CASE WHEN dcf_error IS NULL AND intrinsic_value > 0 THEN price / intrinsic_value END AS price_to_intrinsic,
-  CASE WHEN gr IS NULL AND mr IS NULL AND tr = 0.025e0 AND sample_count >= 3 THEN sector_median END AS sector_median,
-  CASE WHEN gr IS NOT NULL OR mr IS NOT NULL OR tr <> 0.025e0 THEN 'different_assumptions' WHEN sector_median IS NULL THEN 'no_sector'
-    WHEN sample_count < 3 THEN 'too_few_samples' END AS unavailable_reason, dcf_error,
-  CASE WHEN gr IS NULL THEN 'historical' ELSE 'custom' END AS growth_source, CASE WHEN mr IS NULL THEN 'historical' ELSE 'custom' END AS margin_source
-FROM asked AS a LEFT JOIN quoted_medians AS q ON q.sector = a.sector""",
-        r2=["enterprise_value", "equity_value"], r6=["price", "wacc", "intrinsic_value", "growth", "margin", "price_to_intrinsic", "sector_median"]),
+    "p13_evaluate_requests": build(f"""
+SELECT a.ticker, a.sector, a.price, CASE WHEN error IS NULL THEN wacc END AS wacc,
+  CASE WHEN error IS NULL THEN enterprise_value END AS enterprise_value, CASE WHEN error IS NULL THEN equity_value END AS equity_value,
+  CASE WHEN error IS NULL THEN intrinsic_value END AS intrinsic_value, CASE WHEN error IS NULL THEN growth END AS growth,
+  CASE WHEN error IS NULL THEN margin END AS margin,
+  CASE WHEN error IS NULL AND intrinsic_value > 0 THEN price / intrinsic_value END AS price_to_intrinsic,
+  CASE WHEN refused IS NULL AND gr IS NULL AND mr IS NULL AND tr = 0.025e0 AND sample_count >= 3 THEN sector_median END AS sector_median,
+  CASE WHEN refused IS NOT NULL THEN NULL WHEN gr IS NOT NULL OR mr IS NOT NULL OR tr <> 0.025e0 THEN 'different_assumptions' WHEN sector_median IS NULL THEN 'no_sector'
+    WHEN sample_count < 3 THEN 'too_few_samples' END AS unavailable_reason, error AS dcf_error,
+  CASE WHEN gr IS NULL THEN 'historical' ELSE 'custom' END AS growth_source, CASE WHEN mr IS NULL THEN 'historical' ELSE 'custom' END AS margin_source,
+  {', '.join(f"CASE WHEN error IS NULL THEN f{y} END AS fcf_{y}" for y in range(1, 6))}
+FROM (SELECT *, coalesce(refused, dcf_error) AS error FROM asked) AS a LEFT JOIN quoted_medians AS q ON q.sector = a.sector
+LEFT JOIN (SELECT rid, {', '.join(f"max(fcf) FILTER (y = {y}) AS f{y}" for y in range(1, 6))} FROM asked_flows GROUP BY 1) AS f ON f.rid = a.rid""",
+        r2=["enterprise_value", "equity_value", *(f"fcf_{y}" for y in range(1, 6))], r6=["price", "wacc", "intrinsic_value", "growth", "margin", "price_to_intrinsic", "sector_median"]),
     "l1_median_lookup": build("""
 SELECT n_nationkey::BIGINT AS doc_id, s.sector, risk_free, CASE WHEN reason IS NULL THEN m END AS sector_median, reason AS unavailable_reason
 FROM (SELECT *, CASE n_nationkey % 12 WHEN 1 THEN 'malformed' WHEN 2 THEN 'not_generated' WHEN 3 THEN 'bad_timestamp' WHEN 4 THEN 'naive_timestamp'

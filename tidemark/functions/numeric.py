@@ -56,7 +56,7 @@ def positive_whole(c, minimum: int = 1) -> Column:
 
 def first_reason(*checks) -> Column:
     """checks are (condition, code) in order; the first true condition names the reason."""
-    return F.coalesce(*[F.when(cond, F.lit(code)) for cond, code in checks])
+    return F.coalesce(*[F.when(cond, code if isinstance(code, Column) else F.lit(code)) for cond, code in checks])
 
 
 def double_array(values) -> Column:

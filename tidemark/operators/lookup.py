@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.numeric import first_reason, is_finite
@@ -23,7 +25,10 @@ def parse_documents(docs: DataFrame, column: str = "doc") -> DataFrame:
     return parsed.withColumn("malformed", bad).drop(column)
 
 
-def _refusal(now: Column, p: LookupParams) -> Column:
+ASSUMPTIONS = {"growth_request", "margin_request", "terminal_request"}
+
+
+def _refusal(now: Column, p: LookupParams, compare: bool) -> Column:
     """First reason not to trust the snapshot for a request, in a fixed order."""
     def s(name):
         return F.col(f"snapshot.{name}")
@@ -33,7 +38,7 @@ def _refusal(now: Column, p: LookupParams) -> Column:
     age = F.unix_seconds(now) - F.unix_seconds(stamp)
     size, used = s("universe_size"), s("tickers_used")
     cached, rf = s("assumptions"), s("risk_free_rate")
-    same = (
+    same = compare and (
         cached.isNotNull()
         & cached["revenue_growth_rate"].eqNullSafe(F.col("growth_request"))
         & cached["operating_margin"].eqNullSafe(F.col("margin_request"))
@@ -51,7 +56,7 @@ def _refusal(now: Column, p: LookupParams) -> Column:
         (~is_finite(used) | (used < 0), "bad_tickers_used"),
         (size <= 0, "empty_universe"),
         (F.try_divide(used, size) < p.min_coverage, "low_coverage"),
-        (~same, "different_assumptions"),
+        (~same if compare else F.lit(False), "different_assumptions"),
         (~is_finite(rf), "bad_cached_rate"),
         (~is_finite("risk_free"), "bad_requested_rate"),
         (F.abs(F.col("risk_free") - rf) > p.rf_tolerance, "rate_differs"),
@@ -64,8 +69,11 @@ def _refusal(now: Column, p: LookupParams) -> Column:
 
 
 def lookup(requests: DataFrame, now, p: LookupParams = LookupParams()) -> DataFrame:
-    """Requests already joined to their parsed snapshot; exactly one of value and reason is set."""
-    reason = _refusal(F.lit(now).cast("timestamp"), p)
+    """Requests already joined to their parsed snapshot; exactly one of value and reason is set.
+
+    Requests without columns for assumptions take any snapshot's.
+    """
+    reason = _refusal(F.lit(now).cast("timestamp"), p, ASSUMPTIONS <= set(requests.columns))
     return requests.withColumn("unavailable_reason", reason).withColumn(
         "sector_median",
         F.when(
@@ -91,13 +99,18 @@ def to_document(medians: DataFrame, totals: DataFrame) -> DataFrame:
 
 
 def page(df: DataFrame, limit=None, offset=None, default: int = 50, cap: int = 200):
-    """(limit, offset) from request values; anything invalid falls back."""
+    """(limit, offset) from request values, numbers or their text; anything invalid falls back."""
     def whole(v, minimum):
-        ok = isinstance(v, (int, float)) and not isinstance(v, bool) and v == int(v) and v >= minimum
+        if isinstance(v, str) and "_" not in v:
+            try:
+                v = float(v)
+            except ValueError:
+                return None
+        ok = isinstance(v, (int, float)) and not isinstance(v, bool) and math.isfinite(v) \
+            and v == int(v) and v >= minimum
         return int(v) if ok else None
 
-    size = whole(limit, 1) if limit is not None else None
-    start = whole(offset, 0) if offset is not None else None
+    size, start = whole(limit, 1), whole(offset, 0)
     size = min(size, cap) if size else default
     return df.offset(start or 0).limit(size)
 

@@ -84,19 +84,29 @@ def dcf_error() -> Column:
 
 def project_cash_flows(df: DataFrame, p: DcfParams = DcfParams()) -> DataFrame:
     """One row per projected year, from the closed form."""
-    year = F.col("year").cast("double")
     rows = df.filter("revenue > 0").withColumn(
         "year", F.explode(F.sequence(F.lit(1), F.lit(p.years)))
     )
+    return rows.withColumns(_projected(F.col("year").cast("double"), p))
+
+
+def _projected(year: Column, p: DcfParams) -> dict:
     now, before = V.revenue_in("revenue", "growth", year), V.revenue_in("revenue", "growth", year - 1)
-    return rows.withColumn("projected_revenue", now).withColumns({
+    return {
+        "projected_revenue": now,
         "projected_ebit": now * F.col("margin"),
         "nopat": now * F.col("margin") * (1 - F.col("tax_rate")),
         "da": now * p.da_pct,
         "projected_capex": now * p.capex_pct,
         "change_in_nwc": (now - before) * p.nwc_pct,
         "fcf": V.fcf_in("revenue", "growth", "margin", "tax_rate", year, p),
-    })
+    }
+
+
+def projection(p: DcfParams = DcfParams()) -> Column:
+    """The projected years of a row as an array of structs."""
+    return F.array(*[F.struct(F.lit(y).alias("year"), *[
+        c.alias(n) for n, c in _projected(F.lit(float(y)), p).items()]) for y in range(1, p.years + 1)])
 
 
 def market_rows(companies: DataFrame, statements: DataFrame, prices: DataFrame, shares: DataFrame,

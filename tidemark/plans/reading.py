@@ -13,7 +13,7 @@ def k2_paged_trades(t):
     """One page, newest first, with the total taken by its own aggregate."""
     trades = t.trade_logs.filter("action <> 'RISK_SNAPSHOT'")
     rows = lookup.page(
-        trades.orderBy(F.desc("ts"), F.desc("event_id")), limit=75, offset=50
+        trades.orderBy(F.desc("ts"), F.desc("event_id")), limit="75", offset="50"
     ).select("event_id", "ticker", "action", "quantity")
     return rows.withColumn("total", trades.agg(F.count(F.lit(1))).scalar())
 
@@ -23,7 +23,7 @@ def k2_page_fallback(t):
     """Invalid paging values fall back to the first fifty."""
     trades = t.trade_logs.filter("action <> 'RISK_SNAPSHOT'")
     ordered = trades.orderBy(F.desc("ts"), F.desc("event_id"))
-    return lookup.page(ordered, limit=-3, offset=2.5).select("event_id")
+    return lookup.page(ordered, limit=float("nan"), offset=float("inf")).select("event_id")
 
 
 @query()

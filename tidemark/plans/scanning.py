@@ -200,20 +200,33 @@ def stored_snapshot(t, as_of=fx.AS_OF[1]):
     return lookup.parse_documents(lookup.to_document(m, totals))
 
 
-@query(money=("enterprise_value", "equity_value"))
+YEARS = tuple(f"fcf_{y}" for y in range(1, 6))
+
+
+@query(money=("enterprise_value", "equity_value", *YEARS))
 def p13_evaluate_requests(t):
-    """A request per company, half of them with explicit assumptions."""
-    plain = F.col("universe_pos") % 2 == 0
+    """A request per company, half of them with explicit assumptions, some of these out of bounds.
+
+    Some companies are asked for twice, and some requests name no or an unknown company.
+    """
+    k = F.col("universe_pos")
     none = F.lit(None).cast("double")
-    r = valuation_requests(t).select(
-        "ticker",
-        F.when(plain, none).otherwise(F.col("growth_request")).alias("growth_request"),
-        F.when(plain, none).otherwise(F.col("margin_request")).alias("margin_request"),
-        F.when(plain, F.lit(0.025)).otherwise(F.col("terminal_request")).alias("terminal_request"),
-    )
-    return evaluate.evaluate(
+
+    def request(ticker, growth=none, margin=none, terminal=none):
+        return F.struct(ticker.alias("ticker"), growth.alias("growth_request"),
+                        margin.alias("margin_request"), terminal.alias("terminal_request"))
+
+    ticker = F.col("ticker")
+    own = F.when(k % 2 == 0, request(ticker, terminal=F.lit(0.025))).otherwise(request(
+        ticker, F.col("growth_request"), F.col("margin_request"), F.col("terminal_request")))
+    more = F.when(k % 10 == 0, request(F.concat(F.lit("x"), ticker))).when(
+        k % 10 == 1, request(F.lit("  "))).when(k % 10 == 2, request(F.lower(ticker)))
+    r = valuation_requests(t).select(F.inline(F.array_compact(F.array(own, more))))
+    out = evaluate.evaluate(
         r, t.companies, t.statements, t.macro_prices, stored_snapshot(t), fx.AS_OF[1], NOW
     )
+    years = [F.col("projection")[i]["fcf"].alias(c) for i, c in enumerate(YEARS)]
+    return out.select("*", *years).drop("projection")
 
 
 @query()

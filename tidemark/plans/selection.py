@@ -6,9 +6,8 @@ from pyspark.sql import functions as F
 
 from tidemark import fixtures as fx
 from tidemark.functions import text
-from tidemark.functions.numeric import first_reason, is_finite, positive_whole
-from tidemark.operators import asof, fundamentals as fu, orders
-from tidemark.params import GROWTH_BOUNDS, MARGIN_BOUNDS, TERMINAL_GROWTH_BOUNDS
+from tidemark.functions.numeric import is_finite, positive_whole
+from tidemark.operators import asof, evaluate, fundamentals as fu, orders
 from tidemark.plans.registry import query
 from tidemark.sources import integrity
 
@@ -86,20 +85,9 @@ def valuation_requests(t):
     )
 
 
-def assumption_problem():
-    def outside(c, bounds):
-        return F.col(c).isNotNull() & (~is_finite(c) | ~F.col(c).between(*bounds))
-
-    return first_reason(
-        (outside("growth_request", GROWTH_BOUNDS), "growth_out_of_range"),
-        (outside("margin_request", MARGIN_BOUNDS), "margin_out_of_range"),
-        (outside("terminal_request", TERMINAL_GROWTH_BOUNDS), "terminal_growth_out_of_range"),
-    )
-
-
 @query()
 def f6_assumption_checks(t):
-    return valuation_requests(t).select("ticker", assumption_problem().alias("problem"))
+    return valuation_requests(t).select("ticker", evaluate.assumption_problem().alias("problem"))
 
 
 @query()
