@@ -1,5 +1,5 @@
 from oracle.ctes import build, cte
-from tidemark.functions.normal import normal_cdf_sql
+from oracle.normal import normal_cdf_sql
 import oracle.scanning  # noqa: F401  (registers shared table expressions)
 
 cte("portfolio_picks", """

@@ -1,15 +1,62 @@
 from oracle.ctes import build, cte
-from tidemark.operators import second_opinion as so
-from tidemark.params import METRIC_TOLERANCES, SensitivityGrids
-from tidemark.operators.sensitivity import OUTPUTS, scenarios
 
-cte("second_source", f"""
-SELECT h.*, m.pretax, m.tax_provision, m.interest, m.total_debt, m.cash, m.price, m.shares, m.beta, m.risk_free
-FROM ({so.history_sql("SELECT ticker, period_end - DATE '1970-01-01' AS day_no, revenue, ebit FROM inc WHERE revenue IS NOT NULL")}) AS h
+# Kind and tolerance of each compared metric, in order.
+TOLERANCES = {
+    "revenue_cagr": ("rate", 0.0001), "operating_margin": ("rate", 0.0001), "wacc": ("rate", 0.0005),
+    "fcf_year_1": ("money", 0.001), "fcf_year_2": ("money", 0.001), "fcf_year_3": ("money", 0.001),
+    "fcf_year_4": ("money", 0.001), "fcf_year_5": ("money", 0.001), "terminal_value": ("money", 0.002),
+    "pv_explicit_fcf": ("money", 0.002), "pv_terminal_value": ("money", 0.002), "enterprise_value": ("money", 0.002),
+    "equity_value": ("money", 0.002), "intrinsic_value_per_share": ("money", 0.005),
+}
+TOTALS = ("terminal_value", "enterprise_value", "equity_value", "intrinsic_value")
+FLOWS = tuple(f"fcf_{y}" for y in range(1, 6))
+OUTPUTS = {1: TOTALS, 2: TOTALS, 3: FLOWS + TOTALS, 4: FLOWS + TOTALS, 5: ("intrinsic_value",)}
+
+
+def valued(source: str, g: str, m: str, w: str, tg: str, prefix: str = "") -> str:
+    """Adds the flows and values at growth g, margin m, rate w and terminal growth tg.
+
+    Revenue is a list by year, present values discount year by year from the last one back.
+    """
+    def back(values: str, start: str) -> str:
+        return f"list_reduce(list_reverse({values}), lambda later, now: now + later / (1 + {w}), {start})"
+
+    flows = ", ".join(f"{prefix}flows[{y}] AS {prefix}fcf_{y}" for y in range(1, 6))
+    return f"""
+SELECT *, {prefix}enterprise_value - debt_used + cash_used AS {prefix}equity_value,
+  ({prefix}enterprise_value - debt_used + cash_used) / shares AS {prefix}intrinsic_value FROM (
+  SELECT *, {prefix}pv_explicit_fcf + {prefix}pv_terminal_value AS {prefix}enterprise_value FROM (
+    SELECT *, {prefix}terminal_value / (1 + {w}) / (1 + {w}) / (1 + {w}) / (1 + {w}) / (1 + {w}) AS {prefix}pv_terminal_value FROM (
+      SELECT *, {flows}, {back(prefix + "flows", "0e0")} / (1 + {w}) AS {prefix}pv_explicit_fcf,
+        CASE WHEN {w} > {tg} THEN ({prefix}flows[5] + {prefix}flows[5] * {tg}) / ({w} - {tg}) END AS {prefix}terminal_value FROM (
+        SELECT *, [{prefix}sales[y + 1] * {m} - {prefix}sales[y + 1] * {m} * tax_used + 0.03e0 * {prefix}sales[y + 1] - 0.04e0 * {prefix}sales[y + 1]
+            - 0.01e0 * ({prefix}sales[y + 1] - {prefix}sales[y]) for y in [1, 2, 3, 4, 5]] AS {prefix}flows FROM (
+          SELECT *, [rev_last * pow(1 + {g}, y) for y in [0, 1, 2, 3, 4, 5]] AS {prefix}sales FROM {source})))))"""
+
+
+cte("second_source", """
+SELECT h.*, m.pretax, m.tax_provision, m.interest, m.price, m.shares, m.risk_free, coalesce(m.total_debt, 0e0) AS debt_used,
+  coalesce(m.cash, 0e0) AS cash_used, coalesce(m.beta, 1e0) AS beta_used, m.pretax <> 0 AND m.tax_provision IS NOT NULL AS taxed,
+  m.total_debt <> 0 AND m.interest IS NOT NULL AS indebted
+FROM (SELECT ticker, arg_min(revenue, period_end) AS rev_first, arg_max(revenue, period_end) AS rev_last,
+    (max(period_end) - min(period_end)) / 365.25e0 AS days, count(*) - 1e0 AS periods, avg(ebit / revenue) FILTER (revenue > 0) AS avg_margin
+  FROM inc WHERE revenue IS NOT NULL GROUP BY ticker) AS h
 JOIN market_rows AS m ON m.ticker = h.ticker AND m.as_of = DATE '2001-06-30'
 """)
-cte("second_days", so.as_sql("SELECT * FROM second_source", so.dcf_stages("days")))
-cte("second_periods", "SELECT * FROM (" + so.as_sql("SELECT * FROM second_source", so.dcf_stages("periods")) + ") WHERE wacc IS NOT NULL")
+for _name, _rule in (("second_days", "days"), ("second_periods", "periods")):
+    cte(f"{_name}_rates", f"""
+SELECT *, least(raw_cagr, 0.25e0) AS capped_cagr, greatest(0.05e0, least(0.2e0, raw_wacc)) + 0 * raw_wacc AS wacc FROM (
+  SELECT *, (price * shares * (risk_free + 0.055e0 * beta_used) + debt_used * debt_cost_used * (1 - tax_used))
+      / CASE WHEN price > 0 AND shares > 0 THEN price * shares + debt_used END AS raw_wacc FROM (
+    SELECT *, CASE WHEN rev_first > 0 AND rev_last > 0 AND {_rule} > 0 THEN exp(ln(rev_last / rev_first) / {_rule}) - 1 END AS raw_cagr,
+      CASE WHEN tax_method = 'derived' THEN tax_provision / pretax ELSE 0.21e0 END AS tax_used,
+      CASE WHEN debt_method = 'derived' THEN abs(interest / debt_used) ELSE 0.05e0 END AS debt_cost_used FROM (
+      SELECT *, CASE WHEN taxed IS NOT TRUE THEN 'fallback:missing_or_zero_pretax' WHEN tax_provision / pretax >= 1 OR tax_provision / pretax < 0
+          THEN 'fallback:out_of_range' ELSE 'derived' END AS tax_method,
+        CASE WHEN indebted THEN 'derived' ELSE 'fallback:missing_or_zero_debt' END AS debt_method FROM second_source)))
+""")
+    cte(_name, valued(f"{_name}_rates", "capped_cagr", "avg_margin", "wacc", "0.025e0")
+        + (" WHERE wacc IS NOT NULL" if _rule == "periods" else ""))
 cte("made", f"""
 SELECT v.*, {", ".join(f"f.f{y} AS fcf_{y}" for y in range(1, 6))} FROM dcf AS v JOIN (
   SELECT ticker, as_of, {", ".join(f"max(fcf) FILTER (y = {y}) AS f{y}" for y in range(1, 6))} FROM flows GROUP BY 1, 2) AS f
@@ -25,13 +72,13 @@ COLUMNS = {
 
 def melted(source: str, side: int, tweak=None) -> str:
     parts = []
-    for i, m in enumerate(METRIC_TOLERANCES):
+    for i, m in enumerate(TOLERANCES):
         value = (tweak or {}).get(m, COLUMNS[m][side])
         parts.append(f"SELECT ticker, '{m}' AS metric, {i} AS metric_pos, {value} AS value FROM {source}")
     return " UNION ALL ".join(parts)
 
 
-TOLS = ", ".join(f"('{m}', '{k}', {t!r}::DOUBLE)" for m, (k, t) in METRIC_TOLERANCES.items())
+TOLS = ", ".join(f"('{m}', '{k}', {t!r}::DOUBLE)" for m, (k, t) in TOLERANCES.items())
 
 
 def compared(left: str, right: str) -> str:
@@ -50,13 +97,31 @@ cte("second_melted", melted("second_periods", 1))
 cte("base_compared", compared("SELECT * FROM made_melted", "SELECT * FROM second_melted"))
 cte("shifted_compared", compared(
     melted("made", 0, {"wacc": "wacc + CASE WHEN ticker LIKE '%3' THEN 0.01e0 ELSE 0e0 END"}), "SELECT * FROM second_melted"))
-GRID = ", ".join("(" + ", ".join("NULL::DOUBLE" if v is None else (str(v) if i < 2 else f"{v!r}::DOUBLE") for i, v in enumerate(r)) + ")"
-                 for r in scenarios(SensitivityGrids()))
-cte("grid", f"SELECT * FROM (VALUES {GRID}) AS g(table_no, pos, s_wacc, s_terminal, s_growth, s_margin)")
-cte("second_cells", so.as_sql("SELECT s.*, g.* FROM second_periods AS s, grid AS g", so.cell_stages()))
-# The library's base case renamed to the second formulation's column names.
-cte("made_cells", so.as_sql("""SELECT m.ticker, m.revenue AS rev_last, m.growth AS capped_cagr, m.margin AS avg_margin, m.tax_rate AS tax_used, m.wacc,
-  coalesce(m.total_debt, 0e0) AS debt_used, coalesce(m.cash, 0e0) AS cash_used, m.shares, g.* FROM made AS m, grid AS g""", so.cell_stages()))
+# The grids of the five tables; null keeps the base value.
+cte("grid", """
+SELECT 1 AS table_no, i AS pos, [0.05e0, 0.075e0, 0.1e0, 0.125e0, 0.15e0, 0.175e0, 0.2e0][i + 1] AS s_wacc,
+  NULL::DOUBLE AS s_terminal, NULL::DOUBLE AS s_growth, NULL::DOUBLE AS s_margin FROM range(7) AS r(i)
+UNION ALL SELECT 2, i, NULL, [0e0, 0.01e0, 0.02e0, 0.025e0, 0.03e0, 0.04e0, 0.05e0][i + 1], NULL, NULL FROM range(7) AS r(i)
+UNION ALL SELECT 3, i, NULL, NULL, [-0.1e0, -0.05e0, 0e0, 0.05e0, 0.1e0, 0.2e0, 0.3e0, 0.4e0][i + 1], NULL FROM range(8) AS r(i)
+UNION ALL SELECT 4, i, NULL, NULL, NULL, [0e0, 0.1e0, 0.2e0, 0.3e0, 0.4e0, 0.5e0, 0.6e0][i + 1] FROM range(7) AS r(i)
+UNION ALL SELECT 5, i, [0.05e0, 0.08e0, 0.11e0, 0.14e0, 0.17e0, 0.2e0][i // 6 + 1], [0e0, 0.01e0, 0.02e0, 0.03e0, 0.04e0, 0.05e0][i % 6 + 1],
+  NULL, NULL FROM range(36) AS r(i)
+""")
+
+
+def cells(source: str) -> str:
+    return valued(f"""(SELECT *, coalesce(s_wacc, wacc) AS x_wacc, coalesce(s_terminal, 0.025e0) AS x_terminal,
+            coalesce(s_growth, capped_cagr) AS x_growth, coalesce(s_margin, avg_margin) AS x_margin FROM {source}, grid)""",
+        "x_growth", "x_margin", "x_wacc", "x_terminal", "cell_")
+
+
+cte("second_cells", cells("second_periods"))
+# The base case renamed to the second formulation's column names.
+cte("made_base", """
+SELECT ticker, revenue AS rev_last, growth AS capped_cagr, margin AS avg_margin, tax_rate AS tax_used, wacc,
+  coalesce(total_debt, 0e0) AS debt_used, coalesce(cash, 0e0) AS cash_used, shares FROM made
+""")
+cte("made_cells", cells("made_base"))
 NAMES = sorted({o for outs in OUTPUTS.values() for o in outs})
 
 

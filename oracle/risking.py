@@ -1,6 +1,6 @@
 from oracle.ctes import build, cte
 from oracle.planning import put_price
-from tidemark.functions.normal import normal_cdf_sql
+from oracle.normal import normal_cdf_sql
 
 cte("risk_prices", "SELECT * FROM region_prices UNION ALL SELECT * FROM macro_prices WHERE ticker = 'IDX'")
 for _name, _source in (("returns", "risk_prices"), ("company_returns", "company_prices"), ("all_returns", "prices")):
