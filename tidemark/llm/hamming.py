@@ -1,9 +1,10 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-A code is cut into segments so that a bucket of a segment holds about four codes. Codes within distance d of a query
-agree with it up to floor(d / segments) bits in some segment, so after probing all segments up to
-radius r every code within segments * (r + 1) - 1 bits is known. Radii grow for the queries whose
-k-th neighbour is not yet within that distance.
+A code is cut into segments so that a bucket of a segment holds about four codes. Search radii grow
+by one bit in one segment after the other: once the first i segments are probed up to radius r and
+the others up to r - 1, every code within segments * r + i - 1 bits is known, since a code further
+off in all of them has at least one bit more. Only queries whose k-th neighbour is not yet within
+that distance go on.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tidemark.session import land
 
 SEED = 11
+STEP_PROBES = 256       # probes of a query before it is asked whether it is done
 
 
 def codes(vectors: DataFrame, vec_col: str = "embedding", out_col: str = "code") -> DataFrame:
@@ -52,6 +54,20 @@ def _segments(n: int) -> list[tuple[int, int]]:
     return list(zip(edges, (b - a for a, b in zip(edges, edges[1:]))))
 
 
+def _steps(widths: list[int]) -> list[tuple[int, list[int]]]:
+    """Radius and segments of each step: segments one after the other, few probes in one go."""
+    steps = []
+    for radius in range(max(widths) + 1):
+        size = STEP_PROBES
+        for i, width in enumerate(widths):
+            size += math.comb(width, radius)
+            if i == 0 or size > STEP_PROBES:
+                steps.append((radius, []))
+                size = math.comb(width, radius)
+            steps[-1][1].append(i)
+    return steps
+
+
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id",
           code_col: str = "code") -> DataFrame:
     """query_id, rank, neighbour_id and distance: the k nearest rows of each query, itself left out.
@@ -84,9 +100,10 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_i
     # each code comes up once: by its closest segment, the first of several
     home = F.array_position(F.array(*by_segment), F.least(*by_segment) if len(cuts) > 1 else by_segment[0]) - 1
     near = Window.partitionBy("q").orderBy("distance", "first")
-    for radius in range(max(w for _, w in cuts) + 1):
+    for radius, segments in _steps([w for _, w in cuts]):
         probes = None
-        for i, (a, w) in enumerate(cuts):
+        for i in segments:
+            a, w = cuts[i]
             flips = [sum(1 << a + b for b in c) for c in combinations(range(w), radius)]
             flips = [x - (1 << 64) if x >> 63 else x for x in flips]
             own = part("q", i)
@@ -95,13 +112,15 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_i
                     F.explode(F.lit(np.array(flips, np.int64))).alias("value"))
                 some = some.withColumn("value", F.col("value").bitwiseXOR(own))
                 probes = some if probes is None else probes.unionByName(some)
+        if probes is None:
+            continue
         # the size of exploded probes is not known beforehand: neither side may be broadcast
         found = probes.join(index.hint("shuffle_hash"), ["segment", "value"]).where(home == F.col("segment")).select(
             "q", "code", "first", "members", F.bit_count(off).alias("distance"))
         if best is not None:
             found = found.unionByName(best.join(open_, "q", "left_semi"))
         best = land(found.withColumn("n", F.row_number().over(near)).where(f"n <= {k + 1}").drop("n"), "nearest")
-        covered = len(cuts) * (radius + 1) - 1
+        covered = len(cuts) * radius + segments[-1]
         enough = best.where(F.col("distance") <= covered).groupBy("q").agg(F.sum("members").alias("n"))
         done = enough.where(F.col("n") >= min(k + 1, total)).select("q")
         closed.append(best)
