@@ -117,6 +117,8 @@ def test_paging_falls_back(spark):
     assert lookup.page(df, 1000).count() == 200
     assert lookup.page(df, -1, "x").count() == 50
     assert lookup.page(df, 10, 495).count() == 5
+    assert lookup.page(df, "75", "450").count() == 50 and lookup.page(df, "75").count() == 75
+    assert lookup.page(df, float("nan"), float("inf")).count() == 50
     assert lookup.allocation(spark.createDataFrame([("a", 1.0)], "symbol string, market_value double"),
                              0).count() == 0
 

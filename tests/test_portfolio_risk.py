@@ -22,7 +22,7 @@ def brute_pour(weights, names, amount, cap):
     names = list(names)
     while amount > 1e-12 and names:
         pool = sum(weights[n] for n in names)
-        share = {n: amount * weights[n] / pool for n in names}
+        share = {n: amount * weights[n] / pool if pool > 0 else amount / len(names) for n in names}
         full = [n for n in names if weights[n] + share[n] > cap]
         amount = 0.0
         for n in names:
@@ -258,3 +258,52 @@ def test_tail_risk_flags_non_finite_paths(spark):
     got = rows(risk.tail_risk(df, ["g"], "r"), "g")
     assert math.isclose(got["a"].var_95, 4.95) and got["a"].cvar_95 == 2.0
     assert got["b"].status == "error" and got["b"].var_95 is None
+
+
+def test_capped_pour_lowers_no_weight(spark):
+    cases = {
+        "zero": ([0.0, 0.0], 0.10, [0.05, 0.05]), "over": ([0.50, 0.05], 0.05, [0.50, 0.10]),
+        "negative": ([0.10, 0.05], -0.1, [0.10, 0.05]), "tiny": ([0.1, 0.0], 1e-12, [0.1, 0.0]),
+        "rest": ([0.14, 0.0, 0.0], 0.05, [0.15, 0.02, 0.02]), "only_full": ([0.2], 0.3, [0.2]),
+        "too_much": ([0.1, 0.0], 1.0, [0.15, 0.15]),
+    }
+    rng = random.Random(5)
+    for i in range(40):
+        w = [rng.choice([0.0, rng.uniform(0, 0.2)]) for _ in range(rng.randint(1, 9))]
+        want = dict(enumerate(w))
+        amount = rng.uniform(0, 1)
+        brute_pour(want, list(want), amount, 0.15)
+        cases[f"r{i}"] = (w, amount, list(want.values()))
+    df = spark.createDataFrame(
+        [(p, f"T{i}", x, amount) for p, (w, amount, _) in cases.items() for i, x in enumerate(w)],
+        "portfolio_id string, ticker string, weight double, amount double")
+    got = rows(pf.distribute_capped(df, "amount", 0.15), "portfolio_id", "ticker")
+    for p, (w, _, want) in cases.items():
+        assert np.allclose([got[p, f"T{i}"].new_weight for i in range(len(w))], want, atol=1e-8), p
+
+
+def test_hedge_plan_answers_every_request(spark):
+    requests = spark.createDataFrame(
+        [("a", "SPY", 1e6, 1e4, None), ("b", "NONE", 1e6, 1e4, None), ("c", "IWM", 1e6, 1e4, 5.0)],
+        "portfolio_id string, underlying string, equity double, var_dollars double, buying_power double")
+    day = date(2001, 6, 30)
+    quotes = spark.createDataFrame([("SPY", day, 100.0), ("IWM", day, 50.0)],
+                                   "underlying string, as_of date, spot double")
+    chain = spark.createDataFrame(
+        [("SPY1", "SPY", day + timedelta(days=30), 100.0, True, 1)],
+        "symbol string, underlying string, expiration_date date, strike_price double, tradable boolean, "
+        "chain_pos int")
+    held = spark.createDataFrame([], "symbol string, asset_class string, qty double, market_value double")
+    got = rows(hedging.hedge_plan(requests, chain, quotes, held), "portfolio_id")
+    assert [got[p].reason for p in "abc"] == [None, "no_quote", "no_contract"]
+    assert got["a"].contracts_to_buy > 0 and got["b"].contracts_to_buy == got["c"].contracts_to_buy == 0
+
+
+def test_quantile_is_exact_beyond_the_sketch(spark):
+    df = spark.range(200_000).select((F.col("id") % 2).alias("g"), (F.col("id") ** 2 % 99_991).cast("double").alias("v"))
+    want = {g: np.median([i * i % 99_991 for i in range(g, 200_000, 2)]) for g in (0, 1)}
+    for accuracy in (quantiles.ACCURACY, 3):        # with a poor sketch the rank is outside its bracket
+        quantiles.ACCURACY, before = accuracy, quantiles.ACCURACY
+        got = rows(quantiles.grouped_median(df, ["g"], "v", "m"), "g")
+        quantiles.ACCURACY = before
+        assert {g: r.m for g, r in got.items()} == want

@@ -82,14 +82,15 @@ def test_fill_log_restart_does_not_repeat(spark, tmp_path):
     def add(cells):
         spark.createDataFrame(cells, schema).coalesce(1).write.mode("append").parquet(path)
 
-    add([(START, "A", "BUY", 1.0, 2.0), (START, "B", "BUY", 0.0, 2.0)])
+    add([(START, "A", "BUY", 1.0, 2.0), (START, "B", "BUY", 0.0, 2.0),
+         (START, "PORTFOLIO", "RISK_SNAPSHOT", 0.0, 0.0)])
     for extra in ([], [(START, "C", "SELL", 3.0, 1.0)]):
         if extra:
             add(extra)
         stream = spark.readStream.schema(schema).parquet(path)
         flows.log_fills(stream, log, cp).awaitTermination()
     got = sorted(r.ticker for r in spark.read.parquet(log).collect())
-    assert got == ["A", "C"]
+    assert got == ["A", "C", "PORTFOLIO"]
 
 
 def test_order_resolution_takes_the_first_terminal_state(spark):
@@ -97,11 +98,14 @@ def test_order_resolution_takes_the_first_terminal_state(spark):
          ("1", "A", "buy", "canceled", 2.0, 5.0, START, 3)]
     e += [("2", "B", "buy", "new", 0.0, None, START + timedelta(seconds=i), i) for i in range(12)]
     e += [("2", "B", "buy", "filled", 1.0, 1.0, START + timedelta(seconds=99), 99)]
+    e += [("3", "C", "buy", "new", 0.0, None, START + timedelta(milliseconds=i), i) for i in range(11)]
+    e += [("3", "C", "buy", "filled", 3.0, 1.0, START + timedelta(milliseconds=300), 20)]
     df = spark.createDataFrame(e, "order_id string, symbol string, side string, status string, "
                                "filled_qty double, filled_avg_price double, ts timestamp_ntz, event_id int")
     got = rows(orders.resolve_orders(df), "order_id")
     assert (got["1"].status, got["1"].resolved) == ("filled", True)
     assert (got["2"].status, got["2"].resolved, got["2"].polls) == ("new", False, 10)
+    assert (got["3"].status, got["3"].filled_qty, got["3"].polls) == ("filled", 3.0, 2)
 
 
 def test_streaming_resolution_and_freshness(spark, tmp_path):
