@@ -75,3 +75,26 @@ def test_prefixes_of_the_schedule_keep_the_shares(spark):
     target = {r.sid: r.target for r in sources.collect()}
     n = Counter(r.sid for r in mixing.slots(sources, 10).collect())
     assert all(n[s] == -(-int(t) // 10) for s, t in target.items())
+
+
+def test_schedule_is_mixed_in_every_prefix_and_adds_up_to_taken(spark):
+    rows = [(i, "w " * (30 + i % 90), "a" if i % 2 else "b" if i % 4 else None) for i in range(400)]
+    df = spark.createDataFrame(rows + rows[:3], "doc_id long, text string, source string")
+    blocks = sorted(mixing.schedule(df).collect(), key=lambda r: (r.slot, r.stream_at))
+    taken, sizes = Counter(), Counter()
+    for r in blocks:
+        taken[r.doc_id] += r.words
+    want = Counter()
+    for r in mixing.mix(df).collect():
+        want[r.doc_id] += r.taken
+    assert taken == +want
+    for _, t, s in rows + rows[:3]:
+        sizes[s] += len(t.split())
+    target, total, done, so_far = shared_out(sizes), 0, Counter(), 0
+    total, slots_of = sum(target.values()), defaultdict(set)
+    for r in blocks:
+        slots_of[r.slot].add(r.source)
+        done[r.source] += r.words
+        so_far += r.words
+        assert all(abs(done[s] - so_far * target[s] / total) <= 4 * 64 for s in target)
+    assert all(len(s) == 1 for s in slots_of.values())      # a slot is one source's block

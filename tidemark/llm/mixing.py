@@ -51,10 +51,11 @@ def targets(sizes: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float
 
 
 def slots(sources: DataFrame, block: int) -> DataFrame:
-    """sid, block_no, until: each block the mix takes and the stream position where it stops.
+    """slot, sid, pass_no, block_no, until: each block the mix takes and the stream position where it stops.
 
-    sources is the table of targets. It is collected: a row a source. What the schedule still owes
-    a source at its end, some slots at most, follows after it.
+    Slots order the blocks of the mix; their numbers are distinct but leave gaps. sources is the table
+    of targets. It is collected: a row a source. What the schedule still owes a source at its end,
+    some slots at most, follows after it.
     """
     spark = sources.sparkSession
     rows = [r for r in sources.orderBy("sid").collect() if int(r.target) > 0]
@@ -65,7 +66,8 @@ def slots(sources: DataFrame, block: int) -> DataFrame:
         plan.append((r.sid, r.source_size, blocks, last, passes * blocks + -(-last // block)))
     need = spark.createDataFrame(plan, "sid int, size long, blocks long, last long, need long")
     if not plan:
-        return need.select("sid", F.col("need").alias("block_no"), F.col("need").alias("until"))
+        return need.select(F.col("need").alias("slot"), "sid", *[
+            F.col("need").alias(c) for c in ("pass_no", "block_no", "until")])
     edges, upto = [], 0.0
     for r in rows[:-1]:
         upto += r.target / total
@@ -74,7 +76,8 @@ def slots(sources: DataFrame, block: int) -> DataFrame:
     point = F.pmod(F.pmod("id", F.lit(PERIOD)) * GOLDEN, F.lit(PERIOD))
     place = F.size(F.filter(F.array(*[F.lit(e) for e in edges]).cast("array<long>"),
                             lambda e: e <= F.col("point")))
-    drawn = spark.range(sum(p[-1] for p in plan)).withColumn("point", point).select(
+    length, most_sid = sum(p[-1] for p in plan), max(p[0] for p in plan)
+    drawn = spark.range(length).withColumn("point", point).select(
         "id", F.element_at(numbers, place + 1).alias("sid"),
         F.floor(F.col("id") / CHUNK_SLOTS).alias("chunk"))
     counts = drawn.groupBy("sid", "chunk").agg(F.count("*").alias("n"))
@@ -83,28 +86,29 @@ def slots(sources: DataFrame, block: int) -> DataFrame:
     starts = counts.withColumn("start", F.sum("n").over(before) - F.col("n")).drop("n")
     inside = Window.partitionBy("sid", "chunk").orderBy("id")
     ranked = drawn.withColumn("k", F.row_number().over(inside) - 1).join(starts, ["sid", "chunk"]) \
-        .select("sid", (F.col("k") + F.col("start")).alias("k"))
+        .select("id", "sid", (F.col("k") + F.col("start")).alias("k"))
     owed = need.join(counts.groupBy("sid").agg(F.sum("n").alias("n")), "sid", "left") \
         .withColumn("n", F.coalesce("n", F.lit(0))).where("n < need") \
-        .select("sid", F.explode(F.sequence("n", F.col("need") - 1)).alias("k"))
+        .select("sid", "n", F.explode(F.sequence("n", F.col("need") - 1)).alias("k")) \
+        .select((length + (F.col("k") - F.col("n")) * most_sid + F.col("sid") - 1).alias("id"), "sid", "k")
     end = F.least((F.col("block_no") + 1) * block, "size")
     return ranked.unionByName(owed).join(need, "sid").where("k < need").select(
-        "sid", "size", "k", "need", "last", F.pmod("k", "blocks").alias("block_no"),
-    ).select("sid", "block_no", F.when((F.col("k") == F.col("need") - 1) & (F.col("last") > 0),
+        F.col("id").alias("slot"), "sid", "size", "k", "need", "last",
+        F.floor(F.col("k") / F.col("blocks")).alias("pass_no"), F.pmod("k", "blocks").alias("block_no"),
+    ).select("slot", "sid", "pass_no", "block_no", F.when((F.col("k") == F.col("need") - 1) & (F.col("last") > 0),
                                        F.least(end, "last")).otherwise(end).alias("until"))
 
 
-def mix(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id",
-        weights=(5, 2, 1), share: float = 1.5, most: float = 2.0, block: int = 64) -> DataFrame:
-    """One row for each document: doc_id, size, source_size, target and taken.
+def row_key(source_col: str = "source", text_col: str = "text", id_col: str = "doc_id") -> Column:
+    """Hash of a document's row: its place in the shuffled order, and its name in the schedule."""
+    return F.xxhash64(F.col(id_col), F.col(text_col), F.col(source_col))
 
-    size counts words, target is the source's, taken is how many words of the document the mix takes,
-    repeats counted. A source's taken words are its target, rounded down; no document exceeds most
-    times its size, rounded up to a whole number. Null is a source of its own, null texts have no
-    words. Repeated rows and null ids are documents of their own. The order of documents comes from a
-    hash of their rows, so reruns agree.
-    """
-    text, key = F.col(text_col), F.xxhash64(F.col(id_col), F.col(text_col), F.col(source_col))
+
+def _parts(docs: DataFrame, source_col: str, text_col: str, id_col: str, weights, share: float,
+           most: float, block: int) -> DataFrame:
+    """Words begin to end, positions in the source's stream, of each document in each slot; slot is
+    null where the mix takes no such block. first is where the document begins."""
+    text, key = F.col(text_col), row_key(source_col, text_col, id_col)
     sizes = land(docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(text).alias("size"),
         key.alias("key")), "sizes")
@@ -121,15 +125,43 @@ def mix(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_
     upto = F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     placed = rows.withColumns({"upto": upto, "place": F.row_number().over(inside)})
     placed = placed.join(starts, ["sid", "bucket"]).select(
-        "doc_id", "size", "source_size", "target", "sid", "bucket", "place",
+        "doc_id", "source", "key", "size", "source_size", "target", "sid", "bucket", "place",
         (F.col("start") + F.col("upto") - F.col("size")).alias("first"))
     blocks = F.sequence(F.floor(F.col("first") / block),
                         F.floor((F.col("first") + F.greatest("size", F.lit(1)) - 1) / block))
     parts = placed.withColumn("block_no", F.explode(blocks))
     begin = F.greatest("first", F.col("block_no") * block)
-    end = F.least(F.col("first") + F.col("size"), "until")
-    return parts.join(slots(sources, block), ["sid", "block_no"], "left") \
-        .groupBy("doc_id", "size", "source_size", "target", "sid", "bucket", "place").agg(
-            F.sum(F.when(F.col("until").isNull(), 0).otherwise(F.greatest(end - begin, F.lit(0))))
-            .alias("taken")) \
+    return parts.join(slots(sources, block), ["sid", "block_no"], "left").withColumns({
+        "begin": begin, "end": F.least(F.col("first") + F.col("size"), "until")})
+
+
+def schedule(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id",
+             weights=(5, 2, 1), share: float = 1.5, most: float = 2.0, block: int = 64) -> DataFrame:
+    """The mixed sequence: slot, source, doc_id, key, pass_no, stream_at, begin, words.
+
+    A slot's block is words many words of a document from its word begin on, counted from 0, for each
+    document that the block reaches into, in the order of the source's stream, which stream_at gives.
+    Slots in order are the mix: every stretch of them is close to the shares. pass_no is how often the
+    source has been used up before. key is row_key; repeated rows have the same.
+    """
+    parts = _parts(docs, source_col, text_col, id_col, weights, share, most, block)
+    return parts.where("slot is not null and end > begin").select(
+        "slot", "source", "doc_id", "key", "pass_no", F.col("begin").alias("stream_at"),
+        (F.col("begin") - F.col("first")).alias("begin"), (F.col("end") - F.col("begin")).alias("words"))
+
+
+def mix(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id",
+        weights=(5, 2, 1), share: float = 1.5, most: float = 2.0, block: int = 64) -> DataFrame:
+    """One row for each document: doc_id, size, source_size, target and taken.
+
+    size counts words, target is the source's, taken is how many words of the document the mix takes,
+    repeats counted. A source's taken words are its target, rounded down; no document exceeds most
+    times its size, rounded up to a whole number. Null is a source of its own, null texts have no
+    words. Repeated rows and null ids are documents of their own. The order of documents comes from a
+    hash of their rows, so reruns agree.
+    """
+    parts = _parts(docs, source_col, text_col, id_col, weights, share, most, block)
+    return parts.groupBy("doc_id", "size", "source_size", "target", "sid", "bucket", "place").agg(
+        F.sum(F.when(F.col("slot").isNull(), 0).otherwise(F.greatest(F.col("end") - F.col("begin"), F.lit(0))))
+        .alias("taken")) \
         .select("doc_id", "size", "source_size", "target", "taken")
