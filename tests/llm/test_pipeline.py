@@ -59,6 +59,26 @@ def test_stages(spark, data_dir):
     assert docs.count() > 0
 
 
+def test_mixed_rows_have_the_words_taken_in_the_order_of_the_schedule(spark, data_dir):
+    rows = [(i, "w " * 50, "en", "big", 100) for i in range(300)] + [
+        (900, "  one\ttwo " + "y " * 8000, "en", "small", 16011), (901, "z", "en", "small", 1), (901, "other text", "en", "small", 10),
+        (901, "z", "en", "small", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = cp.mixed(spark, docs, data_dir).collect()
+    target = {"big": 5, "small": 2}
+    sizes = {s: sum(len(r[1].split()) for r in rows if r[3] == s) for s in target}
+    total, want = 1.5 * sum(sizes.values()), {}
+    want["big"] = min(2 * sizes["big"], total * 5 / 7)
+    want["small"] = min(2 * sizes["small"], total - want["big"])
+    for s in target:
+        assert abs(sum(len(r.text.split()) for r in got if r.source == s) - want[s]) <= 1.001
+    texts = {(r[0], r[1]) for r in rows}
+    cut = [r for r in got if (r.doc_id, r.text) not in texts]
+    assert len(cut) <= 2 and all(len(r.text) == r.n_chars and any(t.startswith(r.text) for i, t in texts if i == r.doc_id) for r in cut)
+    places = [i for i, r in enumerate(got) if r.source == "big"]
+    assert max(b - a for a, b in zip(places, places[1:])) <= 6 and [r.doc_id for r in got] != sorted(r.doc_id for r in got)
+
+
 def test_clean_documents_stay(spark, data_dir):
     docs = queries.table(spark, data_dir, "documents")
     labels = queries.table(spark, data_dir, "labels")
