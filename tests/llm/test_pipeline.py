@@ -36,6 +36,30 @@ def test_near_copies_go_and_others_stay(spark):
     assert len(near) > 100 and len(set(near) & set(got)) <= 0.03 * len(near)
 
 
+def brute_roots(texts, similarity=0.8):
+    sets, label = [shingles(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]) and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    return label
+
+
+def test_passage_edits_and_appended_text_equal_brute_force(spark):
+    rnd, texts = random.Random(11), []
+    for g in range(60):
+        n = rnd.choice([60, 200, 1000])
+        words = [f"w{int(5000 * rnd.random() ** 3)}" for _ in range(n)]
+        new = lambda k: [f"w{int(5000 * rnd.random() ** 3)}" for _ in range(k)]
+        k, at = int(n * rnd.uniform(0.06, 0.13)), rnd.randrange(n // 2)
+        texts += [" ".join(x) for x in (words, words[:at] + new(k) + words[at + k:], words + new(int(n * rnd.uniform(0.1, 0.3))))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {i for i, x in enumerate(brute_roots(texts)) if i == x}
+    assert 60 < len(want) < 150
+    assert {r.doc_id for r in simhash.near_duplicates(df).collect()} == want
+
+
 def test_hot_group_of_near_copies(spark, monkeypatch):
     monkeypatch.setattr(simhash, "SUBTRIE_CODES", 50)
     rnd = random.Random(9)

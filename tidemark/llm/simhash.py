@@ -10,6 +10,7 @@ this ends. Tasks hand on a spanning forest of the links they find, never all pai
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
@@ -21,7 +22,9 @@ from tidemark.llm.components import components
 from tidemark.session import land
 
 SEED = 42
-CHECK_WORDS = 8             # 64-bit words of a check
+BAND_HASHES = 5             # min-hashes of a band
+MISSED = 1e-4               # of pairs just at the similarity, in no bucket together
+FEW_PAIRS = 4               # pairs a bucket member to be compared without another turn
 SUBTRIE_CODES = 20_000      # codes that a task holds at once
 LEAF_PAIRS = 4_096          # code pairs compared at once at the end of a walk
 MOST_PAIRS = 1_000_000
@@ -38,6 +41,12 @@ def shingle_hashes(text: str | None, size: int) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, runs, repeat(SEED)), np.uint64)
 
 
+@lru_cache(8)       # of pairs in a row, many have a text in common
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """The distinct shingle hashes, in order."""
+    return np.unique(shingle_hashes(text, size))
+
+
 def signature(hashes: np.ndarray, tables: int = 1) -> np.ndarray:
     """A 64-bit code for each table: bits set in over half the hashes."""
     counts = np.zeros((tables, 64), np.int64)
@@ -205,40 +214,125 @@ def groups(df: DataFrame, budget: int = 2, id_col: str = "doc_id", code_col: str
     return docs.join(named, "code").select("doc_id", "code", "component_id")
 
 
-def near_duplicates(df: DataFrame, size: int = 5, similarity: float = 0.8, tables: int = 8,
-                    budget: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def band_hashes(similarity: float) -> np.ndarray:
+    """Multipliers of the min-hashes, a row a band: all bands differ for at most MISSED of the pairs
+    of this Jaccard similarity."""
+    bands = math.ceil(math.log(MISSED) / math.log1p(-similarity ** BAND_HASHES)) if similarity < 1 else 1
+    return np.array([int(xxhash.xxh64_intdigest(i.to_bytes(4, "little"))) | 1
+                     for i in range(bands * BAND_HASHES)], np.uint64).reshape(bands, BAND_HASHES)
+
+
+def bands_of(hashes: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """A 64-bit key for each band of min-hashes; none without hashes."""
+    if not len(hashes):
+        return np.empty(0, np.int64)
+    least = np.full(by.size, np.iinfo(np.uint64).max)
+    for at in range(0, len(hashes), 1_024):
+        np.minimum(least, (by.reshape(-1, 1) * hashes[None, at:at + 1_024]).min(1), out=least)
+    keys = [xxhash.xxh64_intdigest(x.tobytes(), i) for i, x in enumerate(least.reshape(by.shape))]
+    return np.array(keys, np.uint64).view(np.int64)
+
+
+def _alike(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Pairs a, b of nodes whose sets of shingles have this Jaccard similarity at least."""
+    @F.arrow_udf("boolean")
+    def alike(left: pa.Array, right: pa.Array) -> pa.Array:
+        out = []
+        for x, y in zip(left, right):
+            x, y = shingle_set(x.as_py(), size), shingle_set(y.as_py(), size)
+            low, high = sorted((len(x), len(y)))
+            both = len(np.intersect1d(x, y, assume_unique=True)) if low >= similarity * high else 0
+            out.append(both >= similarity * (low + high - both))
+        return pa.array(out, pa.bool_())
+
+    left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")).hint("merge"), "a")
+    both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")).hint("merge"), "b")
+    return both.where(alike("x", "y")).select("a", "b")
+
+
+def near_links(members: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """node, root: components of the nodes that share a bucket and have alike texts.
+
+    members has columns bucket and node, texts has node and text. In turns each bucket links its
+    members to one of them, drawn anew. Pairs within a component need no comparison, so what is left
+    are the pairs between a bucket's components. Turns go on until these are few or a turn finds no
+    link; then they are all compared, by a join on the bucket that Spark can split.
+    """
+    spark, edges, roots, turn = members.sparkSession, None, None, 0
+    while True:
+        named = members.withColumn("root", F.col("node"))
+        if roots is not None:
+            named = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        named = land(named.select("bucket", "node", "root"), "members")
+        parts = named.groupBy("bucket", "root").agg(
+            F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("first"))
+        open_ = parts.groupBy("bucket").agg(
+            F.sum("n").alias("n"), F.count("*").alias("roots"), F.max(F.struct("n", "root")).alias("main"),
+            F.min(F.struct("first", "root")).alias("rep")).where("roots > 1")
+        open_ = land(open_.select(
+            "bucket", "n", "main", F.col("rep.first.node").alias("b"), F.col("rep.root").alias("b_root")), "open-buckets")
+        # of a bucket, all pairs but those within its largest component
+        few, left, rows = open_.agg(
+            F.coalesce(F.sum((F.col("n") - F.col("main.n")).cast("double") * F.col("n")), F.lit(0.0)),
+            F.coalesce(F.sum(F.col("n") - F.col("main.n")), F.lit(0)), F.sum("n")).first()
+        if not left:
+            break
+        last = turn and (few <= FEW_PAIRS * rows or not found)
+        here = named.join(open_.select("bucket", F.col("main.root").alias("main"), "b", "b_root"), "bucket")
+        if last:
+            outside = here.where("root != main").select("bucket", F.col("node").alias("a"), F.col("root").alias("a_root"))
+            other = here.select("bucket", F.col("node").alias("b"), F.col("root").alias("b_root"), "main")
+            pairs = outside.join(other, "bucket").where("a_root != b_root and (b_root = main or a < b)")
+        else:
+            pairs = here.where("root != b_root").select(F.col("node").alias("a"), "b")
+        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        new = land(_alike(pairs, texts, size, similarity), "near-links")
+        found = not new.isEmpty()
+        edges = new if edges is None else edges.unionByName(new)
+        if found:
+            roots = land(components(edges), "near-roots")
+        if last:
+            break
+        turn += 1
+    return spark.createDataFrame([], "node long, root long") if roots is None else roots
+
+
+def near_duplicates(df: DataFrame, size: int = 5, similarity: float = 0.8,
+                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df without near copies: of each group the row with the smallest id stays.
 
-    Candidates are pairs within budget bits in one of several SimHashes of a text's distinct words;
-    they are linked if longer SimHashes of their shingles differ as little as those of texts whose
-    shingle sets have this Jaccard similarity. Texts without words, null ones too, are copies of each
-    other; null ids come last; of repeated rows one stays.
+    Texts are linked if their sets of shingles have this Jaccard similarity at least. Candidates are
+    pairs that share a band of min-hashes, which at most MISSED of the pairs just at the similarity
+    do not; they are verified by the sets themselves. Texts without words, null ones too, are copies
+    of each other; null ids come last; of repeated rows one stays.
     """
-    cosine = 2 * similarity / (1 + similarity)
-    most = int(64 * CHECK_WORDS * math.acos(cosine) / math.pi)
+    by = band_hashes(similarity)
 
-    @F.arrow_udf("words array<long>, check array<long>")
+    @F.arrow_udf("node long, bands array<long>")
     def signatures(texts: pa.Array) -> pa.Array:
-        words, checks = [], []
+        nodes, bands = [], []
         for text in texts:
-            text = text.as_py()
-            words.append(signature(np.unique(shingle_hashes(text, 1)), tables))
-            checks.append(signature(shingle_hashes(text, size), CHECK_WORDS))
+            hashes = shingle_set(text.as_py(), size)
+            nodes.append(xxhash.xxh64_intdigest(hashes.tobytes()))
+            bands.append(bands_of(hashes, by))
         return pa.StructArray.from_arrays([
-            pa.array([x.view(np.int64) for x in words], pa.list_(pa.int64())),
-            pa.array([x.view(np.int64) for x in checks], pa.list_(pa.int64()))], ["words", "check"])
+            pa.array(np.array(nodes, np.uint64).view(np.int64), pa.int64()),
+            pa.array(bands, pa.list_(pa.int64()))], ["node", "bands"])
 
     key = F.xxhash64(F.col(id_col).isNull(), F.col(id_col), F.col(text_col))
     whole = df.select(F.struct(*df.columns).alias("row"), key.alias("key"), F.col(text_col).alias("text"),
                       F.col(id_col).alias("doc_id"))
-    signed = whole.select("key", "doc_id", signatures("text").alias("s")).select(
-        "key", "doc_id", F.xxhash64("s.words", "s.check").alias("node"), "s.words", "s.check")
-    nodes = land(signed.groupBy("node").agg(
+    signed = whole.select("key", "doc_id", signatures("text").alias("s"))
+    nodes = land(signed.groupBy(F.col("s.node").alias("node")).agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key")).alias("best"),
-        F.min(F.struct("words", "check")).alias("s")).select("node", "best", "s.*"), "signatures")
-    codes = nodes.select("node", F.posexplode("words").alias("table", "code"), "check")
-    # equal codes stay together however they are cut, so one more cut is all that helps
-    roots = components(links(codes, budget, most, least_free=40))
+        F.min("s.bands").alias("bands")), "signatures")
+    rows = nodes.select("node", F.explode("bands").alias("bucket"))
+    shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    members = land(rows.join(shared, "bucket"), "bucket-members")
+    wanted = nodes.join(members.select("node").distinct(), "node").select("node", F.col("best.key").alias("key"))
+    # repeated rows have one text, so any of them serves
+    texts = whole.select("key", "text").join(wanted, "key").groupBy("node").agg(F.min("text").alias("text"))
+    roots = near_links(members, land(texts, "member-texts"), size, similarity)
     kept = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(
         F.min("best")["key"].alias("key"))
     kept = land(kept.select("key"), "kept-rows")
