@@ -60,6 +60,22 @@ def test_passage_edits_and_appended_text_equal_brute_force(spark):
     assert {r.doc_id for r in simhash.near_duplicates(df).collect()} == want
 
 
+@pytest.mark.parametrize("few", [4, 0])
+def test_chains_in_a_hot_group_equal_brute_force(spark, monkeypatch, few):
+    monkeypatch.setattr(simhash, "FEW_PAIRS", few)
+    rnd = random.Random(12)
+    words = [f"w{rnd.randrange(5000)}" for _ in range(200)]
+    texts = []
+    for _ in range(150):        # copies around one template, some of them joined only through others
+        texts.append(" ".join(edited(rnd, words, 0.02)))
+    for _ in range(150):        # and a chain that leads away from it
+        words = edited(rnd, words, 0.012)
+        texts.append(" ".join(words))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {i for i, x in enumerate(brute_roots(texts)) if i == x}
+    assert {r.doc_id for r in simhash.near_duplicates(df).collect()} == want
+
+
 def test_hot_group_of_near_copies(spark, monkeypatch):
     monkeypatch.setattr(simhash, "SUBTRIE_CODES", 50)
     rnd = random.Random(9)

@@ -80,7 +80,7 @@ def node_pairs(codes: np.ndarray, budget: int):
         if differ > budget or a == a_end or b == b_end or (a == b and a_end - a < 2):
             continue
         if (a_end - a) * (b_end - b) <= LEAF_PAIRS or bit < 0:
-            rows = max(1, MOST_PAIRS // (b_end - b))     # equal codes can make a large leaf
+            rows = max(1, MOST_PAIRS // (b_end - b))
             for at in range(a, a_end, rows):
                 off = np.bitwise_count(codes[at:min(a_end, at + rows), None] ^ codes[None, b:b_end])
                 left, right = np.nonzero(off <= budget)
@@ -101,11 +101,10 @@ def node_pairs(codes: np.ndarray, budget: int):
             stack.append((x, a_end, b, y, bit - 1, differ + 1))
 
 
-def forest(codes: np.ndarray, nodes: np.ndarray, checks: np.ndarray | None, budget: int, most: int):
-    """Node pairs that span the links between codes; codes may repeat where nodes have checks."""
+def forest(codes: np.ndarray, nodes: np.ndarray, budget: int):
+    """Node pairs that span the links between distinct codes."""
     order = np.argsort(codes, kind="stable")
     codes, nodes = codes[order], nodes[order]
-    checks = checks[order] if checks is not None else None
     parent = list(range(len(codes)))
     label = np.arange(len(codes))
 
@@ -117,9 +116,6 @@ def forest(codes: np.ndarray, nodes: np.ndarray, checks: np.ndarray | None, budg
     for left, right in node_pairs(codes, budget):
         apart = label[left] != label[right]
         left, right = left[apart], right[apart]
-        if checks is not None and len(left):
-            near = np.bitwise_count(checks[left] ^ checks[right]).sum(1) <= most
-            left, right = left[near], right[near]
         if not len(left):
             continue
         for i, j in zip(label[left].tolist(), label[right].tolist()):
@@ -143,12 +139,11 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(codes: DataFrame, budget: int, most: int = 0, least_free: int = 2) -> DataFrame:
+def links(codes: DataFrame, budget: int) -> DataFrame:
     """Edges a, b that span all links between nodes whose codes differ in at most budget bits.
 
-    codes has columns node, table, code and check. Nodes of one table are compared; if check is not
-    null, links are those whose checks differ in at most most bits. Node and code must be one-to-one
-    in a table unless there are checks. Subtries with least_free free bits or fewer are not cut again.
+    codes has columns node, table and code. Nodes of one table are compared; node and code must be
+    one-to-one in a table, so cutting a subtrie ends with one of few codes.
     """
     rows, done = codes.withColumn("mask", F.lit(0).cast("long")), None
     masks = {0}
@@ -160,7 +155,7 @@ def links(codes: DataFrame, budget: int, most: int = 0, least_free: int = 2) ->
         rows = rows.withColumn("value", F.col("code").bitwiseAND(F.col("mask")))
         counts = rows.groupBy("table", "mask", "value").agg(F.count("*").alias("n"))
         free = F.lit(64) - F.bit_count("mask")
-        large = (F.col("n") > SUBTRIE_CODES) & (free > max(budget, least_free))
+        large = (F.col("n") > SUBTRIE_CODES) & (free > max(budget, 2))
         large = land(counts.where(large).drop("n"), "large-subtries")
         key = ["table", "mask", "value"]
         masks = {r.mask & (1 << 64) - 1 for r in large.select("mask").distinct().collect()}
@@ -174,11 +169,8 @@ def links(codes: DataFrame, budget: int, most: int = 0, least_free: int = 2) ->
         def edges():
             codes = np.array([r["code"] for r in held], np.int64).view(np.uint64)
             nodes = np.array([r["node"] for r in held], np.int64)
-            checks = None
-            if held[0]["check"] is not None:
-                checks = np.array([r["check"] for r in held], np.int64).view(np.uint64)
             return pa.RecordBatch.from_arrays(
-                [pa.array(x, pa.int64()) for x in forest(codes, nodes, checks, budget, most)], ["a", "b"])
+                [pa.array(x, pa.int64()) for x in forest(codes, nodes, budget)], ["a", "b"])
 
         for batch in batches:
             for row in batch.to_pylist():
@@ -204,8 +196,7 @@ def groups(df: DataFrame, budget: int = 2, id_col: str = "doc_id", code_col: str
     docs = land(df.select(F.col(id_col).alias("doc_id"), F.col(code_col).alias("code")), "codes")
     codes = land(docs.groupBy("code").agg(F.min("doc_id").alias("first_id")), "distinct-codes")
     edges = links(codes.select(
-        F.col("code").alias("node"), F.lit(0).alias("table"), "code",
-        F.lit(None).cast("array<long>").alias("check")), budget)
+        F.col("code").alias("node"), F.lit(0).alias("table"), "code"), budget)
     roots = components(edges)
     codes = codes.join(roots.withColumnRenamed("node", "code"), "code", "left") \
         .withColumn("root", F.coalesce("root", "code"))
