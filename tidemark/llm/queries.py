@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.llm import (
-    bpe, fingerprints, hamming, langid, lines, mixing, quality, quotes, simhash, suffixes,
+    bpe, divergence, fingerprints, hamming, langid, line_rules, lines, merkle, mixing, quality, quotes, simhash,
+    suffixes,
 )
 from tidemark.session import land
 
@@ -185,3 +188,164 @@ def substring_digests(docs: DataFrame, length: int = suffixes.LENGTH) -> DataFra
 def op4_suffix_dedup(spark, sf_dir):
     """Documents without the bytes that strings of 400 bytes found elsewhere cover."""
     return substring_digests(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_line_rules(spark, sf_dir):
+    """Rules on each document, and those that lose too much with lines frequent on their source."""
+    return line_rules.judge(table(spark, sf_dir, "documents"))
+
+
+SQL["op11_line_rules"] = r"""
+with docs as (
+  select row_number() over () rid, doc_id, coalesce(source, '') || (source is null) host, coalesce(text, '') text
+  from documents
+), measured as (
+  select rid, doc_id, host, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') words,
+         len(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) n_symbols,
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) filled from docs
+), placed as (
+  select rid, generate_subscripts(words, 1) i, unnest(words) w from measured
+), windows as (
+  select rid, i, [w, lead(w, 1) over o, lead(w, 2) over o, lead(w, 3) over o, lead(w, 4) over o] run,
+         lead(i, 4) over o is not null whole from placed window o as (partition by rid order by i)
+), runs as (
+  select rid, i, count(*) over (partition by rid, run) times from windows where whole
+), covered as (
+  select rid, count(distinct i + k) n from runs, range(5) t(k) where times > 1 group by rid
+), texts as (select distinct host, text from docs),
+lines as (
+  select host, text, unnest(string_split(regexp_replace(lower(text), '[0-9]+', '0', 'g'), chr(10))) line from texts
+), held as (
+  select host, text, trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), ' ') line,
+         sum(len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) words from lines group by all having words > 0
+), often as (
+  select host, line from held group by host, line having count(*) > 10
+), frequent as (
+  select host, line, count(*) n from held semi join often using (host, line) group by host, line
+), above as (
+  select host, line from frequent join (select host, count(*) docs from texts group by host) using (host)
+  where n > 0.02 * docs
+), lost as (select host, text, sum(words) lost from held semi join above using (host, line) group by host, text),
+judged as (
+  select doc_id, len(words) n_words, len(array_to_string(words, '')) word_chars, n_symbols,
+         len(filled) - len(list_distinct(filled)) n_dup_lines, coalesce(n, 0) n_repeat_words,
+         n_words < 10 or 100 * n_repeat_words > 20 * n_words base_failed, coalesce(lost, 0) gone
+  from measured left join covered using (rid) left join lost using (host, text)
+)
+select * exclude (gone), not base_failed and not (gone > 0.5 * n_words or (gone > 0 and n_words - gone < 10)) kept
+from judged
+"""
+
+
+def manifest_checks(docs: DataFrame) -> DataFrame:
+    """Leaves, roots and proofs of documents by language, and what a tampered third folds to."""
+    columns = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    whole, tampered = merkle.leaf([*columns, F.col("text")]), merkle.leaf([*columns, lowered])
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    rows = merkle.manifest(docs.select(
+        F.col("lang").alias("grp"), F.col("doc_id").alias("id"), whole.alias("leaf"),
+        F.when(hit, tampered).alias("seen")))
+    siblings = F.array_join(F.transform("proof", lambda s: F.concat(s["before"], s["after"])), "")
+    folded = merkle.fold(F.coalesce("seen", "leaf"), F.col("proof"))
+    return rows.select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2(siblings, 256).alias("proof_sha256"),
+        folded.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query
+def op12_merkle(spark, sf_dir):
+    """Merkle manifest of all documents by language, checked against a tampered third of them."""
+    return manifest_checks(table(spark, sf_dir, "documents"))
+
+
+# crc32 is folded over the decimal digits; a level of the trees is a step of the recursion
+SQL["op12_merkle"] = r"""
+with recursive leaves as (
+  select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 place,
+         count(*) over (partition by lang) n from (
+    select row_number() over () rid, doc_id, coalesce('=' || lang, '') lang,
+           sha256(concat_ws('', head, coalesce(strlen(text) || ':' || text, '-'))) leaf,
+           xor(list_reduce(list_prepend(4294967295, list_transform(
+             string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint)), lambda c, b: list_reduce(
+             list_prepend(xor(c, b), range(8)), lambda v, k: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295) % 3 = 0 hit,
+           sha256(concat_ws('', head, coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz'), '-'))) tampered
+    from (select *, concat_ws('', coalesce(strlen(doc_id::varchar) || ':' || doc_id, '-'),
+            coalesce(strlen(source) || ':' || source, '-'), coalesce(strlen(lang) || ':' || lang, '-'),
+            coalesce(strlen(n_chars::varchar) || ':' || n_chars, '-')) head from documents))
+), up as (
+  select lang, 0 lv, place i, n, leaf h from leaves
+  union all
+  select lang, lv + 1, i // 8, (max(n) + 7) // 8, sha256(string_agg(h, '' order by i))
+  from up where n > 1 group by lang, lv, i // 8
+), subroots as (
+  select lang, h subroot, row_number() over (order by lang) - 1 place, count(*) over () n from up where n = 1
+), top as (
+  select 100 lv, place i, n, subroot h from subroots
+  union all
+  select lv + 1, i // 8, (max(n) + 7) // 8, sha256(string_agg(h, '' order by i)) from top where n > 1 group by lv, i // 8
+), steps as (
+  select rid, lv, coalesce(string_agg(h, '' order by i) filter (i < place // (8 ** lv)::bigint), '') lo,
+         coalesce(string_agg(h, '' order by i) filter (i > place // (8 ** lv)::bigint), '') hi
+  from leaves join up using (lang) where up.n > 1 and up.i // 8 = place // (8 ** (lv + 1))::bigint group by rid, lv
+  union all
+  select rid, lv, coalesce(string_agg(h, '' order by i) filter (i < s.place // (8 ** (lv - 100))::bigint), ''),
+         coalesce(string_agg(h, '' order by i) filter (i > s.place // (8 ** (lv - 100))::bigint), '')
+  from leaves join subroots s using (lang), top where top.n > 1 and top.i // 8 = s.place // (8 ** (lv - 99))::bigint group by rid, lv
+), numbered as (select *, row_number() over (partition by rid order by lv) step from steps),
+folded as (
+  select rid, 0 step, if(hit, tampered, leaf) h from leaves
+  union all
+  select rid, numbered.step, sha256(lo || h || hi) from folded join numbered using (rid)
+  where numbered.step = folded.step + 1
+)
+select doc_id, leaf, subroot, root, sha256(coalesce(proof, '')) proof_sha256, folded_root, folded_root = root verified
+from leaves join (select h root from top where n = 1) on true join subroots using (lang)
+left join (select rid, string_agg(lo || hi, '' order by step) proof from numbered group by rid) using (rid)
+join (select rid, arg_max(h, step) folded_root from folded group by rid) using (rid)
+"""
+
+
+@query
+def op13_divergence(spark, sf_dir):
+    """Divergence of each source's words from other sources and from its language."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+SQL["op13_divergence"] = r"""
+with docs as (
+  select row_number() over () rid, coalesce(lang, '') lang, coalesce(source, '') source, coalesce(text, '') text
+  from documents
+), terms as (
+  select rid, lang, source, unnest(regexp_extract_all(translate(
+    text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) term from docs
+), kept as (
+  select lang, term, count(*) n from terms group by lang, term having count(distinct rid) >= 3
+), langs as (select lang, sum(n)::bigint total, count(*) v from kept group by lang),
+counts as (select lang, source, term, count(*) n from terms semi join kept using (lang, term) group by all),
+sums as (select lang, source, sum(n)::bigint total from counts group by all),
+groups as (
+  select lang, source, coalesce(sums.total, 0) total, v
+  from (select distinct lang, source from docs) left join sums using (lang, source) left join langs using (lang)
+), given as (
+  select lang, g.source, term, coalesce(c.n, 0) n, 1 + 1000000000 * (coalesce(c.n, 0) + 1) // (g.total + v) p,
+         1 + 1000000000 * (k.n + 1) // (l.total + v) q
+  from groups g join kept k using (lang) join (select lang, total from langs) l using (lang)
+  left join counts c using (lang, source, term)
+), pairs as (
+  select lang, a.source, b.source item, sum((a.p - b.p) * (a.p - b.p) // b.p)::bigint as value
+  from given a join given b using (lang, term) where a.source <> b.source group by all
+  union all
+  select a.lang, a.source, b.source, 0 from groups a join groups b using (lang) where a.v is null and a.source <> b.source
+), found as (
+  select lang, source, 'pair' part, item, value from pairs
+  union all
+  select lang, source, 'term', term, (p - q) * (p - q) // q from given where n > 0 and p > q
+), ranked as (
+  select *, row_number() over (partition by lang, source, part order by value desc, item)::int rank from found
+)
+select * from ranked where part = 'pair' or rank <= 200
+"""
