@@ -38,7 +38,7 @@ def plain(rows, line_docs, line_share, depleted):
 
 def corpus():
     rnd = random.Random(3)
-    vocabulary = [f"w{i}" for i in range(400)] + ["É#", "a*b", "$", "ß"]
+    vocabulary = [chr(97 + i % 26) + chr(97 + i // 26) for i in range(400)] + ["É#", "a*b", "$", "ß"]
     menu = ["Home  About\tus 2024", "All rights reserved 1999", "read more read more read more now please"]
     rows = []
     for i in range(400):

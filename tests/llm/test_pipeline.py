@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
-from tidemark.llm import queries, simhash
+from tidemark.llm import near, queries
 
 
 def shingles(text, n=5):
@@ -27,13 +27,13 @@ def test_near_copies_go_and_others_stay(spark):
             rows.append((100 * g + c, " ".join(edited(rnd, words, 0.008))))
     rows += [(9000, None), (9001, ""), (9002, "  "), (9003, rows[0][1]), (9003, rows[0][1]), (None, "a b c")]
     df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, key int, node int")
-    got = [r.doc_id for r in simhash.near_duplicates(df).collect()]
+    got = [r.doc_id for r in near.near_duplicates(df).collect()]
     assert len(got) == len(set(got)) and {9000, None} <= set(got) and not {9001, 9002, 9003} & set(got)
     originals = {100 * g for g in range(60)}
     assert originals <= set(got)
-    near = [i for i, t in rows[:240] if i % 100 and len(shingles(t) & shingles(dict(rows)[i - i % 100])) >= 0.85 * len(
+    close = [i for i, t in rows[:240] if i % 100 and len(shingles(t) & shingles(dict(rows)[i - i % 100])) >= 0.85 * len(
         shingles(t) | shingles(dict(rows)[i - i % 100]))]
-    assert len(near) > 100 and len(set(near) & set(got)) <= 0.03 * len(near)
+    assert len(close) > 100 and len(set(close) & set(got)) <= 0.03 * len(close)
 
 
 def brute_roots(texts, similarity=0.8):
@@ -57,12 +57,12 @@ def test_passage_edits_and_appended_text_equal_brute_force(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want = {i for i, x in enumerate(brute_roots(texts)) if i == x}
     assert 60 < len(want) < 150
-    assert {r.doc_id for r in simhash.near_duplicates(df).collect()} == want
+    assert {r.doc_id for r in near.near_duplicates(df).collect()} == want
 
 
-@pytest.mark.parametrize("few", [4, 0])
-def test_chains_in_a_hot_group_equal_brute_force(spark, monkeypatch, few):
-    monkeypatch.setattr(simhash, "FEW_PAIRS", few)
+@pytest.mark.parametrize("turns", [1, 2])
+def test_chains_in_a_hot_group_equal_brute_force(spark, monkeypatch, turns):
+    monkeypatch.setattr(near, "TURNS", turns)
     rnd = random.Random(12)
     words = [f"w{rnd.randrange(5000)}" for _ in range(200)]
     texts = []
@@ -73,16 +73,30 @@ def test_chains_in_a_hot_group_equal_brute_force(spark, monkeypatch, few):
         texts.append(" ".join(words))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want = {i for i, x in enumerate(brute_roots(texts)) if i == x}
-    assert {r.doc_id for r in simhash.near_duplicates(df).collect()} == want
+    assert {r.doc_id for r in near.near_duplicates(df).collect()} == want
 
 
-def test_hot_group_of_near_copies(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "SUBTRIE_CODES", 50)
+def test_hot_group_of_near_copies(spark):
     rnd = random.Random(9)
     words = [f"w{rnd.randrange(5000)}" for _ in range(200)]
     rows = [(i, " ".join(edited(rnd, words, 0.006))) for i in range(300)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert simhash.near_duplicates(df).count() <= 6
+    want = {i for i, x in enumerate(brute_roots([t for _, t in rows])) if i == x}
+    assert {r.doc_id for r in near.near_duplicates(df).collect()} == want and len(want) < 15
+
+
+def test_sketches_let_alike_pairs_through():
+    rnd, by = random.Random(5), near.band_hashes(0.8)
+    cut = near.sketch_cut(by.size, 0.8)
+    far = []
+    for _ in range(300):
+        whole = near.np.array([rnd.getrandbits(64) for _ in range(900)], near.np.uint64)
+        a, b, c = whole[:810], whole[90:], whole[450:]      # 0.8, and a half that a holds too
+        off = [near.np.bitwise_count((near.sketch_of(near.least_hashes(x, by)) ^ near.sketch_of(
+            near.least_hashes(a, by))).view(near.np.uint64)).sum() for x in (b, c)]
+        assert off[0] <= cut
+        far.append(off[1] > cut)
+    assert sum(far) > 250
 
 
 def test_stages(spark, data_dir):

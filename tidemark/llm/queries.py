@@ -146,19 +146,25 @@ def op5_quality(spark, sf_dir):
 
 
 def as_replies(turns: DataFrame) -> DataFrame:
-    """Conversations as they look in mail: each turn begins with the two turns before it, quoted.
+    """Conversations as they look in mail: turns quote the turns before them, in three ways.
 
-    The table has no quotes, so they are derived here: '>' for the turn before, '>>' for the one
-    before that. A conversation's first turn quotes nothing.
+    The table has no quotes, so they are derived here, by the number of the turn: '>' for the whole
+    turn before and '>>' for the one before that; only its last line; or its first line, the reply, its
+    last line and the reply again. A conversation's first turn quotes nothing.
     """
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
 
-    def quote(n):
-        return F.regexp_replace(F.lag("text", n).over(order), "(?m)^", ">" * n + " ")
-
-    parts = F.filter(F.array(quote(2), quote(1), F.col("text")), lambda x: x.isNotNull())
-    return turns.select("conv_id", "turn", "role", F.when(
-        F.col("text").isNotNull(), F.array_join(parts, "\n")).alias("text"))
+    def quote(text, n):
+        return F.regexp_replace(text, "(?m)^", ">" * n + " ")
+
+    last, own = F.lag("text").over(order), F.col("text")
+    first_line, last_line = F.substring_index(last, "\n", 1), F.substring_index(last, "\n", -1)
+    way = F.pmod(F.col("turn"), F.lit(3))
+    parts = F.when(way == 1, F.array(quote(F.lag("text", 2).over(order), 2), quote(last, 1), own)).when(
+        way == 2, F.array(quote(last_line, 1), own)).otherwise(
+        F.array(quote(first_line, 1), own, quote(F.when(last.isNotNull(), last_line), 1), F.when(last.isNotNull(), own)))
+    return turns.select("conv_id", "turn", "role", F.when(own.isNotNull(), F.array_join(
+        F.filter(parts, lambda x: x.isNotNull()), "\n")).alias("text"))
 
 
 @query
