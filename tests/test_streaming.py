@@ -33,10 +33,26 @@ def make(n, keys, span, seed):
 
 def test_batch_limit_equals_the_definition(spark):
     events = make(3000, ["hot"] * 8 + ["a", "b", "c"], 4 * 86400, 1)   # one dominant key, several days
-    got = rows(attempts.limit_attempts(spark.createDataFrame(events, SCHEMA)), "event_id")
     want = brute(events)
-    assert {k: (r["count"], r.blocked) for k, r in got.items()} == want
     assert any(b for _, b in want.values())
+    df = spark.createDataFrame(events, SCHEMA)
+    for bucket in (attempts.BUCKET, 16):
+        got = rows(attempts.limit_attempts(df, bucket=bucket), "event_id")
+        assert {k: (r["count"], r.blocked) for k, r in got.items()} == want
+
+
+def test_key_without_pause_spreads_over_buckets(spark):
+    even = [("k", START + timedelta(seconds=10 * i), i, False) for i in range(1500)]     # windows of 90 never meet
+    busy = make(1500, ["b"], 3000, 4)
+    events = even + [(k, t, 10_000 + i, ok) for k, t, i, ok in busy] + [("s", START, 30_000 + i, i % 2 == 0) for i in range(40)]
+    got = rows(attempts.limit_attempts(spark.createDataFrame(events, SCHEMA), bucket=32), "event_id")
+    assert {k: (r["count"], r.blocked) for k, r in got.items()} == brute(events)
+
+
+def test_attempts_of_odd_rows(spark):
+    df = spark.createDataFrame([(None, START, 1, True), ("a", START, 2, None), ("a", START, 2, None)], SCHEMA)
+    assert sorted(r["count"] for r in attempts.limit_attempts(df).collect()) == [1, 2]
+    assert attempts.limit_attempts(df.limit(0)).count() == 0
 
 
 def test_window_is_anchored_and_not_extended(spark):
