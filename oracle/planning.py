@@ -96,6 +96,39 @@ WITH RECURSIVE pouring AS (
           count(*) FILTER (WHERE active) OVER (PARTITION BY portfolio_id) AS n FROM pouring WHERE remaining > 1e-9) WHERE n > 0)))
 SELECT portfolio_id, ticker, any_value(before) AS weight, arg_max(weight, round) AS new_weight FROM pouring GROUP BY portfolio_id, ticker""",
         r6=["weight", "new_weight"]),
+    "p3_capped_weights": build("""
+WITH RECURSIVE mixed AS (
+  SELECT portfolio_id, ticker, sector, beta, pick_rank::INTEGER AS pick_rank FROM portfolio_picks
+  UNION ALL SELECT 'mixed ' || (universe_pos % 40)::VARCHAR, ticker, sector, beta, universe_pos::INTEGER FROM companies
+), started AS (
+  SELECT *, raw / sum(raw) OVER (PARTITION BY portfolio_id) AS weight
+  FROM (SELECT *, 1e0 / greatest(coalesce(beta, 1e0), 0.5e0) AS raw FROM mixed)
+), steps AS (
+  SELECT portfolio_id, ticker, sector, pick_rank, weight, 0 AS step, true AS moved, true AS live FROM started
+  UNION ALL
+  SELECT portfolio_id, ticker, sector, pick_rank,
+    CASE WHEN into_it AND amount > 0 THEN greatest(base, least(0.15e0, coalesce(level * base, 0.15e0))) ELSE base END, step + 1,
+    CASE WHEN step % 2 = 0 THEN amount > 0 ELSE moved END, step % 2 = 0 OR moved OR amount > 0
+  FROM (
+    SELECT *, min(CASE WHEN into_it AND try_level * base <= 0.15e0 THEN {'ahead': ahead, 'level': try_level} END)
+        OVER (PARTITION BY portfolio_id).level AS level
+    FROM (
+      SELECT *, (sum(base) FILTER (WHERE into_it) OVER whole + amount - 0.15e0 * ahead) /
+        sum(base) OVER (PARTITION BY portfolio_id, into_it ORDER BY base DESC, ticker ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS try_level
+      FROM (
+        SELECT *, sum(extra) OVER (PARTITION BY portfolio_id) AS amount,
+          row_number() OVER (PARTITION BY portfolio_id, into_it ORDER BY base DESC, ticker) - 1 AS ahead
+        FROM (
+          SELECT *,
+            CASE WHEN step % 2 = 0 THEN least(weight, CASE WHEN tall THEN 0.15e0 ELSE weight END)
+              WHEN total > 0.250000001e0 THEN weight * 0.25e0 / total ELSE weight END AS base,
+            CASE WHEN step % 2 = 0 THEN NOT tall ELSE total < 0.249999999e0 END AS into_it,
+            CASE WHEN step % 2 = 0 THEN CASE WHEN tall THEN weight - 0.15e0 ELSE 0e0 END
+              WHEN total > 0.250000001e0 THEN weight - weight * 0.25e0 / total ELSE 0e0 END AS extra
+          FROM (SELECT *, weight > 0.150000001e0 AS tall, sum(weight) OVER (PARTITION BY portfolio_id, coalesce(sector, 'Unknown')) AS total
+            FROM steps WHERE live AND step < 40))) WINDOW whole AS (PARTITION BY portfolio_id))))
+SELECT portfolio_id, ticker, any_value(sector) AS sector, any_value(pick_rank) AS pick_rank, arg_max(weight, step) AS weight
+FROM steps GROUP BY portfolio_id, ticker""", r6=["weight"]),
     "a10_sector_totals": build("""
 SELECT portfolio_id, coalesce(sector, 'Unknown') AS sector, sum(weight) AS sector_weight, sum(weight) > 0.25e0 + 1e-9 AS breach FROM weights GROUP BY 1, 2""", r6=["sector_weight"]),
     "p4_liquidation_plan": build("""

@@ -34,34 +34,48 @@ def brute_pour(weights, names, amount, cap):
             break
 
 
-@pytest.mark.parametrize("seed", range(40))
-def test_pour_equals_round_by_round(seed):
-    rng = random.Random(seed)
-    n = rng.randint(1, 12)
-    w = np.array([rng.uniform(0.001, 0.15) for _ in range(n)])
-    into = np.array([rng.random() < 0.8 for _ in range(n)])
-    amount = rng.uniform(0, 1.0)
-    want = dict(enumerate(w.copy()))
-    brute_pour(want, [i for i in range(n) if into[i]], amount, 0.15)
-    pf.pour(w, into, amount, 0.15)
-    assert np.allclose(w, [want[i] for i in range(n)], atol=1e-9)
-
-
-def test_caps_hold_and_cash_is_explicit(spark):
+def brute_caps(picks):
+    """Weights by rank: position caps, then sectors one by one, by the totals a round began with."""
+    raw = {i: 1 / max(1.0 if beta is None else beta, 0.5) for _, _, _, beta, i in picks}
+    sector = {i: s or "Unknown" for _, _, s, _, i in picks}
+    w = {i: x / sum(raw.values()) for i, x in raw.items()}
+    for _ in range(P.rounds):
+        tall = [i for i in w if w[i] > P.position_cap + P.eps]
+        spare = sum(w[i] - P.position_cap for i in tall)
+        w |= dict.fromkeys(tall, P.position_cap)
+        brute_pour(w, [i for i in w if i not in tall], spare, P.position_cap)
+        totals = {s: sum(w[i] for i in w if sector[i] == s) for s in dict.fromkeys(sector.values())}
+        heavy = [s for s in totals if totals[s] > P.sector_cap + P.eps]
+        below = [i for i in w if totals[sector[i]] < P.sector_cap - P.eps]
+        for s in heavy:
+            for i in w:
+                if sector[i] == s:
+                    w[i] *= P.sector_cap / totals[s]
+            brute_pour(w, below, totals[s] - P.sector_cap, P.position_cap)
+        if not tall and not heavy:
+            break
+    return w
+
+
+def test_joint_caps_equal_round_by_round(spark):
     rng = random.Random(5)
     picks = [(f"P{p}", f"T{i}", rng.choice(["A", "B", "C", "D", "E", None]),
               rng.choice([None, rng.uniform(-1, 3)]), i)
-             for p in range(30) for i in range(rng.randint(1, 12))]
+             for p in range(40) for i in range(rng.randint(1, 12 if p % 2 else 60))]
+    picks += [("one", "T", "A", 1.0, 1)] + [("same", f"T{i}", "A", 2.0, i) for i in range(9)]
     df = spark.createDataFrame(
         picks, "portfolio_id string, ticker string, sector string, beta double, pick_rank int")
     out = pf.capped_weights(df).collect()
     assert len(out) == len(picks)
+    moved = 0
     for p in {r.portfolio_id for r in out}:
-        own = [r for r in out if r.portfolio_id == p]
-        assert sum(r.weight for r in own) <= 1 + 1e-9
-        assert all(0 <= r.weight <= P.position_cap + 1e-6 for r in own)
-    single = spark.createDataFrame([("X", "T", "A", 1.0, 1)], df.schema)
-    assert math.isclose(pf.capped_weights(single).first().weight, 0.15)
+        want = brute_caps([x for x in picks if x[0] == p])
+        own = {r.pick_rank: r.weight for r in out if r.portfolio_id == p}
+        assert all(math.isclose(own[i], want[i], abs_tol=1e-8) for i in want) and len(own) == len(want)
+        assert sum(own.values()) <= 1 + 1e-9 and max(own.values()) <= P.position_cap + 1e-6
+        moved += sum(want.values()) < 1 - 1e-6
+    assert moved > 5
+    assert pf.capped_weights(df.limit(0)).count() == 0
 
 
 def plan_frame(spark, orders):

@@ -6,6 +6,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from oracle.queries import load as load_sql
+from tidemark import plans
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
@@ -13,13 +15,13 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 SAMPLE = (
     "s10_headlines s13_xbrl_scan s21_hash_manifest f19_email_scan j1_as_of_price_dense "
     "x13_point_in_time_valuation x19_f_score k1_top_picks l1_median_lookup w5_wilder_rsi "
-    "w11_curve_metrics p2_capped_distribution p6_cent_allocation p10_hedge_plan a8_covariance "
+    "w11_curve_metrics p2_capped_distribution p3_capped_weights p6_cent_allocation p10_hedge_plan a8_covariance "
     "a9_tail_risk v7_put_pricing x23_second_dcf l9_company_extraction k2_paged_trades "
     "t1_attempt_limit t4_fill_log"
 ).split()
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLE = plans.load(), load_sql()
 NAMES = sorted(ORACLE) if os.environ.get("TEST_ALL_QUERIES") else SAMPLE
-NO_SQL = {"p3_capped_weights", "v4_single_asset_simulation", "v5_simulated_paths", "v6_portfolio_var"}
+NO_SQL = {"v4_single_asset_simulation", "v5_simulated_paths", "v6_portfolio_var"}
 
 
 def test_every_query_has_sql_unless_it_is_random_or_iterative():
@@ -51,6 +53,10 @@ def test_unchecked_queries_run(spark, data_dir, name):
     assert QUERIES[name](spark, data_dir).count() > 0
 
 
+def test_driver_gets_every_query():
+    assert QUERIES.keys() <= entry.queries().keys() and ORACLE.keys() <= entry.oracle_sql().keys()
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert "conviction" in df.columns and df.count() > 0

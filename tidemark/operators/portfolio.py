@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.numeric import ratio
 from tidemark.params import PortfolioParams
+from tidemark.session import land
 
 
 def inverse_risk(beta="beta", p: PortfolioParams = PortfolioParams()) -> Column:
@@ -14,9 +17,9 @@ def inverse_risk(beta="beta", p: PortfolioParams = PortfolioParams()) -> Column:
 
 def inverse_beta_weights(picks: DataFrame, p: PortfolioParams = PortfolioParams()) -> DataFrame:
     """Share of each pick before any cap."""
-    w = Window.partitionBy("portfolio_id")
     raw = picks.withColumn("raw", inverse_risk(p=p))
-    return raw.withColumn("weight", F.col("raw") / F.sum("raw").over(w)).drop("raw")
+    sums = raw.groupBy("portfolio_id").agg(F.sum("raw").alias("raw_sum"))
+    return raw.join(sums, "portfolio_id").withColumn("weight", F.col("raw") / F.col("raw_sum")).drop("raw", "raw_sum")
 
 
 def distribute_capped(weights: DataFrame, amount: str, cap: float,
@@ -53,67 +56,67 @@ def distribute_capped(weights: DataFrame, amount: str, cap: float,
     ).drop("kind", "ahead", "tail", "target", "spare", "empties", "level")
 
 
-def capped_weights(picks: DataFrame, p: PortfolioParams = PortfolioParams()) -> DataFrame:
-    """Joint position and sector caps. One small group per portfolio (its ranked picks)."""
-
-    def settle(pdf):
-        pdf = pdf.sort_values("pick_rank")
-        pdf["weight"] = cap_jointly(
-            pdf["beta"].to_numpy(dtype=float), pdf["sector"].fillna("Unknown").tolist(), p
-        )
-        return pdf[["portfolio_id", "ticker", "sector", "pick_rank", "weight"]]
-
-    return picks.select("portfolio_id", "ticker", "sector", "pick_rank", "beta").groupBy(
-        "portfolio_id"
-    ).applyInPandas(
-        settle, "portfolio_id string, ticker string, sector string, pick_rank int, weight double"
-    )
+def _poured(rows: DataFrame, cap: float) -> DataFrame:
+    """rows (portfolio_id, base, into, extra) with weight: base, and in the rows marked into the
+    portfolio's sum of extra, poured in proportion and none lifted above the cap; amount is that sum.
 
+    Rows end at min(cap, level * base) as in distribute_capped. Weights of a portfolio sum to one at
+    most, so no more than 1 / cap rows can be full: the level follows from the sum of the open rows and
+    the few largest, and no portfolio is sorted or gathered.
+    """
+    few = math.ceil(1 / cap) + 1
+    sums = rows.groupBy("portfolio_id").agg(
+        F.sum(F.when(F.col("into"), F.col("base"))).alias("open"), F.sum("extra").alias("amount"))
+    largest = Window.partitionBy("portfolio_id").orderBy(F.desc("base"))
+    top = rows.where("into").select("portfolio_id", "base", F.row_number().over(largest).alias("n")).where(
+        F.col("n") <= few).groupBy("portfolio_id").agg(F.sort_array(F.collect_list("base"), False).alias("top"))
+
+    def level(full):
+        taken = F.aggregate(F.slice("top", 1, full), F.lit(0.0), lambda x, y: x + y)
+        return ratio(F.col("open") + F.col("amount") - cap * full, F.col("open") - taken)
+
+    tries = F.transform(F.sequence(F.lit(0), F.size("top") - 1), lambda k: F.struct(
+        level(k).alias("level"), F.get("top", k).alias("next")))
+    fits = F.get(F.filter(tries, lambda x: x["level"] * x["next"] <= cap), 0)["level"]
+    levels = sums.join(top, "portfolio_id", "left").select(
+        "portfolio_id", "amount", F.when(F.col("top").isNotNull(), fits).alias("level"))
+    lifted = F.greatest("base", F.least(F.lit(cap), F.coalesce(F.col("level") * F.col("base"), F.lit(cap))))
+    return rows.join(levels, "portfolio_id").withColumn(
+        "weight", F.when(F.col("into") & (F.col("amount") > 0), lifted).otherwise(F.col("base")))
 
-def cap_jointly(beta, sectors, p: PortfolioParams):
-    """Weights of one portfolio in pick order; totals per sector are fixed within a round."""
-    import numpy as np
 
-    beta = np.where(np.isnan(beta), p.default_beta, beta)
-    w = 1.0 / np.maximum(beta, p.beta_floor)
-    w = w / w.sum()
-    names = list(dict.fromkeys(sectors))
-    group = np.array([names.index(s) for s in sectors])
+def capped_weights(picks: DataFrame, p: PortfolioParams = PortfolioParams()) -> DataFrame:
+    """Joint position and sector caps: portfolio_id, ticker, sector, pick_rank and weight.
+
+    Rounds of two steps: what positions have above their cap goes to the others, then what sectors have
+    above theirs goes to the names of sectors below it, by the totals the round began with. Names
+    without sector are one sector. A portfolio leaves when a round changes nothing, after p.rounds at
+    the latest. Steps are aggregates over all portfolios at once; the driver sees whether any is left.
+    """
+    name = F.coalesce("sector", F.lit("Unknown"))
+    state = inverse_beta_weights(picks, p).select("portfolio_id", "ticker", "sector", "pick_rank", "weight")
+    state, done = land(state, "weights"), None
     for _ in range(p.rounds):
-        tall = w > p.position_cap + p.eps
-        if tall.any():
-            spare = (w[tall] - p.position_cap).sum()
-            w[tall] = p.position_cap
-            pour(w, ~tall, spare, p.position_cap)
-        totals = np.bincount(group, weights=w, minlength=len(names))
-        heavy = np.flatnonzero(totals > p.sector_cap + p.eps)
-        open_sector = totals < p.sector_cap - p.eps
-        for s in heavy:
-            inside = group == s
-            w[inside] *= p.sector_cap / totals[s]
-            pour(w, ~inside & open_sector[group], totals[s] - p.sector_cap, p.position_cap)
-        if not tall.any() and not heavy.size:
-            break
-    return w
-
-
-def pour(w, into, amount, cap) -> None:
-    """Raise the selected weights to min(cap, level * weight) so that they absorb the amount."""
-    import numpy as np
-
-    if amount <= 0 or not into.any():
-        return
-    own = w[into]
-    if own.sum() <= 0:
-        w[into] = np.minimum(cap, own + amount / own.size)
-        return
-    target = own.sum() + amount
-    high_first = np.sort(own)[::-1]
-    tails = np.cumsum(high_first[::-1])[::-1]
-    levels = (target - cap * np.arange(own.size)) / tails
-    fits = np.flatnonzero(levels * high_first <= cap)
-    level = levels[fits[0]] if fits.size else np.inf
-    w[into] = np.maximum(own, np.minimum(cap, level * own))
+        tall = F.col("weight") > p.position_cap + p.eps
+        rows = state.select(
+            *state.columns[:4], F.when(tall, p.position_cap).otherwise(F.col("weight")).alias("base"), (~tall).alias("into"),
+            F.when(tall, F.col("weight") - p.position_cap).otherwise(0.0).alias("extra"))
+        rows = land(_poured(rows, p.position_cap).select(
+            *state.columns, (F.col("amount") > 0).alias("moved"), name.alias("name")), "position-caps")
+        totals = rows.groupBy("portfolio_id", "name").agg(F.sum("weight").alias("total"))
+        heavy, share = F.col("total") > p.sector_cap + p.eps, ratio(F.lit(p.sector_cap), "total")
+        rows = rows.join(totals, ["portfolio_id", "name"]).select(
+            *state.columns[:4], "moved", F.when(heavy, F.col("weight") * share).otherwise(F.col("weight")).alias("base"),
+            (F.col("total") < p.sector_cap - p.eps).alias("into"),
+            F.when(heavy, F.col("weight") * (1 - share)).otherwise(0.0).alias("extra"))
+        rows = land(_poured(land(rows, "sector-totals"), p.position_cap).select(
+            *state.columns, (F.col("moved") | (F.col("amount") > 0)).alias("moved")), "sector-caps")
+        settled = rows.where("not moved").select(state.columns)
+        done = settled if done is None else done.unionByName(settled)
+        state = rows.where("moved").select(state.columns)
+        if state.isEmpty():
+            return done
+    return state if done is None else done.unionByName(state)
 
 
 def sector_totals(weights: DataFrame, keys=("portfolio_id",),

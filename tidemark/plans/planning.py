@@ -42,7 +42,11 @@ def p2_capped_distribution(t):
 
 @query()
 def p3_capped_weights(t):
-    return pf.capped_weights(t.portfolio_picks)
+    """The industries, and forty portfolios across them."""
+    mixed = t.companies.select(
+        F.format_string("mixed %s", F.col("universe_pos") % 40).alias("portfolio_id"), "ticker", "sector", "beta",
+        F.col("universe_pos").cast("int").alias("pick_rank"))
+    return pf.capped_weights(t.portfolio_picks.select(mixed.columns).unionByName(mixed))
 
 
 @query()
