@@ -31,6 +31,41 @@ FROM (SELECT h.portfolio_id, sum(weight) AS total_weight, sum(CASE WHEN p THEN w
   FROM (SELECT *, ticker IN (SELECT ticker FROM returns) AS p FROM holdings) AS h
   LEFT JOIN (SELECT portfolio_id, count(DISTINCT date) AS n FROM held GROUP BY 1) AS o ON o.portfolio_id = h.portfolio_id GROUP BY 1)
 """)
+
+
+def mixed(table: str, col: str) -> str:
+    """The table with the column's 32-bit numbers mixed, in five steps."""
+    low = "4294967295::UBIGINT"
+    for step in (f"xor({col}, {col} >> 16)", f"({col} * 2146121005::UBIGINT) & {low}", f"xor({col}, {col} >> 15)",
+                 f"({col} * 2221713035::UBIGINT) & {low}", f"xor({col}, {col} >> 16)"):
+        table = f"(SELECT * REPLACE ({step} AS {col}) FROM {table})"
+    return table
+
+
+_SEED = mixed("(SELECT 7::UBIGINT AS s)", "s")
+_PATHS = mixed(f"(SELECT i AS path, (i + s) & 4294967295::UBIGINT AS a FROM (SELECT i::UBIGINT AS i FROM range(10000) AS r(i)), {_SEED})", "a")
+_DAYS = mixed("(SELECT i, i::UBIGINT AS b FROM range(504) AS r(i))", "b")
+_PAIRS = f"(SELECT path, x.i // 2 AS day, xor(a, x.b) AS h, xor(a, y.b) AS g FROM {_PATHS}, {_DAYS} AS x JOIN {_DAYS} AS y ON y.i = x.i + 1 WHERE x.i % 2 = 0)"
+cte("draws", f"""
+SELECT path, day, sqrt(-2e0 * ln((h + 0.5e0) / 4294967296e0)) * cos(2e0 * pi() * ((g + 0.5e0) / 4294967296e0)) AS z
+FROM {mixed(mixed(_PAIRS, "h"), "g")}
+""")
+cte("columns", """
+SELECT h.portfolio_id, h.ticker, h.weight * (total_weight / priced_weight) AS weight, r - avg(r) OVER one AS off, avg(r) OVER one AS mean,
+  dense_rank() OVER (PARTITION BY h.portfolio_id ORDER BY date) - 1 AS day, count(*) OVER one AS days
+FROM held AS h JOIN policy AS p ON p.portfolio_id = h.portfolio_id WHERE message IS NULL WINDOW one AS (PARTITION BY h.portfolio_id, h.ticker)
+""")
+cte("paths", """
+SELECT portfolio_id, path, sum(weight * (exp(spread) - 1)) AS r FROM (
+  SELECT portfolio_id, ticker, path, any_value(weight) AS weight, sum(z * off) * sqrt(21e0 / (any_value(days) - 1)) + 21 * any_value(mean) AS spread
+  FROM columns AS c JOIN draws AS d ON d.day = c.day GROUP BY 1, 2, 3) GROUP BY 1, 2
+""")
+cte("simulated", """
+SELECT p.portfolio_id, CASE WHEN message IS NULL THEN 'ok' ELSE 'insufficient_data' END AS status, message, var_95, cvar_95
+FROM policy AS p LEFT JOIN (
+  SELECT portfolio_id, max(v) AS var_95, avg(r) FILTER (r <= v) AS cvar_95
+  FROM paths JOIN (SELECT portfolio_id, quantile_cont(r, 0.05) AS v FROM paths GROUP BY 1) USING (portfolio_id) GROUP BY 1) AS t USING (portfolio_id)
+""")
 STRESSED = "(98.5e0 * (1 - 0.07e0))"
 SPOT, K, T, R, V = "98.5e0", "strike_price", "years", "0.04e0", "0.15e0"
 D1 = f"((ln({SPOT} / {K}) + ({R} + 0.5e0 * {V} * {V}) * {T}) / ({V} * sqrt({T})))"
@@ -55,6 +90,10 @@ WHERE message IS NULL AND h.ticker IN (SELECT ticker FROM returns)""", r6=["weig
     "v2_status_ladder": build("""
 SELECT portfolio_id, total_weight, priced_weight, priced_names, priced_weight / nullif(total_weight, 0) AS coverage, observations,
   CASE WHEN message IS NULL THEN 'ok' ELSE 'insufficient_data' END AS status, message FROM policy""", r6=["total_weight", "priced_weight", "coverage"]),
+    "v4_single_asset_simulation": build("""
+SELECT s.* FROM simulated AS s SEMI JOIN (SELECT portfolio_id FROM holdings WHERE ticker = 'IDX') AS one USING (portfolio_id)""", r6=["var_95", "cvar_95"]),
+    "v5_simulated_paths": build("SELECT portfolio_id, path::BIGINT AS path, r FROM paths", r6=["r"]),
+    "v6_portfolio_var": build("SELECT * FROM simulated", r6=["var_95", "cvar_95"]),
     "v7_put_pricing": build(f"""
 SELECT symbol, {D1} AS d1, {D1} - {V} * sqrt({T}) AS d2, {put_price(SPOT, K, T, R, V)} AS put_price, {normal_cdf_sql(D1)} - 1 AS put_delta FROM {CHAIN}""",
         r6=["d1", "d2", "put_price", "put_delta"]),

@@ -240,6 +240,16 @@ def test_simulated_var_matches_the_direct_sampler(spark):
     assert math.isclose(got.var_95, sliced.var_95, rel_tol=1e-9)
 
 
+def test_draws_are_normal_and_numbered():
+    z = risk.draws(7, 0, 4000, 250)
+    assert np.array_equal(z[1000:1500, :100], risk.draws(7, 1000, 500, 100))
+    assert not np.allclose(z[:10], risk.draws(8, 0, 10, 250))
+    assert abs(z.mean()) < 0.004 and abs(z.std() - 1) < 0.004
+    assert abs(np.quantile(z, 0.05) + 1.6449) < 0.01 and abs((z ** 4).mean() - 3) < 0.05
+    for lag in (1, 2, 7):       # neither days nor paths follow each other
+        assert abs((z[:, lag:] * z[:, :-lag]).mean()) < 0.005 and abs((z[lag:] * z[:-lag]).mean()) < 0.005
+
+
 def test_weight_policy_and_status(spark):
     prices, _ = series(spark, 30)
     flat = spark.createDataFrame(

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.functions.numeric import first_reason, is_finite, ratio
 from tidemark.operators.quantiles import grouped_quantile
 from tidemark.params import RiskParams
+from tidemark.session import land
+
+# The two multipliers of the 32-bit mixing function.
+MIX = (0x7FEB352D, 0x846CA68B)
 
 
 def log_returns(prices: DataFrame, as_of=None, p: RiskParams = RiskParams()) -> DataFrame:
@@ -154,12 +158,35 @@ def rescaled_weights(holdings: DataFrame, policy: DataFrame, returns: DataFrame)
     )
 
 
+def mixed(x):
+    """Well-mixed 32-bit numbers from an array of 32-bit numbers."""
+    import numpy as np
+
+    x = x ^ (x >> np.uint32(16))
+    x = x * np.uint32(MIX[0])
+    x = x ^ (x >> np.uint32(15))
+    x = x * np.uint32(MIX[1])
+    return x ^ (x >> np.uint32(16))
+
+
+def draws(seed: int, first: int, paths: int, days: int):
+    """Standard normals by path and day. Each depends on the seed, its path and its day alone, so it
+    is the same in whatever task, block or engine it is drawn: Box-Muller over two hashes."""
+    import numpy as np
+
+    numbers = np.arange(first, first + paths, dtype=np.int64) + int(mixed(np.array([seed], np.uint32))[0])
+    path = mixed(numbers.astype(np.uint32))[:, None]
+    day = mixed(np.arange(2 * days, dtype=np.uint32))[None, :]
+    u, v = ((mixed(path ^ day[:, i::2]) + 0.5) / 2.0 ** 32 for i in (0, 1))
+    return np.sqrt(-2.0 * np.log(u)) * np.cos(2.0 * np.pi * v)
+
+
 def simulate_paths(weights: DataFrame, aligned: DataFrame, p: RiskParams = RiskParams()) -> DataFrame:
     """Simulated horizon return of every (portfolio, path).
 
     With X the centred T x N return matrix, z'X * sqrt(h/(T-1)) + h*mean has exactly the
     distribution of the sum of h correlated normal days. A path therefore needs only T
-    shared normals, drawn from (seed, block), and each asset only its own column: no
+    shared normals, numbered by path and day, and each asset only its own column, sent once: no
     covariance matrix, no factorisation, and a portfolio of any width spreads over tasks.
     """
     import numpy as np
@@ -169,7 +196,6 @@ def simulate_paths(weights: DataFrame, aligned: DataFrame, p: RiskParams = RiskP
         F.transform(F.array_sort(F.collect_list(F.struct("date", "r"))), lambda x: x["r"])
         .alias("series")
     )
-    n_blocks = -(-p.simulations // p.block)
     # A very wide portfolio is cut into slices of about p.slice names; their partial sums are
     # added by the aggregation below.
     slices = F.greatest(F.ceil(F.col("names") / p.slice), F.lit(1))
@@ -177,67 +203,47 @@ def simulate_paths(weights: DataFrame, aligned: DataFrame, p: RiskParams = RiskP
     work = (
         weights.join(columns, ["portfolio_id", "ticker"]).join(width, "portfolio_id")
         .withColumn("part", F.pmod(F.hash("ticker"), slices))
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-        .repartition("portfolio_id", "block", "part")
+        .repartition("portfolio_id", "part")
     )
+    sample = draws
 
     def run(batches):
         for pdf in batches:
-            for (portfolio, block), rows in pdf.groupby(["portfolio_id", "block"], sort=False):
-                x = np.stack(rows["series"].to_numpy())
-                days = x.shape[1]
-                size = min(p.block, p.simulations - int(block) * p.block)
-                z = np.random.default_rng([p.seed, int(block)]).standard_normal((size, days))
-                mean = x.mean(axis=1)
-                spread = z @ (x - mean[:, None]).T * np.sqrt(p.horizon_days / (days - 1))
-                gain = np.expm1(spread + p.horizon_days * mean) @ rows["weight"].to_numpy()
-                yield pd.DataFrame({
-                    "portfolio_id": portfolio,
-                    "path": int(block) * p.block + np.arange(size, dtype=np.int64),
-                    "r": gain,
-                })
-
-    parts = work.select("portfolio_id", "block", "weight", "series").mapInPandas(
+            groups = [(portfolio, np.stack(rows["series"].to_numpy()), rows["weight"].to_numpy())
+                      for portfolio, rows in pdf.groupby("portfolio_id", sort=False)]
+            for first in range(0, p.simulations if groups else 0, p.block):
+                size = min(p.block, p.simulations - first)
+                z = sample(p.seed, first, size, max(x.shape[1] for _, x, _ in groups))
+                for portfolio, x, weight in groups:
+                    days, mean = x.shape[1], x.mean(axis=1)
+                    spread = z[:, :days] @ (x - mean[:, None]).T * np.sqrt(p.horizon_days / (days - 1))
+                    gain = np.expm1(spread + p.horizon_days * mean) @ weight
+                    yield pd.DataFrame({"portfolio_id": portfolio, "path": first + np.arange(size, dtype=np.int64),
+                                        "r": gain})
+
+    parts = work.select("portfolio_id", "weight", "series").mapInPandas(
         run, "portfolio_id string, path bigint, r double"
     )
     return parts.groupBy("portfolio_id", "path").agg(F.sum("r").alias("r"))
 
 
-def path_summary(paths: DataFrame, tail: float = 0.05) -> DataFrame:
-    """VaR and CVaR per portfolio in one pass over its paths, whose number is a parameter."""
-    sorted_r = paths.groupBy("portfolio_id").agg(
-        F.array_sort(F.collect_list("r")).alias("s"),
-        F.bool_and(is_finite("r")).alias("finite"), F.count(F.lit(1)).alias("paths"),
-    )
-    pos = (F.size("s") - 1) * F.lit(tail)
-    lo = F.element_at("s", (F.floor(pos) + 1).cast("int"))
-    hi = F.element_at("s", (F.ceil(pos) + 1).cast("int"))
-    var = sorted_r.withColumn("var_95", lo + (hi - lo) * (pos - F.floor(pos)))
-    below = F.filter("s", lambda v: v <= F.col("var_95"))
-    mean: Column = F.aggregate(below, F.lit(0.0), lambda a, v: a + v) / F.size(below)
-    return var.withColumn("cvar_95", mean).select(
-        "portfolio_id", "paths", "finite", "var_95", "cvar_95"
-    )
-
-
 def portfolio_var(holdings: DataFrame, prices: DataFrame, as_of=None,
                   p: RiskParams = RiskParams()) -> DataFrame:
     """Status, VaR and CVaR of every portfolio, refusing unrepresentative ones."""
-    from tidemark.session import land
-
     named = prices.join(holdings.select("ticker").distinct(), "ticker", "left_semi")
     returns = land(log_returns(named, as_of, p), "returns")
-    aligned = held_returns(holdings, returns)
+    aligned = land(held_returns(holdings, returns), "held-returns")
     policy = land(weight_policy(holdings, returns, aligned, p), "policy")
     weights = rescaled_weights(holdings, policy, returns)
     flat = aligned.groupBy("portfolio_id", "ticker").agg(F.stddev_samp("r").alias("sd")).groupBy(
         "portfolio_id").agg(F.max("sd").alias("widest"), F.count(F.lit(1)).alias("names"))
-    summary = path_summary(simulate_paths(weights, aligned, p), p.tail)
+    paths = land(simulate_paths(weights, aligned, p), "paths")
+    summary = tail_risk(paths, ("portfolio_id",), "r", p.tail).withColumnRenamed("status", "drawn")
     j = policy.join(summary, "portfolio_id", "left").join(flat, "portfolio_id", "left")
     still = (F.col("names") == 1) & (F.col("widest") <= 0)
     status = (
         F.when(F.col("status") != "ok", F.col("status")).when(still, "insufficient_data")
-        .when(~F.coalesce("finite", F.lit(False)), "error").otherwise("ok")
+        .when(F.coalesce(F.col("drawn") == "ok", F.lit(False)), "ok").otherwise("error")
     )
     ok = F.col("outcome") == "ok"
     return j.withColumn("outcome", status).select(

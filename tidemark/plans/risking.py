@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark import fixtures as fx
 from tidemark.operators import hedging, risk
-from tidemark.params import HedgeParams, RiskParams
+from tidemark.params import HedgeParams
 from tidemark.plans.registry import query
 from tidemark.session import land
 
@@ -88,7 +88,7 @@ def v5_simulated_paths(t):
     held = risk.held_returns(t.holdings, returns)
     policy = risk.weight_policy(t.holdings, returns, held)
     w = risk.rescaled_weights(t.holdings, policy, returns)
-    return risk.simulate_paths(w, held, RiskParams(simulations=2000))
+    return risk.simulate_paths(w, held)
 
 
 @query()
