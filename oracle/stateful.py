@@ -22,3 +22,5 @@ SELECT epoch_us(ts) AS ts_us, symbol AS ticker, upper(side) AS action, filled_qt
 UNION ALL SELECT epoch_us(ts), 'PORTFOLIO', 'RISK_SNAPSHOT', 0e0, 0e0, NULL, 0.01e0 * (1 + user_id % 5) FROM events WHERE event_type = 'signup'""",
         r6=["quantity", "execution_price", "var_95"]),
 }
+# streams give what their batch twins give
+SQL |= {f"{name}_stream": SQL[name] for name in ("t1_attempt_limit", "t2_latest_fresh", "t3_order_resolution")}

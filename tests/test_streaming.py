@@ -1,12 +1,12 @@
 """Attempt limits in batch and stream form, and the streaming flows."""
 
 import random
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import functions as F
 
 from tests.conftest import rows
-from tidemark.operators import orders
+from tidemark.operators import latest, orders
 from tidemark.streaming import attempts, flows
 
 START = datetime(2024, 1, 1)
@@ -124,22 +124,57 @@ def test_order_resolution_takes_the_first_terminal_state(spark):
     assert (got["3"].status, got["3"].filled_qty, got["3"].polls) == ("filled", 3.0, 2)
 
 
-def test_streaming_resolution_and_freshness(spark, tmp_path):
-    path = str(tmp_path / "orders")
-    schema = "order_id string, status string, filled_qty double, ts timestamp_ntz, event_id int"
-    cells = [("1", "new", 0.0, START, 1), ("1", "filled", 2.0, START + timedelta(seconds=2), 2),
-             ("2", "new", 0.0, START, 3), ("9", "new", 0.0, START + timedelta(hours=1), 4)]
-    spark.createDataFrame(cells, schema).coalesce(1).write.parquet(path)
-    def run(df, name):
-        q = (df.writeStream.format("memory").queryName(name).outputMode("append")
-             .option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start())
-        q.awaitTermination()
-        return spark.table(name).collect()
-
-    got = {r.order_id: (r.status, r.resolved)
-           for r in run(flows.resolutions_stream(spark.readStream.schema(schema).parquet(path)), "res")}
-    assert got["1"] == ("filled", True) and got["2"] == ("new", False)
-    stream = spark.readStream.schema(schema).parquet(path).withColumn("seen", F.col("ts").cast("timestamp"))
-    fresh = {r.order_id: r.status for r in run(
-        flows.latest_stream(stream, ["order_id"], "status", "seen", "15 minutes"), "fresh")}
-    assert fresh == {"1": "filled", "2": "new"}
+def run_files(spark, tmp_path, parts, schema, transform, mode):
+    """Rows that a stream writes when the parts arrive as files, one a micro-batch."""
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for i, cells in enumerate(parts):
+        spark.createDataFrame(cells, schema).coalesce(1).write.mode("append").parquet(path)
+
+    def write(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+    stream = transform(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path))
+    stream.writeStream.foreachBatch(write).outputMode(mode).option(
+        "checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out).select(stream.columns)
+
+
+def test_orders_resolved_on_a_stream_equal_batch(spark, tmp_path):
+    rng, at = random.Random(6), lambda s: START + timedelta(seconds=s)
+    schema = "order_id string, symbol string, side string, status string, filled_qty double, filled_avg_price double, " \
+             "ts timestamp_ntz, event_id int"
+    cells = []
+    for o in range(40):
+        begin = rng.uniform(0, 400)
+        for _ in range(rng.randint(1, 9)):
+            status = rng.choice(["new", "accepted", "partially_filled", "filled", "canceled", "expired"])
+            cells.append((f"o{o}", "S", "buy", status, rng.uniform(0, 9), 1.0, at(begin + rng.choice([0, rng.uniform(0, 60)])), len(cells)))
+    cells.append((None, "S", "buy", "filled", 1.0, 1.0, at(5), 9999))
+    tick = [("tick", "S", "buy", "new", 0.0, 1.0, at(100_000), 10_000)]
+    cells.sort(key=lambda c: c[6])
+    parts = [cells[i:i + 60] for i in range(0, len(cells), 60)] + [tick]
+    got = run_files(spark, tmp_path, parts, schema, lambda s: flows.resolutions_stream(s, 10, 4.0), "append")
+    want = orders.resolve_orders(spark.createDataFrame(cells, schema).where("order_id is not null"), 10, 4.0)
+    def shape(df):
+        return sorted((r.order_id, r.status, r.filled_qty, r.resolved, r.polls) for r in df.collect())
+
+    assert shape(got.where("order_id <> 'tick'")) == shape(want)
+    assert {r.resolved for r in want.collect()} == {True, False}
+
+
+def test_values_shown_on_a_stream_equal_batch(spark, tmp_path):
+    rng = random.Random(7)
+    schema = "user string, price double, ts timestamp_ntz"
+    cells = [(f"u{rng.randrange(12)}", rng.choice([None, rng.uniform(1, 9)]), START + timedelta(seconds=rng.randrange(5000)))
+             for _ in range(300)] + [("old", 1.0, START), (None, 2.0, START)]
+    cells.sort(key=lambda c: c[2])
+    parts = [cells[i:i + 70] for i in range(0, len(cells), 70)]
+    changes = run_files(spark, tmp_path, parts, schema, lambda s: flows.latest_stream(s, "user", "price", "ts", 300), "update")
+    changes = changes.cache()
+    begin = int(START.replace(tzinfo=timezone.utc).timestamp())
+    now = begin + max((c[2] - START).seconds for c in cells)
+    got = {(r.user, r.at_us // 1_000_000) for r in flows.shown_at(changes, "user", "price", now * 1_000_000, 300).collect()}
+    df = spark.createDataFrame(cells, schema).where("user is not null").withColumn("at", F.unix_seconds(F.col("ts").cast("timestamp")))
+    want = latest.latest_fresh(df, ["user"], "price", "at", F.lit(now), 300).collect()
+    assert got == {(r.user, r["at"]) for r in want} and 0 < len(got) < 12
+    assert changes.where("not shown and user = 'old'").count() == 1          # forgotten when its time had passed
