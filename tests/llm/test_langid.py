@@ -49,9 +49,8 @@ def model():
 def test_code_switching(model):
     reader = langid.Reader(model)
     words = "the cat sat on the mat und der hund ist nicht mit der katze".split()
-    ids = reader.ids(words)
-    posterior, _ = langid.Chains(np.array([len(words)]), ids, 2).run(
-        np.array(reader.scores), model.moves, model.begin)
+    ids, scores = reader.ids(words)
+    posterior, _ = langid.Chains(np.array([len(words)]), ids, 2).run(scores, model.moves, model.begin)
     assert [model.labels[k] for k in posterior.argmax(1)] == ["en"] * 6 + ["de"] * 8
     assert model.moves[0, 0] > model.moves[0, 1]
 
@@ -66,3 +65,13 @@ def test_odd_rows(spark, model):
     none = langid.train(df.selectExpr("text", "cast(null as string) lang"))
     assert {r.language.lang_pred for r in langid.predict(df, none).collect()} == {"und"}
     assert langid.predict(df.limit(0), model).count() == 0
+
+
+def test_long_texts_and_long_words(model, monkeypatch):
+    texts = [langid.letters(t) for t in ("der hund " * 3000, "", "the cat " * 10, "katze" * 500, "und")]
+    assert max(map(len, texts[3])) <= 40 and len(texts[3]) == 63
+    want = langid.Reader(model).predict(texts)
+    monkeypatch.setattr(langid, "CHUNK_WORDS", 1000)        # a text over several chunks
+    got = langid.Reader(model).predict(texts)
+    assert [x for x, _ in got] == [x for x, _ in want] == ["de", "und", "en", "de", "de"]
+    assert np.allclose([p for _, p in got], [p for _, p in want], atol=1e-3)

@@ -17,18 +17,19 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.session import land
 
-WORD = re.compile(r"[^\W\d_]+")
+WORD = re.compile(r"[^\W\d_]{1,40}")      # longer runs of letters are several words
 UNKNOWN = "und"
 DOCS_PER_LANGUAGE = 500     # most labelled documents used of each language
-SAMPLE_CHARS = 20_000       # longer documents are not used for fitting
+SAMPLE_CHARS = 20_000       # of a longer document, a stretch of so many characters is used for fitting
 CHAINS, CHAIN_WORDS = 3_000, 60
 BITS = 16
-CACHED_WORDS, CHUNK_WORDS = 200_000, 200_000
+CACHED_WORDS, CHUNK_WORDS = 400_000, 400_000
+STRETCH_WORDS = 200         # of a document in one chain
 
 
 def features(word: str) -> list[int]:
     """Hashed affixes, letter bigrams and trigrams, and lexicon entry of a lower-case word."""
-    w = f"^{word[:40]}$"
+    w = f"^{word}$"
     names = {w, *(w[i:i + 2] for i in range(len(w) - 1)), *(w[i:i + 3] for i in range(len(w) - 2)),
              "<" + w[:4], "<" + w[:5], ">" + w[-4:], ">" + w[-5:]}
     return [zlib.crc32(x.encode()) & (1 << BITS) - 1 for x in names]
@@ -139,49 +140,77 @@ class Reader:
     """A model with the word scores a Python worker has met."""
 
     def __init__(self, model: Model):
-        self.model, self.index, self.scores = model, {}, []
+        self.model, self.index = model, {}
+        self.scores = np.empty((CACHED_WORDS, len(model.labels)), np.float32)
 
     def predict(self, texts: list[list[str]]) -> list[tuple[str, float]]:
-        """Language and its share of letters for each list of words."""
+        """Language and its share of letters for each list of words.
+
+        Documents are read in stretches of STRETCH_WORDS, each a chain, so that many chains advance
+        together also where one document is long.
+        """
         labels, out = self.model.labels, [(UNKNOWN, 0.0)] * len(texts)
-        some = [i for i in sorted(range(len(texts)), key=lambda i: -len(texts[i])) if texts[i]]
         at = 0
-        while at < len(some) and labels:
-            upto, total = at, 0
-            while upto < len(some) and (total == 0 or total + len(texts[some[upto]]) <= CHUNK_WORDS):
-                total += len(texts[some[upto]])
+        while at < len(texts) and labels:
+            upto, part = at, []
+            while upto < len(texts) and (not part or len(part) + len(texts[upto]) <= CHUNK_WORDS):
+                part += texts[upto]
                 upto += 1
-            part, at = some[at:upto], upto
-            ids = self.ids([w for i in part for w in texts[i]])
-            chains = Chains(np.array([len(texts[i]) for i in part]), ids, len(labels))
-            posterior, _ = chains.run(np.array(self.scores), self.model.moves, self.model.begin)
-            weight = np.array([len(w) for i in part for w in texts[i]], float)[:, None]
-            shares = np.add.reduceat(posterior * weight, chains.offsets) / np.add.reduceat(weight, chains.offsets)
+            sizes, begin = np.array([len(x) for x in texts[at:upto]]), at
+            at = upto
+            if not part:
+                continue
+            some = np.flatnonzero(sizes)
+            letters = np.fromiter(map(len, part), np.float64, len(part))
+            shares = np.zeros((len(some), len(labels)))
+            owner = np.repeat(np.arange(len(some)), sizes[some])
+            for first in range(0, len(part), CHUNK_WORDS):      # one text can be longer than a chunk
+                words, of = part[first:first + CHUNK_WORDS], owner[first:first + CHUNK_WORDS]
+                ids, scores = self.ids(words)
+                place = np.arange(len(words)) - np.searchsorted(of, of)
+                starts = np.flatnonzero(place % STRETCH_WORDS == 0)
+                chains = Chains(np.diff(np.append(starts, len(words))), ids, len(labels))
+                posterior, _ = chains.run(scores, self.model.moves, self.model.begin)
+                weighted = posterior * letters[first:first + CHUNK_WORDS, None]
+                for k in range(len(labels)):
+                    shares[:, k] += np.bincount(of, weighted[:, k], len(some))
+            shares /= np.bincount(owner, letters, len(some))[:, None]
             best = shares.argmax(1)
-            for i, k, p in zip(part, best.tolist(), shares[np.arange(len(part)), best].tolist(), strict=True):
-                out[i] = labels[k], min(1.0, p)
+            for i, k, p in zip(some.tolist(), best.tolist(), shares[np.arange(len(some)), best].tolist(), strict=True):
+                out[begin + i] = labels[k], min(1.0, p)
         return out
 
-    def ids(self, words: list[str]) -> np.ndarray:
-        new = set(words) - self.index.keys()
+    def ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the words in a table of word scores, and the table."""
+        new = list(set(words) - self.index.keys())
         if len(self.index) + len(new) > CACHED_WORDS:
-            self.index, self.scores, new = {}, [], set(words)
-        for w in new:
-            self.index[w] = len(self.scores)
-            self.scores.append(self.model.weights[features(w)].sum(0))
-        return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+            self.index, new = {}, list(set(words))
+        if new:
+            lists = [features(w) for w in new]
+            begin = np.cumsum([0] + [len(x) for x in lists[:-1]])
+            first = len(self.index)
+            for at in range(0, len(new), 20_000):
+                some = np.concatenate(lists[at:at + 20_000])
+                self.scores[first + at:first + min(at + 20_000, len(new))] = np.add.reduceat(
+                    self.model.weights[some], begin[at:at + 20_000] - begin[at])
+            self.index |= zip(new, range(first, first + len(new)))
+        return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words)), self.scores[:len(self.index)]
 
 
 def sample(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
-    """At most DOCS_PER_LANGUAGE labelled texts of each language, those with the smallest hashes.
+    """At most DOCS_PER_LANGUAGE labelled texts of each language, those with the smallest hashes; of a
+    text over SAMPLE_CHARS, a stretch that its hash chooses. The fit draws CHAINS chains from them, of
+    CHAIN_WORDS words at most.
 
     A language's count sets the share of hashes that can matter, so that what is ordered stays small
     however many documents it has.
     """
     order = Window.partitionBy("lang").orderBy("hash", "text")
     docs = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    docs = docs.where(F.col("lang").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
+    docs = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     docs = docs.withColumn("hash", F.pmod(F.xxhash64("text"), F.lit(1 << 40)))
+    spare = F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1
+    docs = docs.withColumn("text", F.substr("text", (F.col("hash") % spare + 1).cast("int"), F.lit(SAMPLE_CHARS)))
     share = F.least(F.lit(1.0), 8 * DOCS_PER_LANGUAGE / F.count("*"))
     shares = land(docs.groupBy("lang").agg((share * (1 << 40)).cast("long").alias("below")), "shares")
     some = docs.join(shares, "lang").where("hash <= below")
@@ -203,7 +232,7 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", out_col: str =
     """Adds a struct of lang_pred and score; a column named out_col is replaced.
 
     Texts that are null or have no letter, and all texts if the model knows no language, get 'und'
-    and score 0.
+    and score 0. Runs of over 40 letters are read as several words.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)      # 2^16 features times the languages
     key = zlib.crc32(model.weights.tobytes())

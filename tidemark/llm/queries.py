@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import string
 
+import public_tokenizers
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.llm import (
@@ -12,7 +13,7 @@ from tidemark.llm import (
 )
 from tidemark.session import land
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -187,7 +188,7 @@ def substring_digests(docs: DataFrame, length: int = suffixes.LENGTH) -> DataFra
     return suffixes.dedup_substrings(docs, length).select(
         "doc_id", F.octet_length("text").cast("long").alias("n_bytes"),
         removed.cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
-        F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+        F.sha2(F.col("kept"), 256).alias("kept_sha256"), F.col("kept").cast("string").alias("kept_text"))
 
 
 @query
