@@ -48,7 +48,7 @@ def test_equals_counting(spark, monkeypatch, shard):
     rows += [(100, rows[3][1]), (101, None), (102, ""), (103, "a" * 3000), (104, word(10) * 9), (105, word(24) * 2)]
     rows += [(106, "repeated row " * 2 + word(30))] * 2 + [(None, rows[5][1])]
     df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, digest int, spans int")
-    got = sorted(map(tuple, queries.substring_digests(df, length).collect()), key=str)
+    got = sorted((tuple(r)[:5] for r in queries.substring_digests(df, length).collect()), key=str)
     assert got == slow(rows, length)
 
 
