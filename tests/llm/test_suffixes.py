@@ -54,7 +54,7 @@ def test_equals_counting(spark, monkeypatch, shard):
 
 def test_query(spark, data_dir):
     docs = [(r.doc_id, r.text) for r in queries.table(spark, data_dir, "documents").collect()]
-    got = sorted(map(tuple, queries.op4_suffix_dedup(spark, data_dir).collect()), key=str)
+    got = sorted((tuple(r)[:5] for r in queries.op4_suffix_dedup(spark, data_dir).collect()), key=str)
     assert got == slow(docs, 400)
     empty = queries.table(spark, data_dir, "documents").limit(0)
     assert queries.substring_digests(empty).count() == 0
