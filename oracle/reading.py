@@ -6,6 +6,7 @@ SQL = {
     "k2_paged_trades": build(f"""
 SELECT * FROM (SELECT event_id, ticker, action, quantity, count(*) OVER () AS total FROM {TRADES} ORDER BY ts DESC, event_id DESC LIMIT 75 OFFSET 50)""", r6=["quantity"]),
     "k2_page_fallback": build(f"SELECT event_id FROM {TRADES} ORDER BY ts DESC, event_id DESC LIMIT 50"),
+    "k2_page_after_cursor": build(f"SELECT event_id, ticker, action, quantity FROM {TRADES} ORDER BY ts DESC, event_id DESC LIMIT 75 OFFSET 150", r6=["quantity"]),
     "w16_latest_trade": build(f"""
 SELECT ticker, event_id, action, quantity, execution_price, conviction_score FROM (
   SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY ts DESC, event_id DESC) AS rn FROM {TRADES}) WHERE rn = 1""",

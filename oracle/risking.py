@@ -23,6 +23,12 @@ QUALIFY count(*) OVER (PARTITION BY h.portfolio_id, r.date) =
 cte("complete", """
 SELECT * FROM returns WHERE date IN (SELECT date FROM returns GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT ticker) FROM returns))
 """)
+cte("some_returns", """
+SELECT * FROM returns WHERE ticker IN (SELECT ticker FROM companies WHERE sector = (SELECT min(sector) FROM companies))
+""")
+cte("some_days", """
+SELECT * FROM some_returns WHERE date IN (SELECT date FROM some_returns GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT ticker) FROM some_returns))
+""")
 cte("policy", """
 SELECT *, CASE WHEN priced_names = 0 THEN 'no_history' WHEN observations < 2 THEN 'no_overlap' WHEN priced_weight <= 0 THEN 'no_priced_weight'
   WHEN priced_weight / total_weight < 0.5e0 THEN 'low_coverage' END AS message
@@ -80,6 +86,10 @@ SQL = {
     "a8_covariance": build("""
 SELECT a.ticker AS ticker_1, b.ticker AS ticker_2, covar_samp(a.r, b.r) * 1e4 AS covariance FROM complete AS a JOIN complete AS b ON b.date = a.date AND a.ticker <= b.ticker
 GROUP BY 1, 2""", r6=["covariance"]),
+    "a8_mean_vector": build("SELECT ticker, avg(r) * 1e2 AS mean FROM complete GROUP BY 1", r6=["mean"]),
+    "a8_sector_covariance": build("""
+SELECT a.ticker AS ticker_1, b.ticker AS ticker_2, covar_samp(a.r, b.r) * 1e4 AS covariance FROM some_days AS a
+JOIN some_days AS b ON b.date = a.date AND a.ticker <= b.ticker GROUP BY 1, 2""", r6=["covariance"]),
     "a9_tail_risk": build("""
 SELECT o_orderpriority AS portfolio_id, 'ok' AS status, max(v) AS var_95, avg(r) FILTER (r <= v) AS cvar_95
 FROM (SELECT o_orderpriority, (o_totalprice - 250000e0) / 1e6 AS r FROM orders) JOIN (

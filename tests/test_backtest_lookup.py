@@ -3,7 +3,7 @@
 import hashlib
 import hmac
 import math
-from datetime import date
+from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -272,3 +272,49 @@ def test_bias_needs_two_one_sided_differences(spark):
          ("one", 1.0, 1.0)], "metric string, produced double, expected double")
     got = rows(rc.directional_bias(df), "metric")
     assert [got[m].biased for m in ("up", "mixed", "one")] == [True, False, False]
+
+
+def test_pages_by_cursor_see_every_row_once(spark):
+    data = [(None if i % 9 == 0 else i // 4, i) for i in range(230)]
+    df = spark.createDataFrame(data, "ts int, id int")
+    keys, cursor, seen = ("ts", "id"), None, []
+    while True:
+        part = lookup.page_after(df, keys, cursor, 40)
+        seen += [tuple(r) for r in part.collect()]
+        cursor = lookup.cursor_of(part, keys)
+        if cursor is None:
+            break
+    assert seen == sorted(data, key=lambda r: (r[0] is None, -(r[0] or 0), -r[1]))
+    newer = df.unionByName(spark.createDataFrame([(1000, 1000)], df.schema))
+    assert lookup.page_after(newer, keys, seen[39], 40).collect()[0].id == seen[40][1]
+    with pytest.raises(ValueError):
+        lookup.page_after(df, keys, (1,))
+
+
+def test_cursor_predicate_reaches_the_scan(spark, tmp_path):
+    spark.range(100).select(F.col("id").alias("ts"), "id").write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    plan = lookup.page_after(table, ("ts", "id"), (50, 50))._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(ts,50)" in plan and "TakeOrderedAndProject" in plan
+
+
+def test_half_written_generations_are_invisible(spark, tmp_path):
+    schema = "generated_at timestamp_ntz, sector string, median double"
+    path = str(tmp_path / "medians")
+
+    def rows_of(day, *sectors):
+        return spark.createDataFrame([(datetime(2024, 1, day), s, 1.0) for s in sectors], schema)
+
+    def newest():
+        got = sinks.newest_snapshot(spark, path, rows_of(1).schema).collect()
+        return [(r.generated_at.day, r.sector) for r in sorted(got, key=lambda r: r.sector)]
+
+    assert newest() == []
+    sinks.publish_snapshot(rows_of(1, "a", "b"), path)
+    assert newest() == [(1, "a"), (1, "b")]
+    # a publisher that died: data files of a newer generation, no marker
+    rows_of(2, "a").write.parquet(f"{path}/data/generation=dead")
+    assert newest() == [(1, "a"), (1, "b")]
+    assert sinks.publish_snapshot(rows_of(2), path) is None and newest() == [(1, "a"), (1, "b")]
+    sinks.publish_snapshot(rows_of(2, "a", "c"), path)
+    assert newest() == [(2, "a"), (2, "c")]

@@ -211,8 +211,8 @@ def series(spark, days=300, seed=4):
 def test_covariance_blocks_do_not_change_the_matrix(spark):
     prices, _ = series(spark)
     r = risk.complete_dates(risk.log_returns(prices))
-    one = rows(risk.covariance(r, 1), "ticker_1", "ticker_2")
-    many = rows(risk.covariance(r, 5), "ticker_1", "ticker_2")
+    one = rows(risk.covariance(r), "ticker_1", "ticker_2")
+    many = rows(risk.covariance(r, block_names=1, block_dates=20), "ticker_1", "ticker_2")
     assert set(one) == set(many) and len(one) == 6
     wide = r.groupBy("date").pivot("ticker").agg(F.first("r")).toPandas()[["A", "B", "C"]].cov()
     for (a, b), v in many.items():
@@ -220,6 +220,20 @@ def test_covariance_blocks_do_not_change_the_matrix(spark):
         assert math.isclose(v.covariance, one[(a, b)].covariance, rel_tol=1e-9)
 
 
+def test_covariance_of_some_names_uses_the_dates_that_these_share(spark):
+    day = [date(2023, 1, d) for d in range(1, 6)]
+    cells = [(n, d, v * k) for n, k in (("A", 1.0), ("B", -2.0)) for d, v in zip(day, (1.0, 2.0, 4.0, 8.0, 16.0))]
+    r = spark.createDataFrame(cells + [("C", day[0], 1.0)], "ticker string, date date, r double")
+    some = spark.createDataFrame([("A",), ("B",), ("unknown",)], "ticker string")
+    got = rows(risk.covariance(r, some, block_names=1, block_dates=2), "ticker_1", "ticker_2")
+    assert got.keys() == {("A", "A"), ("A", "B"), ("B", "B")}
+    assert math.isclose(got["A", "A"].covariance, 37.2) and math.isclose(got["A", "B"].covariance, -74.4)
+    alone = risk.covariance(r, block_names=2).collect()
+    assert len(alone) == 6 and all(row.covariance is None for row in alone)
+    assert rows(risk.mean_vector(r), "ticker")["B"].mean == -2.0
+    assert risk.covariance(r.limit(0)).collect() == []
+
+
 def test_simulated_var_matches_the_direct_sampler(spark):
     prices, _ = series(spark)
     h = spark.createDataFrame([("P", "A", 0.5), ("P", "B", 0.3), ("P", "C", 0.2)], schemas.HOLDINGS)

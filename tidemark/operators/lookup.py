@@ -98,21 +98,57 @@ def to_document(medians: DataFrame, totals: DataFrame) -> DataFrame:
     return totals.join(maps, "as_of").select("as_of", F.to_json(body).alias("doc"))
 
 
+def _whole(v, minimum: int):
+    """A whole number from a request value, a number or its text; None if it is none."""
+    if isinstance(v, str) and "_" not in v:
+        try:
+            v = float(v)
+        except ValueError:
+            return None
+    ok = isinstance(v, (int, float)) and not isinstance(v, bool) and math.isfinite(v) \
+        and v == int(v) and v >= minimum
+    return int(v) if ok else None
+
+
+def _page_size(limit, default: int, cap: int) -> int:
+    size = _whole(limit, 1)
+    return min(size, cap) if size else default
+
+
 def page(df: DataFrame, limit=None, offset=None, default: int = 50, cap: int = 200):
-    """(limit, offset) from request values, numbers or their text; anything invalid falls back."""
-    def whole(v, minimum):
-        if isinstance(v, str) and "_" not in v:
-            try:
-                v = float(v)
-            except ValueError:
-                return None
-        ok = isinstance(v, (int, float)) and not isinstance(v, bool) and math.isfinite(v) \
-            and v == int(v) and v >= minimum
-        return int(v) if ok else None
-
-    size, start = whole(limit, 1), whole(offset, 0)
-    size = min(size, cap) if size else default
-    return df.offset(start or 0).limit(size)
+    """(limit, offset) from request values, numbers or their text; anything invalid falls back.
+
+    An offset is counted off row by row; page_after serves deep pages at the cost of the first.
+    """
+    return df.offset(_whole(offset, 0) or 0).limit(_page_size(limit, default, cap))
+
+
+def page_after(df: DataFrame, keys, cursor=None, limit=None, default: int = 50, cap: int = 200):
+    """The page behind a cursor, by keys from largest to smallest and nulls last; without a cursor
+    the first. The keys together tell rows apart, so no row is repeated or left out between pages,
+    also while newer rows are added.
+
+    Rows up to the cursor are left out by a plain predicate that reaches the scan, and each task
+    keeps one page, so a deep page costs no more than the first.
+    """
+    if cursor is not None:
+        if len(cursor) != len(keys):
+            raise ValueError("a cursor has one value for each key")
+        beyond, equal = F.lit(False), F.lit(True)
+        for name, value in zip(keys, cursor):
+            if value is not None:
+                beyond = beyond | (equal & ((F.col(name) < F.lit(value)) | F.col(name).isNull()))
+            equal = equal & F.col(name).eqNullSafe(F.lit(value))
+        first, value = F.col(keys[0]), cursor[0]
+        reach = first.isNull() if value is None else (first <= F.lit(value)) | first.isNull()
+        df = df.filter(reach & beyond)
+    return df.orderBy(*[F.desc_nulls_last(k) for k in keys]).limit(_page_size(limit, default, cap))
+
+
+def cursor_of(rows: DataFrame, keys):
+    """The keys of a page's last row, for page_after; None for an empty page, which has no next one."""
+    last = rows.agg(F.min(F.struct(*keys)).alias("last")).first()["last"]
+    return None if last is None else tuple(last)
 
 
 def allocation(positions: DataFrame, equity: float) -> DataFrame:

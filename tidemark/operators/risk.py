@@ -48,44 +48,58 @@ def return_stats(returns: DataFrame) -> DataFrame:
     )
 
 
-def covariance(returns: DataFrame, blocks: int = 1) -> DataFrame:
-    """Sample covariance of all pairs (ticker_1 <= ticker_2) of a complete-case table.
+def mean_vector(returns: DataFrame) -> DataFrame:
+    """Mean return of each name over the dates that all names share."""
+    return complete_dates(returns).groupBy("ticker").agg(F.avg("r").alias("mean"))
 
-    Tickers are hashed to blocks and each pair of blocks is one task computing a dense
-    product, so a row travels `blocks` times instead of once per partner, and a task holds
-    dates x 2N/blocks numbers. Choose blocks so that this fits.
+
+def covariance(returns: DataFrame, names: DataFrame | None = None, block_names: int = 256,
+               block_dates: int = 1024) -> DataFrame:
+    """Sample covariance of all pairs (ticker_1 <= ticker_2) over the dates that all names share;
+    names (ticker) restricts it to a subset first. returns has one row per ticker and date. One
+    common date gives null.
+
+    A centred series is one array per block of dates. Names fall into as many hash blocks as their
+    number asks for, and each pair of name blocks and block of dates is one task with a partial
+    product, so a task holds about 2 * block_names * block_dates numbers however large the table is,
+    a series travels once per name block, and only partial products are summed.
     """
     import numpy as np
     import pandas as pd
 
     def product(key, pdf):
         low, high = int(key[0]), int(key[1])
-        m = pdf.pivot(index="date", columns="ticker", values="r")
-        x = m.to_numpy() - m.to_numpy().mean(axis=0)
-        names = m.columns.to_numpy()
-        home = pdf.drop_duplicates("ticker").set_index("ticker")["block"].loc[names].to_numpy()
+        x = np.stack(pdf["x"].to_numpy())
+        home, label = pdf["block"].to_numpy(), pdf["ticker"].to_numpy()
         left, right = np.flatnonzero(home == low), np.flatnonzero(home == high)
-        cov = x[:, left].T @ x[:, right] / (len(m) - 1)
-        a, b = np.repeat(names[left], right.size), np.tile(names[right], left.size)
-        out = pd.DataFrame({"ticker_1": a, "ticker_2": b, "covariance": cov.ravel()})
-        if low == high:
-            return out[out.ticker_1 <= out.ticker_2]
-        swap = out.ticker_1 > out.ticker_2
-        out.loc[swap, ["ticker_1", "ticker_2"]] = out.loc[swap, ["ticker_2", "ticker_1"]].to_numpy()
-        return out
-
-    block = F.pmod(F.hash("ticker"), F.lit(blocks)).cast("int")
-    partners = F.transform(
-        F.sequence(F.lit(0), F.lit(blocks - 1)),
-        lambda o: F.struct(F.least(F.col("block"), o).alias("low"),
-                           F.greatest(F.col("block"), o).alias("high")),
-    )
-    spread = returns.select("ticker", "date", "r", block.alias("block")).select(
-        "*", F.inline(partners)
-    )
-    return spread.groupBy("low", "high").applyInPandas(
-        product, "ticker_1 string, ticker_2 string, covariance double"
-    )
+        first, second = np.repeat(label[left], right.size), np.tile(label[right], left.size)
+        swap = first > second
+        out = pd.DataFrame({
+            "ticker_1": np.where(swap, second, first), "ticker_2": np.where(swap, first, second),
+            "cell": (x[left] @ x[right].T).ravel(),
+        })
+        return out[~swap] if low == high else out
+
+    if names is not None:
+        returns = returns.join(names, "ticker", "left_semi")
+    shared = land(complete_dates(returns).select("ticker", "date", "r"), "complete-dates")
+    size = shared.agg(F.count_distinct("ticker").alias("names"),
+                      F.count_distinct("date").alias("dates")).first()
+    blocks, chunks = max(1, -(-size.names // block_names)), max(1, -(-size.dates // block_dates))
+    block = F.pmod(F.xxhash64("ticker"), F.lit(blocks)).cast("int")
+    chunk = F.pmod(F.xxhash64("date"), F.lit(chunks)).cast("int")
+    means = shared.groupBy("ticker").agg(F.avg("r").alias("mean"))
+    point = F.struct("date", (F.col("r") - F.col("mean")).alias("x"))
+    vectors = shared.join(means, "ticker").groupBy("ticker", chunk.alias("chunk")).agg(
+        F.array_sort(F.collect_list(point)).getField("x").alias("x"))
+    partners = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.struct(
+        F.least(F.col("block"), o).alias("low"), F.greatest(F.col("block"), o).alias("high")))
+    cells = vectors.withColumn("block", block).select("*", F.inline(partners)).groupBy(
+        "low", "high", "chunk").applyInPandas(product, "ticker_1 string, ticker_2 string, cell double")
+    if chunks > 1:
+        cells = cells.groupBy("ticker_1", "ticker_2").agg(F.sum("cell").alias("cell"))
+    return cells.select("ticker_1", "ticker_2",
+                        ratio("cell", F.lit(float(size.dates - 1))).alias("covariance"))
 
 
 def tail_risk(paths: DataFrame, keys, value: str, tail: float = 0.05) -> DataFrame:

@@ -158,7 +158,7 @@ def s20_median_snapshot(t):
     snap = sinks.median_snapshot(scan.sector_medians(v), v, rates, "2001-07-01 00:00:00")
     path = f"{shared_dir(t.spark)}/tidemark/medians-{uuid.uuid4().hex}"
     sinks.publish_snapshot(snap, path)
-    newest = sinks.newest_snapshot(t.spark.read.parquet(path))
+    newest = sinks.newest_snapshot(t.spark, path, snap.schema)
     return newest.select(
         F.date_format("generated_at", "yyyy-MM-dd").alias("generated_day"), "as_of",
         "universe_size", "tickers_used", "risk_free_rate",

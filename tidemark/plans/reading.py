@@ -26,6 +26,15 @@ def k2_page_fallback(t):
     return lookup.page(ordered, limit=float("nan"), offset=float("inf")).select("event_id")
 
 
+@query()
+def k2_page_after_cursor(t):
+    """The third page, each reached from the last row of the one before."""
+    trades, keys, cursor = t.trade_logs.filter("action <> 'RISK_SNAPSHOT'"), ("ts", "event_id"), None
+    for _ in range(2):
+        cursor = lookup.cursor_of(lookup.page_after(trades, keys, cursor, "75"), keys)
+    return lookup.page_after(trades, keys, cursor, "75").select("event_id", "ticker", "action", "quantity")
+
+
 @query()
 def w16_latest_trade(t):
     trades = t.trade_logs.filter("action <> 'RISK_SNAPSHOT'")

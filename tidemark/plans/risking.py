@@ -48,9 +48,20 @@ def j7_holdings_returns(t):
 
 @query()
 def a8_covariance(t):
-    """Tickers in two hash blocks, so three tasks compute the matrix."""
-    r = risk.complete_dates(landed_returns(t))
-    return risk.covariance(r, blocks=2).withColumn("covariance", F.col("covariance") * 1e4)
+    return risk.covariance(landed_returns(t)).withColumn("covariance", F.col("covariance") * 1e4)
+
+
+@query()
+def a8_mean_vector(t):
+    return risk.mean_vector(landed_returns(t)).withColumn("mean", F.col("mean") * 1e2)
+
+
+@query()
+def a8_sector_covariance(t):
+    """The names of one sector alone, over the dates that these share."""
+    names = t.companies.filter(F.col("sector") == t.companies.agg(F.min("sector")).scalar())
+    return risk.covariance(landed_returns(t), names.select("ticker"), block_names=16, block_dates=64).withColumn(
+        "covariance", F.col("covariance") * 1e4)
 
 
 @query()

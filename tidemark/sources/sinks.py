@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.sources.statements import read_or_empty
@@ -66,11 +68,35 @@ def median_snapshot(medians: DataFrame, valuations: DataFrame, rates: DataFrame,
     )
 
 
-def publish_snapshot(snapshot: DataFrame, path: str) -> None:
-    """Appending a generation is atomic for readers, who take the newest one."""
-    snapshot.write.mode("append").partitionBy("generated_at").parquet(path)
-
-
-def newest_snapshot(snapshots: DataFrame) -> DataFrame:
-    newest = snapshots.agg(F.max("generated_at"))
-    return snapshots.filter(F.col("generated_at") == newest.scalar())
+GENERATIONS = "generation string, generated_at timestamp_ntz, row_count bigint"
+
+
+def publish_snapshot(snapshot: DataFrame, path: str) -> str | None:
+    """Write one generation and then, in a single file, the marker that makes it visible.
+
+    A run that dies while data files are committed leaves no marker, so readers never see part of a
+    generation, and a repeated run has an id of its own. Returns that id; an empty snapshot has
+    nothing to publish and gives None.
+    """
+    spark, generation = snapshot.sparkSession, uuid.uuid4().hex
+    folder = f"{path}/data/generation={generation}"
+    snapshot.write.parquet(folder)
+    mark = spark.read.schema(snapshot.schema).parquet(folder).agg(
+        F.lit(generation).alias("generation"), F.max("generated_at").alias("generated_at"),
+        F.count(F.lit(1)).alias("row_count"))
+    row = mark.first()
+    if not row.row_count:
+        return None
+    spark.createDataFrame([row], GENERATIONS).coalesce(1).write.mode("append").parquet(
+        f"{path}/generations")
+    return generation
+
+
+def newest_snapshot(spark: SparkSession, path: str, schema) -> DataFrame:
+    """Rows of the newest marked generation, empty if there is none. The marker is read before the
+    data files are listed, so all files of its generation are there."""
+    marks = read_or_empty(spark, f"{path}/generations", GENERATIONS)
+    newest = marks.agg(F.max(F.struct("generated_at", "generation")).alias("m")).first()["m"]
+    if newest is None:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/data/generation={newest['generation']}")
