@@ -11,6 +11,29 @@ LEFT JOIN debt_roll AS d ON d.ticker = l.ticker
 LEFT JOIN (SELECT ticker, count(*) AS n, min("end") AS first_year FROM hist5 GROUP BY 1) AS h ON h.ticker = l.ticker GROUP BY 1, 2
 """)
 
+cte("planted", """
+SELECT ticker, cik, tag, copy, form, start, "end", val, accn, filed FROM xbrl_rows
+UNION ALL SELECT ticker, cik, 'InterestPaidNet', copy, form, start, "end", val * 0.9e0, accn, filed FROM xbrl_rows
+  WHERE k % 3 = 0 AND tag IN ('InterestExpense', 'InterestExpenseNonoperating')
+UNION ALL SELECT ticker, cik, 'DebtCurrent', copy, form, start, "end", val * 1.5e0, accn, filed FROM xbrl_rows WHERE k % 5 IN (1, 2) AND tag = 'LongTermDebtCurrent'
+""")
+cte("planted_interest", """
+SELECT * FROM (SELECT f.ticker, f."end", f.val, method, row_number() OVER (PARTITION BY f.ticker, f."end" ORDER BY prio, filed, copy) AS rn
+  FROM planted AS f JOIN companies AS c ON c.ticker = f.ticker JOIN (VALUES ('InterestExpense', 1, 'reported', false),
+    ('InterestExpenseNonoperating', 2, 'reported', false), ('InterestPaidNet', 1, 'proxy_cash_paid_interest', true)) AS p(tag, prio, method, own)
+  ON p.tag = f.tag AND p.own = (c.universe_pos % 6 = 0) WHERE form = '10-K' AND "end" - start BETWEEN 330 AND 400) WHERE rn = 1
+""")
+cte("planted_debt", """
+SELECT p.*, prio, latest_end, CASE WHEN p.tag IN ('LongTermDebtCurrent', 'ShortTermBorrowings')
+    THEN max(CASE WHEN p.tag = 'DebtCurrent' THEN p.tag END) OVER (PARTITION BY p.ticker) END AS covered_by,
+  max(CASE WHEN p.tag = 'DebtLongtermAndShorttermCombinedAmount' THEN val END) OVER (PARTITION BY p.ticker) AS combined
+FROM (SELECT *, row_number() OVER (PARTITION BY ticker, tag, "end" ORDER BY copy) AS rn FROM planted WHERE form = '10-K' AND start IS NULL) AS p
+JOIN latest_fy AS l ON l.ticker = p.ticker AND l.latest_end = p."end" JOIN companies AS c ON c.ticker = p.ticker
+JOIN (VALUES ('LongTermDebtNoncurrent', 0), ('LongTermDebtCurrent', 1), ('ShortTermBorrowings', 2), ('DebtCurrent', 3),
+  ('DebtLongtermAndShorttermCombinedAmount', 4)) AS t(tag, prio) ON t.tag = p.tag
+WHERE rn = 1 AND (c.universe_pos % 10 <> 1 OR prio IN (0, 1, 4))
+""")
+
 
 def fact(field: str, provenance: str) -> str:
     url = "'https://www.sec.gov/Archives/edgar/data/' || cik || '/' || replace(accn, '-', '') || '/' || accn || '-index.htm'"
@@ -55,6 +78,18 @@ SQL = {
     "w17_last_five_years": build('SELECT ticker, "end", revenue, ebit, revenue_tag, years_back::INTEGER AS years_back FROM hist5', r2=["revenue", "ebit"]),
     "a16_debt_rollup": build("SELECT * FROM debt_roll", r2=["total_debt"]),
     "l9_company_extraction": build("SELECT * FROM extracted", r2=["revenue", "pretax", "tax", "interest", "cash", "total_debt"]),
+    "l9_own_tag_lists": build("""
+SELECT l.ticker, l.latest_end, i.val AS interest, i.method AS interest_method, coalesce(d.combined, d.total) AS total_debt,
+  CASE WHEN d.ticker IS NULL THEN NULL WHEN d.combined IS NULL THEN 'summed' ELSE 'reported' END AS method,
+  CASE WHEN d.ticker IS NULL THEN NULL WHEN d.combined IS NULL THEN d.tags ELSE '' END AS component_tags
+FROM latest_fy AS l LEFT JOIN planted_interest AS i ON i.ticker = l.ticker AND i."end" = l.latest_end
+LEFT JOIN (SELECT ticker, max(combined) AS combined, sum(val ORDER BY prio) FILTER (covered_by IS NULL) AS total,
+  string_agg(tag, '; ' ORDER BY prio) FILTER (covered_by IS NULL) AS tags FROM planted_debt GROUP BY 1) AS d ON d.ticker = l.ticker""", r2=["interest", "total_debt"]),
+    "a16_debt_components": build("""
+SELECT ticker, latest_end, tag, val, accn, filed, covered_by,
+  'https://www.sec.gov/Archives/edgar/data/' || cik || '/' || replace(accn, '-', '') || '/' || accn || '-index.htm' AS source_url,
+  CASE WHEN combined IS NOT NULL THEN 'combined' WHEN covered_by IS NOT NULL THEN 'part' ELSE 'added' END AS use
+FROM planted_debt WHERE prio < 4""", r2=["val"]),
     "x24_filing_urls": build("""
 SELECT DISTINCT accn, 'https://www.sec.gov/Archives/edgar/data/' || cik || '/' || replace(accn, '-', '') || '/' || accn || '-index.htm' AS url FROM xbrl_rows"""),
     "u4_provenance_rows": build("SELECT * FROM manifest", r2=["raw_value"]),

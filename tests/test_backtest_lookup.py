@@ -318,3 +318,33 @@ def test_half_written_generations_are_invisible(spark, tmp_path):
     assert sinks.publish_snapshot(rows_of(2), path) is None and newest() == [(1, "a"), (1, "b")]
     sinks.publish_snapshot(rows_of(2, "a", "c"), path)
     assert newest() == [(2, "a"), (2, "c")]
+
+
+def test_own_tags_replace_the_usual_ones_and_totals_are_not_added_to_parts(spark):
+    schema = ("ticker string, cik string, tag string, pos int, form string, start date, end date, val double, "
+              "accn string, filed date")
+    end, start, filed = d("2020-12-31"), d("2020-01-01"), d("2021-02-01")
+    flows = {"Revenues": 100.0, "IncomeTaxExpenseBenefit": 5.0, "InterestExpense": 3.0, "InterestPaidNet": 2.0,
+             fa.FIELD_TAGS["pretax"][0]: 20.0}
+    debts = {"LongTermDebtNoncurrent": 40.0, "LongTermDebtCurrent": 4.0, "ShortTermBorrowings": 2.0, "DebtCurrent": 7.0}
+    facts = [(n, "7", tag, 0, "10-K", start, end, v, "a-1", filed) for n in "ABCD" for tag, v in flows.items()]
+    facts += [(n, "7", tag, 0, "10-K", None, end, v, f"a-{i}", filed)
+              for n in "ABC" for i, (tag, v) in enumerate(debts.items()) if not (n == "A" and tag == "DebtCurrent")]
+    facts += [("C", "7", "DebtLongtermAndShorttermCombinedAmount", 0, "10-K", None, end, 50.0, "a-9", filed)]
+    own = spark.createDataFrame([
+        ("B", "interest", "InterestPaidNet", 0, "proxy_cash_paid_interest"),
+        ("D", "interest", "NeverReported", 0, "reported"),
+    ], fa.TAG_MAP)
+    sheets = fa.company_sheets(spark.createDataFrame(facts, schema), own)
+    got = rows(fa.extract_companies(sheets), "ticker")
+    assert [got[n].interest for n in "ABCD"] == [3.0, 2.0, 3.0, None]
+    assert got["B"].interest_method == "proxy_cash_paid_interest" and got["A"].interest_method == "reported"
+    assert [got[n].total_debt for n in "ABCD"] == [46.0, 47.0, 50.0, None]
+    assert got["B"].component_tags == "LongTermDebtNoncurrent; DebtCurrent" and got["B"].accessions == "a-0; a-3"
+    parts = {(r.ticker, r.tag): (r.use, r.covered_by) for r in fa.debt_components(sheets[2]).collect()}
+    assert parts["A", "LongTermDebtCurrent"] == ("added", None)
+    assert parts["B", "LongTermDebtCurrent"] == ("part", "DebtCurrent") and parts["B", "DebtCurrent"] == ("added", None)
+    assert {use for (n, _), (use, _) in parts.items() if n == "C"} == {"combined"} and len(parts) == 11
+    plain = rows(fa.extract_companies(fa.company_sheets(spark.createDataFrame(facts, schema))), "ticker")
+    assert plain["B"].interest == plain["D"].interest == 3.0
+    assert fa.extract_companies(fa.company_sheets(spark.createDataFrame([], schema), own)).collect() == []

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark import schemas
+from tidemark.session import land
 
 # Field -> tags in priority order.
 FIELD_TAGS = {
@@ -26,7 +27,10 @@ FIELD_TAGS = {
     "cash": ("CashAndCashEquivalentsAtCarryingValue",),
     "debt_combined": ("DebtLongtermAndShorttermCombinedAmount",),
 }
-DEBT_COMPONENTS = ("LongTermDebtNoncurrent", "LongTermDebtCurrent", "ShortTermBorrowings")
+DEBT_COMPONENTS = ("LongTermDebtNoncurrent", "LongTermDebtCurrent", "ShortTermBorrowings", "DebtCurrent")
+# Reported total -> its parts, which are not added to it.
+TOTALS = {"DebtCurrent": ("LongTermDebtCurrent", "ShortTermBorrowings")}
+TAG_MAP = "ticker string, field string, tag string, priority int, method string"
 
 
 def scan_facts(raw: DataFrame) -> DataFrame:
@@ -70,17 +74,41 @@ def merge_tags(firsts: DataFrame, tags, field: str) -> DataFrame:
     )
 
 
-def merged_fields(facts: DataFrame, fields=("revenue", "ebit", "pretax", "tax", "interest")):
-    """All duration fields at once: field and tag rank come from one lookup expression."""
-    field, rank = F.lit(None).cast("string"), F.lit(None).cast("int")
-    for name in fields:
-        for i, tag in enumerate(FIELD_TAGS[name]):
-            field = F.coalesce(field, F.when(F.col("tag") == tag, F.lit(name)))
-            rank = F.coalesce(rank, F.when(F.col("tag") == tag, F.lit(i)))
+def mapped(facts: DataFrame, own: DataFrame | None = None) -> DataFrame:
+    """Facts whose tag means a field to their company, with field, tag_rank and method.
+
+    own (ticker, field, tag, priority, method) is a company's own list: where it names a field, its
+    tags replace the usual ones for that field, so a method such as a proxy goes with the tag. A
+    company lists a few tags, which travel as one array with its facts. A tag that serves two
+    fields gives two rows.
+    """
+    usual = F.array(*[
+        F.struct(F.lit(field).alias("field"), F.lit(i).alias("tag_rank"), F.lit(tag).alias("tag"),
+                 F.lit("reported").alias("method"))
+        for field, tags in (FIELD_TAGS | {"debt_component": DEBT_COMPONENTS}).items()
+        for i, tag in enumerate(tags)
+    ])
+    if own is not None:
+        entry = F.struct("field", F.col("priority").alias("tag_rank"), "tag", "method")
+        lists = own.groupBy("ticker").agg(F.collect_set(entry).alias("own"))
+        facts = facts.join(lists, "ticker", "left")
+        replaced = F.coalesce(F.transform("own", lambda e: e["field"]), F.array().cast("array<string>"))
+        usual = F.concat(
+            F.coalesce("own", F.filter(usual, lambda e: F.lit(False))),
+            F.filter(usual, lambda e: ~F.array_contains(replaced, e["field"])))
+    means = F.transform(
+        F.filter(usual, lambda e: e["tag"] == F.col("tag")),
+        lambda e: F.struct(e["field"].alias("field"), e["tag_rank"].alias("tag_rank"), e["method"].alias("method")))
+    rest = [c for c in facts.columns if c != "own"]
+    return facts.select(*rest, F.inline(means))
+
+
+def merged_fields(facts: DataFrame, fields=("revenue", "ebit", "pretax", "tax", "interest"),
+                  own: DataFrame | None = None):
+    """All duration fields at once: per period the first filing of the company's first tag."""
     w = Window.partitionBy("ticker", "field", "end").orderBy("tag_rank", "filed", "pos")
     return (
-        annual_facts(facts).withColumn("field", field).withColumn("tag_rank", rank)
-        .filter("field is not null")
+        mapped(annual_facts(facts), own).filter(F.col("field").isin(*fields))
         .withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn", "tag_rank")
     )
 
@@ -129,18 +157,47 @@ def joined_unique(rows: Column) -> Column:
     return F.array_join(F.array_distinct(ordered), "; ")
 
 
-def debt_rollup(facts: DataFrame, latest: DataFrame) -> DataFrame:
-    """Total debt at the newest year: the combined tag where reported, else its components."""
-    at = instants(facts).join(latest, "ticker").filter(F.col("end") == F.col("latest_end"))
-    rank = _tag_rank(DEBT_COMPONENTS)
-    combined = F.col("tag") == FIELD_TAGS["debt_combined"][0]
+def newest_instants(facts: DataFrame, latest: DataFrame, own: DataFrame | None = None) -> DataFrame:
+    """Point-in-time facts at each company's newest complete year, with field and tag rank."""
+    at = mapped(instants(facts), own).join(latest, "ticker")
+    return at.filter(F.col("end") == F.col("latest_end"))
+
+
+def debt_components(at: DataFrame) -> DataFrame:
+    """The components behind each debt figure, one row each, from newest_instants.
+
+    use says how a row enters the figure: `added`; `part` of a total that is reported too and named
+    in covered_by; or `combined`, where the company reports all its debt under one tag.
+    """
+    parts = F.array(*[F.struct(F.lit(part).alias("part"), F.lit(total).alias("total"))
+                      for total, members in TOTALS.items() for part in members])
+    rows = at.filter(F.col("field").isin("debt_component", "debt_combined"))
+    together = rows.groupBy("ticker").agg(
+        F.collect_set(F.when(F.col("field") == "debt_component", F.col("tag"))).alias("present"),
+        F.bool_or(F.col("field") == "debt_combined").alias("has_combined"))
+    covers = F.filter(parts, lambda p: (p["part"] == F.col("tag")) & F.array_contains("present", p["total"]))
+    rows = rows.filter("field = 'debt_component'").join(together, "ticker").withColumn(
+        "covered_by", F.get(covers, F.lit(0))["total"])
+    use = F.when(F.col("has_combined"), "combined").when(F.col("covered_by").isNotNull(), "part").otherwise("added")
+    return rows.withColumns({"source_url": filing_url("cik", "accn"), "use": use}).drop(
+        "present", "has_combined")
+
+
+def debt_rollup(at: DataFrame) -> DataFrame:
+    """Total debt from newest_instants: the combined tag where reported, else the components that
+    are not part of another reported one."""
+    added = debt_components(at).filter("use = 'added'").select(
+        "ticker", "latest_end", "field", "tag_rank", "tag", "val", "accn", "filed", "cik")
+    at = added.unionByName(at.filter("field = 'debt_combined'").select(added.columns))
+    combined = F.col("field") == "debt_combined"
+    rank = F.when(~combined, F.col("tag_rank"))
     url = filing_url("cik", "accn")
 
     def listed(v):
         part = F.when(rank.isNotNull(), F.struct(rank.alias("pos"), v.alias("v")))
         return F.collect_list(part)
 
-    agg = at.filter(combined | rank.isNotNull()).groupBy("ticker").agg(
+    agg = at.groupBy("ticker").agg(
         F.max("latest_end").alias("latest_end"),
         F.max(F.when(combined, F.col("val"))).alias("combined"),
         F.max(F.when(combined, F.col("accn"))).alias("combined_accn"),
@@ -163,25 +220,30 @@ def debt_rollup(facts: DataFrame, latest: DataFrame) -> DataFrame:
     )
 
 
-def extract_companies(facts: DataFrame) -> DataFrame:
-    """One row per company: newest complete year, its facts, its debt and its history length."""
-    fields = merged_fields(facts)
-    latest = latest_complete_year(fields)
+def company_sheets(facts: DataFrame, own: DataFrame | None = None):
+    """(fields, newest years, newest instants), landed once for everything that is derived from them."""
+    fields = land(merged_fields(facts, own=own), "fields")
+    latest = land(latest_complete_year(fields), "newest-years")
+    return fields, latest, land(newest_instants(facts, latest, own), "newest-instants")
+
+
+def extract_companies(sheets) -> DataFrame:
+    """One row per company from company_sheets: newest complete year, its facts with the method
+    behind interest, its debt and its history length."""
+    fields, latest, at = sheets
     at_latest = fields.join(latest, "ticker").filter(F.col("end") == F.col("latest_end"))
     wide = at_latest.groupBy("ticker", "latest_end").agg(*[
         F.max(F.when(F.col("field") == f, F.col(v))).alias(f"{f}{suffix}")
         for f in ("revenue", "pretax", "tax", "interest")
         for v, suffix in (("val", ""), ("accn", "_accn"))
-    ])
-    cash = instants(facts.filter(F.col("tag") == FIELD_TAGS["cash"][0])).select(
-        "ticker", F.col("end").alias("latest_end"), F.col("val").alias("cash"),
-        F.col("accn").alias("cash_accn"),
-    )
-    debt = debt_rollup(facts, latest).drop("latest_end")
+    ], F.max(F.when(F.col("field") == "interest", F.col("method"))).alias("interest_method"))
+    first = Window.partitionBy("ticker").orderBy("tag_rank")
+    cash = at.filter("field = 'cash'").withColumn("rn", F.row_number().over(first)).filter("rn = 1").select(
+        "ticker", F.col("val").alias("cash"), F.col("accn").alias("cash_accn"))
     years = history_years(fields).groupBy("ticker").agg(
         F.count(F.lit(1)).alias("history_years"), F.min("end").alias("first_year")
     )
     return (
-        wide.join(cash, ["ticker", "latest_end"], "left").join(debt, "ticker", "left")
+        wide.join(cash, "ticker", "left").join(debt_rollup(at).drop("latest_end"), "ticker", "left")
         .join(years, "ticker", "left")
     )

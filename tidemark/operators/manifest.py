@@ -22,13 +22,13 @@ COLUMNS = ("ticker", "field", "period", "raw_value", "units", "source_field", "a
            "source_url", "filed", "provenance")
 
 
-def _rows(df: DataFrame, field: Column, provenance: str) -> DataFrame:
+def _rows(df: DataFrame, field: Column, provenance: Column) -> DataFrame:
     return df.select(
         "ticker", field.alias("field"), F.date_format("end", "yyyy-MM-dd").alias("period"),
         F.col("val").alias("raw_value"), F.lit("USD").alias("units"),
         F.col("tag").alias("source_field"), F.col("accn").alias("accession"),
         fa.filing_url("cik", "accn").alias("source_url"),
-        F.date_format("filed", "yyyy-MM-dd").alias("filed"), F.lit(provenance).alias("provenance"),
+        F.date_format("filed", "yyyy-MM-dd").alias("filed"), provenance.alias("provenance"),
     )
 
 
@@ -39,20 +39,18 @@ def _named(mapping: dict) -> Column:
     return out
 
 
-def build(facts: DataFrame, market: DataFrame) -> DataFrame:
-    """One row per sourced fact. market: ticker, price, shares, beta, sector, retrieved_at."""
-    fields = fa.merged_fields(facts)
-    latest = fa.latest_complete_year(fields)
+def build(sheets, market: DataFrame) -> DataFrame:
+    """One row per sourced fact of facts.company_sheets; an interest proxy is named as such.
+    market: ticker, price, shares, beta, sector, retrieved_at."""
+    fields, latest, at = sheets
     years = fa.history_years(fields).select("ticker", "end")
     history = fields.filter(F.col("field").isin(*HISTORY_FIELDS)).join(
         years, ["ticker", "end"], "left_semi")
     newest = fields.filter(F.col("field").isin(*LATEST_FIELDS)).join(latest, "ticker").filter(
         F.col("end") == F.col("latest_end"))
-    at = fa.instants(facts).join(latest, "ticker").filter(F.col("end") == F.col("latest_end"))
-    cash = at.filter(F.col("tag") == fa.FIELD_TAGS["cash"][0])
-    debt = fa.debt_rollup(facts, latest)
-    summed = debt.filter("method = 'summed'").select("ticker")
-    parts = at.filter(F.col("tag").isin(*fa.DEBT_COMPONENTS)).join(summed, "ticker", "left_semi")
+    cash = at.filter("field = 'cash'")
+    debt = fa.debt_rollup(at)
+    parts = fa.debt_components(at).filter("use = 'added'")
     derived = F.col("method") == "summed"
     totals = debt.select(
         "ticker", F.when(derived, DERIVED).otherwise(REPORTED).alias("field"),
@@ -80,10 +78,11 @@ def build(facts: DataFrame, market: DataFrame) -> DataFrame:
         F.concat(F.lit("https://quotes.example.org/"), "ticker").alias("source_url"),
         F.col("retrieved_at").alias("filed"), F.lit("reported (market)").alias("provenance"),
     )
-    out = _rows(history, _named(HISTORY_FIELDS), "reported")
+    reported, method = F.lit("reported"), F.col("method")
+    out = _rows(history, _named(HISTORY_FIELDS), reported)
     for part in (
-        _rows(newest, _named(LATEST_FIELDS), "reported"), _rows(cash, F.lit(CASH), "reported"),
-        _rows(parts, F.concat(F.lit(COMPONENT), "tag"), "reported (component)"), totals, sides,
+        _rows(newest, _named(LATEST_FIELDS), method), _rows(cash, F.lit(CASH), reported),
+        _rows(parts, F.concat(F.lit(COMPONENT), "tag"), F.lit("reported (component)")), totals, sides,
     ):
         out = out.unionByName(part)
     return out

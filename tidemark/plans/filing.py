@@ -47,20 +47,63 @@ def w17_last_five_years(t):
     return years.select("ticker", "end", "revenue", "ebit", "revenue_tag", "years_back")
 
 
+def sheets(t):
+    return fa.company_sheets(scanned(t))
+
+
 @query(money=("total_debt",))
 def a16_debt_rollup(t):
-    f = scanned(t)
-    return fa.debt_rollup(f, fa.latest_complete_year(fa.merged_fields(f)))
+    return fa.debt_rollup(sheets(t)[2])
 
 
 @query(money=("revenue", "pretax", "tax", "interest", "cash", "total_debt"))
 def l9_company_extraction(t):
-    return fa.extract_companies(scanned(t)).select(
+    return fa.extract_companies(sheets(t)).select(
         "ticker", "latest_end", "revenue", "pretax", "tax", "interest", "revenue_accn", "cash",
         "total_debt", "method", "component_tags", "history_years", "first_year",
     )
 
 
+def own_lists(t):
+    """Every sixth company has interest as cash paid, every tenth leaves the current total out."""
+    k = F.col("universe_pos")
+
+    def rows(test, field, tags, method):
+        listed = F.array(*[F.struct(F.lit(tag).alias("tag"), F.lit(i).alias("priority")) for i, tag in enumerate(tags)])
+        return t.companies.filter(test).select(
+            "ticker", F.lit(field).alias("field"), F.inline(listed), F.lit(method).alias("method"))
+
+    return rows(k % 6 == 0, "interest", ("InterestPaidNet",), "proxy_cash_paid_interest").unionByName(
+        rows(k % 10 == 1, "debt_component", fa.DEBT_COMPONENTS[:2], "reported"))
+
+
+def planted_sheets(t):
+    """Facts with paid interest beside every third company's expense, and with the total of current
+    debt beside its parts at companies that end in 1, 2, 6 or 7; read by the companies' own lists."""
+    f = scanned(t)
+    k, tag = F.substring("ticker", 2, 5).cast("int"), F.col("tag")
+
+    def also(test, name, scale):
+        return f.filter(test).withColumns({"tag": F.lit(name), "val": F.col("val") * scale})
+
+    paid = also((k % 3 == 0) & tag.isin(*fa.FIELD_TAGS["interest"]), "InterestPaidNet", 0.9)
+    current = also((k % 5).isin(1, 2) & (tag == "LongTermDebtCurrent"), "DebtCurrent", 1.5)
+    return fa.company_sheets(f.unionByName(paid).unionByName(current), own_lists(t))
+
+
+@query(money=("interest", "total_debt"))
+def l9_own_tag_lists(t):
+    return fa.extract_companies(planted_sheets(t)).select(
+        "ticker", "latest_end", "interest", "interest_method", "total_debt", "method", "component_tags")
+
+
+@query(money=("val",))
+def a16_debt_components(t):
+    """Each component behind a debt figure, with its filing and whether it was added."""
+    return fa.debt_components(planted_sheets(t)[2]).select(
+        "ticker", "latest_end", "tag", "val", "accn", "filed", "source_url", "covered_by", "use")
+
+
 @query()
 def x24_filing_urls(t):
     return fa.scan_facts(t.xbrl_facts_raw).select("cik", "accn").distinct().select(
@@ -77,12 +120,12 @@ def market_side(t):
 
 @query(money=("raw_value",))
 def u4_provenance_rows(t):
-    return mf.build(scanned(t), market_side(t))
+    return mf.build(sheets(t), market_side(t))
 
 
-def damaged_manifest(t):
-    """The manifest with one kind of damage per ticker group."""
-    rows = mf.build(scanned(t), market_side(t))
+def damaged_manifest(t, facts):
+    """The manifest of company sheets with one kind of damage per ticker group."""
+    rows = mf.build(facts, market_side(t))
     k = F.substring("ticker", 2, 5).cast("int") % 12
     field = F.col("field")
     out = rows.filter(~((k == 1) & (field == "Tax Provision (latest)")))
@@ -101,23 +144,24 @@ def damaged_manifest(t):
 
 @query()
 def l10_manifest_completeness(t):
-    return mf.completeness_problems(damaged_manifest(t))
+    return mf.completeness_problems(damaged_manifest(t, sheets(t)))
 
 
 @query()
 def l11_manifest_structure(t):
-    expected = fa.extract_companies(scanned(t)).select(
-        "ticker", "history_years", "pretax", "tax", "cash")
-    return mf.structure_problems(damaged_manifest(t), expected)
+    facts = sheets(t)
+    expected = fa.extract_companies(facts).select("ticker", "history_years", "pretax", "tax", "cash")
+    return mf.structure_problems(land(damaged_manifest(t, facts), "manifest"), expected)
 
 
 @query()
 def u2_manifest_differences(t):
     """Entries every company should have against those present in the damaged manifest."""
     names = F.array(*[F.lit(n) for n in (*mf.LATEST_FIELDS.values(), mf.CASH, *mf.MARKET_FIELDS)])
-    companies = fa.latest_complete_year(fa.merged_fields(scanned(t))).select("ticker")
+    facts = sheets(t)
+    companies = facts[1].select("ticker")
     wanted = companies.select("ticker", F.explode(names).alias("field"))
-    present = damaged_manifest(t).filter(F.array_contains(names, F.col("field"))).select(
+    present = damaged_manifest(t, facts).filter(F.array_contains(names, F.col("field"))).select(
         "ticker", "field")
     return integrity.set_difference(wanted, present)
 
