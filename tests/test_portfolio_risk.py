@@ -320,6 +320,42 @@ def test_capped_pour_lowers_no_weight(spark):
         assert np.allclose([got[p, f"T{i}"].new_weight for i in range(len(w))], want, atol=1e-8), p
 
 
+def test_pour_level_of_large_portfolios_with_ties(spark):
+    rng = np.random.default_rng(3)
+    w = {"ties": np.repeat([0.002, 0.0015, 0.0001], 2000), "close": 0.001 + rng.random(6000) * 1e-9,
+         "wide": rng.pareto(1.2, 6000) * 1e-4, "whole": np.full(6000, 0.001)}
+    amount = {"ties": 2.1, "close": 9.0, "wide": 3.0, "whole": 50.0}
+    cap = 0.0025
+    df = spark.createDataFrame([(p, f"T{i:05d}", float(x), amount[p]) for p, v in w.items() for i, x in enumerate(v)],
+                               "portfolio_id string, ticker string, weight double, amount double")
+    got = pf.distribute_capped(df, "amount", cap).orderBy("portfolio_id", "ticker").toPandas()
+    for p, v in w.items():
+        out = got[got.portfolio_id == p].new_weight.to_numpy()
+        low, high = 1.0, 1e9
+        for _ in range(200):
+            level = (low + high) / 2
+            poured = np.maximum(v, np.minimum(cap, level * v)).sum() - v.sum()
+            low, high = (level, high) if poured < amount[p] else (low, level)
+        assert np.allclose(out, np.maximum(v, np.minimum(cap, low * v)), rtol=1e-9, atol=0), p
+
+
+def test_running_sum_over_blocks_of_ranks(spark):
+    rng = random.Random(2)
+    data = [(p, f"T{i % 7}", None if i % 1000 == 5 else rng.randint(0, 9000), rng.randint(0, 99))
+            for p in ("a", "b") for i in range(6000)]
+    df = spark.createDataFrame(data, "portfolio_id string, ticker string, pick_rank int, own bigint")
+    got = pf.running_sum(df, "own", "sum").select("portfolio_id", "sum", "own").collect()
+    for p in ("a", "b"):
+        part = sorted((r["sum"], r.own) for r in got if r.portfolio_id == p)
+        assert len(part) == 6000 and part[-1][0] == sum(r[3] for r in data if r[0] == p)
+    last = df.groupBy("portfolio_id", "pick_rank").agg(F.sum("own").alias("own")).toPandas()
+    tops = rows(pf.running_sum(df, "own", "sum").groupBy("portfolio_id", "pick_rank").agg(
+        F.max("sum").alias("top")), "portfolio_id", "pick_rank")
+    part = last[last.portfolio_id == "a"].sort_values("pick_rank", na_position="first")
+    for rank, want in zip(part.pick_rank, part.own.cumsum()):
+        assert tops["a", None if rank != rank else int(rank)].top == want
+
+
 def test_hedge_plan_answers_every_request(spark):
     requests = spark.createDataFrame(
         [("a", "SPY", 1e6, 1e4, None), ("b", "NONE", 1e6, 1e4, None), ("c", "IWM", 1e6, 1e4, 5.0)],

@@ -30,30 +30,67 @@ def distribute_capped(weights: DataFrame, amount: str, cap: float,
     Pouring in rounds keeps the rows below the cap proportional, so each of them ends at
     min(cap, level * weight) with one level per portfolio: the largest are full, and the level
     spreads the rest. Rows without weight share equally what the others cannot take. Null weights
-    stay null.
+    stay null. portfolio_id is not null.
     """
-    kind = F.when(F.col("weight") >= cap, "full").when(F.col("weight") > 0, "open").when(
-        F.col("weight") == 0, "empty")
-    whole = Window.partitionBy("portfolio_id")
-    order = Window.partitionBy("portfolio_id", "kind").orderBy(F.desc("weight"), "ticker")
-    rest = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    weight, is_open = F.col("weight"), F.col("kind") == "open"
-    rows = weights.withColumn("kind", kind).withColumns({
-        "ahead": F.row_number().over(order) - 1,
-        "tail": F.sum("weight").over(rest),
-        "target": F.sum(F.when(is_open, weight)).over(whole) + F.col(amount),
-        "spare": F.col(amount) - F.sum(F.when(is_open, cap - weight).otherwise(0.0)).over(whole),
-        "empties": F.count_if(F.col("kind") == "empty").over(whole),
-    })
-    rows = rows.withColumn("level", F.when(is_open, ratio(F.col("target") - F.col("ahead") * cap, "tail")))
-    fits = F.when(F.col("level") * weight <= cap, F.struct("ahead", "level"))
-    rows = rows.withColumn("level", F.min(fits).over(whole)["level"])
+    weight = F.col("weight")
+    is_open = (weight > 0) & (weight < cap)
+    rows = land(weights, "pour")
+    sums = land(rows.groupBy("portfolio_id").agg(
+        F.max(amount).alias("amount_sum"),
+        F.coalesce(F.sum(F.when(is_open, weight)), F.lit(0.0)).alias("open_sum"),
+        F.coalesce(F.sum(F.when(is_open, cap - weight)), F.lit(0.0)).alias("room"),
+        F.count_if(weight == 0).alias("empties"),
+    ).withColumn("target", F.col("open_sum") + F.col("amount_sum")), "pour-sums")
+    levels = _levels(rows.filter(is_open).select("portfolio_id", "weight"),
+                     sums.select("portfolio_id", "target"), cap)
+    facts = sums.select("portfolio_id", "amount_sum", "room", "empties").join(levels, "portfolio_id", "left")
+    rows = rows.join(facts, "portfolio_id")
     poured = F.greatest(weight, F.least(F.lit(cap), F.coalesce(F.col("level") * weight, F.lit(cap))))
-    shared = F.least(F.lit(cap), F.greatest(F.lit(0.0), F.col("spare")) / F.col("empties"))
-    changed = F.when(is_open, poured).when(F.col("kind") == "empty", shared).otherwise(weight)
+    spare = F.greatest(F.lit(0.0), F.col("amount_sum") - F.col("room"))
+    shared = F.least(F.lit(cap), spare / F.col("empties"))
+    changed = F.when(is_open, poured).when(weight == 0, shared).otherwise(weight)
     return rows.withColumn(
         "new_weight", F.when(F.col(amount) > p.eps, changed).otherwise(weight)
-    ).drop("kind", "ahead", "tail", "target", "spare", "empties", "level")
+    ).drop("amount_sum", "room", "empties", "level")
+
+
+def _levels(opens: DataFrame, targets: DataFrame, cap: float, per_octave: int = 1024) -> DataFrame:
+    """portfolio_id and level: with the rows above it full, the first weight in descending order that
+    the level (target - cap * full) / (sum of the others) does not lift above the cap. Portfolios
+    that fill up whole have none.
+
+    Whether a weight fits holds for all smaller ones too, so sums of narrow ranges of weights, per
+    portfolio a few thousand, tell in which range the first one is; only the distinct weights of
+    that range are ordered.
+    """
+    span = F.floor(F.log2("weight") * per_octave).alias("span")
+    down = Window.partitionBy("portfolio_id").orderBy(F.desc("span"))
+    above, below = down.rowsBetween(Window.unboundedPreceding, -1), down.rowsBetween(1, Window.unboundedFollowing)
+    spans = opens.groupBy("portfolio_id", span).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("weight").alias("total"), F.max("weight").alias("largest"))
+    spans = spans.withColumns({
+        "ahead": F.coalesce(F.sum("n").over(above), F.lit(0)),
+        "behind": F.coalesce(F.sum("total").over(below), F.lit(0.0)),
+    }).join(targets, "portfolio_id")
+    level = ratio(F.col("target") - F.col("ahead") * cap, F.col("total") + F.col("behind"))
+    fits = level * F.col("largest") <= cap
+    edge = land(spans.withColumns({"level": level, "fits": fits}).groupBy("portfolio_id").agg(
+        F.max(F.when(F.col("fits"), F.struct("span", "level"))).alias("start"),
+        F.min(F.when(~F.col("fits"), F.struct("span", "ahead", "behind"))).alias("inside"),
+        F.max("target").alias("target"),
+    ), "pour-edges")
+    within = Window.partitionBy("portfolio_id").orderBy(F.desc("weight"))
+    before, rest = within.rowsBetween(Window.unboundedPreceding, -1), within.rowsBetween(0, Window.unboundedFollowing)
+    inside = edge.filter("inside is not null").select("portfolio_id", "target", "inside.*")
+    values = opens.select("*", span).join(inside, ["portfolio_id", "span"]).groupBy(
+        "portfolio_id", "weight", "target", "ahead", "behind").agg(F.count(F.lit(1)).alias("n"))
+    full = F.col("ahead") + F.coalesce(F.sum("n").over(before), F.lit(0))
+    tail = F.col("behind") + F.sum(F.col("n") * F.col("weight")).over(rest)
+    values = values.withColumn("level", ratio(F.col("target") - full * cap, tail))
+    found = values.filter(F.col("level") * F.col("weight") <= cap).groupBy("portfolio_id").agg(
+        F.max_by("level", "weight").alias("found"))
+    return edge.join(found, "portfolio_id", "left").select(
+        "portfolio_id", F.coalesce("found", "start.level").alias("level"))
 
 
 def _poured(rows: DataFrame, cap: float) -> DataFrame:
@@ -171,6 +208,24 @@ def cents(c: Column) -> Column:
     return F.floor(exact * 100).cast("bigint")
 
 
+RANKS = 4096
+
+
+def running_sum(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """Sum of value over the rows of a portfolio up to each one, by pick_rank and ticker, those
+    without rank first. Ranks are cut into blocks of RANKS: the sums of the blocks are summed up
+    first, then the rows of a block among themselves, so no task orders a whole portfolio."""
+    block = F.coalesce(F.floor(F.col("pick_rank") / RANKS), F.lit(-1))
+    earlier = Window.partitionBy("portfolio_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("portfolio_id", "block").orderBy("pick_rank", "ticker").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("block", block)
+    starts = rows.groupBy("portfolio_id", "block").agg(F.sum(value).alias("block_sum")).select(
+        "portfolio_id", "block", F.coalesce(F.sum("block_sum").over(earlier), F.lit(0)).alias("block_start"))
+    return rows.join(starts, ["portfolio_id", "block"]).withColumn(
+        name, F.col("block_start") + F.sum(value).over(upto)).drop("block", "block_start")
+
+
 def fit_to_buying_power(plan: DataFrame, buying_power: float | None,
                         p: PortfolioParams = PortfolioParams()) -> DataFrame:
     """Scale pending buys to the budget, then hand out whole cents in pick order. Without a
@@ -183,9 +238,8 @@ def fit_to_buying_power(plan: DataFrame, buying_power: float | None,
     if buying_power is None:
         done = F.when(F.col("status") != "pending", F.col("status")).when(buying, "would_buy")
         return plan.withColumns({"scaled": F.lit(False), "status": done.otherwise("would_sell")})
-    whole = Window.partitionBy("portfolio_id")
-    total = F.sum(F.when(buying, F.col("order_notional")).otherwise(F.lit(0.0))).over(whole)
-    rows = plan.withColumn("total_buys", total)
+    total = F.sum(F.when(buying, F.col("order_notional")).otherwise(F.lit(0.0)))
+    rows = plan.join(plan.groupBy("portfolio_id").agg(total.alias("total_buys")), "portfolio_id")
     scaled = buying & (F.col("total_buys") > 0) & (F.col("total_buys") > buying_power + p.eps)
     rows = rows.withColumn("scaled", scaled).withColumn(
         "ideal", F.when(scaled, F.col("order_notional") * ratio(F.lit(max(buying_power, 0.0)),
@@ -193,10 +247,7 @@ def fit_to_buying_power(plan: DataFrame, buying_power: float | None,
         .otherwise(F.col("order_notional")),
     )
     own = F.when(buying, cents(F.col("ideal"))).otherwise(F.lit(0).cast("bigint"))
-    upto = Window.partitionBy("portfolio_id").orderBy("pick_rank").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    rows = rows.withColumn("own_cents", own).withColumn("sum_cents", F.sum("own_cents").over(upto))
+    rows = running_sum(rows.withColumn("own_cents", own), "own_cents", "sum_cents")
     budget = cents(F.lit(float(buying_power)))
     given = F.least(F.col("sum_cents"), budget) - F.least(
         F.col("sum_cents") - F.col("own_cents"), budget
