@@ -23,6 +23,13 @@ def monthly_bars(prices: DataFrame, since=None, until=None, keys=("ticker",)) ->
     )
 
 
+def price_slice(prices: DataFrame, picks: DataFrame, benchmark: str) -> DataFrame:
+    """Prices of the picks and of the benchmark, landed: all steps of a back-test read these alone."""
+    index = prices.sparkSession.range(1).select(F.lit(benchmark).alias("ticker"))
+    names = picks.select("ticker").unionByName(index)
+    return land(prices.join(names, "ticker", "left_semi"), "price-slice")
+
+
 def pick_bars(picks: DataFrame, prices: DataFrame, until) -> DataFrame:
     """Monthly bars of each pick from its own date on."""
     rows = (

@@ -82,19 +82,29 @@ QUALITY_ITEMS = (
 )
 
 
-def statement_periods(statements: DataFrame, items=VALUATION_ITEMS) -> DataFrame:
-    """One row per (ticker, statement, period_end) with a column per requested item.
+LABELS = {label: f"label_{n}" for n, label in enumerate(sorted({x for _, labels in LINE_ITEMS.values() for x in labels}))}
 
-    A period exists as soon as any row carries it, so rows are not filtered by label.
-    """
-    labels = sorted({label for i in items for label in LINE_ITEMS[i][1]})
+
+def fold_periods(statements: DataFrame, items=tuple(LINE_ITEMS)) -> DataFrame:
+    """One row per (ticker, statement, period_end) with the value of each label of the items. Landed,
+    it serves everything that reads statements by period in place of the statements themselves."""
     value = nan_to_null("value")
-    seen = {label: f"label_{n}" for n, label in enumerate(labels)}
-    folded = statements.groupBy("ticker", "statement", "period_end").agg(
-        *[F.max(F.when(F.col("line_item") == label, value)).alias(a) for label, a in seen.items()],
+    labels = sorted({label for i in items for label in LINE_ITEMS[i][1]})
+    return statements.groupBy("ticker", "statement", "period_end").agg(
+        *[F.max(F.when(F.col("line_item") == label, value)).alias(LABELS[label]) for label in labels],
         F.max(F.col("line_item") == "Total Revenue").alias("has_primary_revenue"),
         F.max(F.col("line_item") == "TotalRevenue").alias("has_other_revenue"),
     )
+
+
+def statement_periods(statements: DataFrame, items=VALUATION_ITEMS) -> DataFrame:
+    """One row per (ticker, statement, period_end) with a column per requested item, from statement
+    rows or from fold_periods.
+
+    A period exists as soon as any row carries it, so rows are not filtered by label.
+    """
+    seen = LABELS
+    folded = fold_periods(statements, items) if "line_item" in statements.columns else statements
     cols = [
         F.when(
             F.col("statement") == LINE_ITEMS[i][0],

@@ -83,7 +83,7 @@ def j5_common_months(t):
 def backtest_summary(t, dates=fx.AS_OF):
     """Returns, alpha and dropped names per date."""
     picks = landed_picks(t)
-    prices = thinned_prices(t)
+    prices = bt.price_slice(thinned_prices(t), picks, "IDX")
     curve = land(bt.equity_curve(picks, prices, "IDX", dates, END), "curve")
     perf = bt.forward_performance(prices, picks, dates, END, exit_days=EXIT_DAYS)
     grid = picks.select("as_of").distinct().withColumn("ticker", F.lit("IDX"))

@@ -26,11 +26,17 @@ PRODUCED = {
 EXPECTED = {**PRODUCED, "revenue_cagr": "capped_cagr", "operating_margin": "avg_margin"}
 
 
-def produced_rows(t):
+def landed_inputs(t):
+    """Market rows and the income periods behind them, read by both valuations."""
+    periods = land(fu.fold_periods(t.statements), "periods")
+    return land(market_rows(t, (DAY,), periods), "market-rows"), periods
+
+
+def produced_rows(inputs):
     """The library's valuation on one date, landed because several comparisons read it."""
     from tidemark.functions import valuation as V
 
-    v = va.value_companies(market_rows(t, (DAY,)), P).filter("dcf_error is null")
+    v = va.value_companies(inputs[0], P).filter("dcf_error is null")
     flows = {
         f"fcf_{y}": V.fcf_in("revenue", "growth", "margin", "tax_rate", F.lit(float(y)), P)
         for y in range(1, 6)
@@ -38,27 +44,33 @@ def produced_rows(t):
     return land(v.withColumns(flows), "produced")
 
 
-def second_inputs(t):
-    income = fu.statement_periods(t.statements.filter("statement = 'income'"))
+def second_inputs(inputs):
+    rows, periods = inputs
+    income = fu.statement_periods(periods.filter("statement = 'income'"))
     history = income.filter("revenue is not null").select(
         "ticker", F.unix_date("period_end").alias("day_no"), "revenue", "ebit"
     )
-    latest = market_rows(t, (DAY,)).select(
+    latest = rows.select(
         "ticker", "pretax", "tax_provision", "interest", "total_debt", "cash", "price", "shares",
         "beta", "risk_free",
     )
     return history, latest
 
 
-def expected_rows(t, rule="periods"):
+def expected_rows(inputs, rule="periods"):
     """The second formulation; counting periods instead of days makes small real gaps."""
-    history, latest = second_inputs(t)
+    history, latest = second_inputs(inputs)
     return land(so.second_dcf(history, latest, rule).filter("wacc is not null"), "expected")
 
 
-def base_comparison(t):
-    produced = rc.melt_metrics(produced_rows(t), PRODUCED)
-    return rc.compare(produced, rc.melt_metrics(expected_rows(t), EXPECTED))
+def both_sides(t):
+    inputs = landed_inputs(t)
+    return produced_rows(inputs), expected_rows(inputs)
+
+
+def base_comparison(sides):
+    produced, expected = sides
+    return rc.compare(rc.melt_metrics(produced, PRODUCED), rc.melt_metrics(expected, EXPECTED))
 
 
 def _cells(df, prefix=""):
@@ -67,16 +79,16 @@ def _cells(df, prefix=""):
                      *[F.col(f"{prefix}{n}").alias(n) for n in names])
 
 
-def cell_comparison(t):
-    produced = se.melt(_cells(se.sensitivity(produced_rows(t), P))).drop("as_of")
-    expected = se.melt(_cells(so.second_cells(expected_rows(t)), "cell_")).drop("as_of")
+def cell_comparison(sides):
+    produced = se.melt(_cells(se.sensitivity(sides[0], P))).drop("as_of")
+    expected = se.melt(_cells(so.second_cells(sides[1]), "cell_")).drop("as_of")
     return land(rc.compare_cells(produced, expected), "cells")
 
 
 @query(money=("terminal_value", "pv_explicit_fcf", "pv_terminal_value", "enterprise_value",
               "equity_value"))
 def x23_second_dcf(t):
-    history, latest = second_inputs(t)
+    history, latest = second_inputs(landed_inputs(t))
     v = so.second_dcf(history, latest, "days")
     return v.select("ticker", "raw_cagr", "capped_cagr", "avg_margin", "tax_used", "tax_method",
                     "debt_cost_used", "debt_method", "raw_wacc", "wacc", "terminal_value",
@@ -90,8 +102,9 @@ COMPARED_MONEY = ("produced", "expected", "absolute_difference")
 @query(money=COMPARED_MONEY)
 def j12_full_outer_compare(t):
     """One side loses some rows, which must show as unmatched."""
-    produced = rc.melt_metrics(produced_rows(t), PRODUCED).filter("ticker not like '%5'")
-    expected = rc.melt_metrics(expected_rows(t), EXPECTED).filter("ticker not like '%7'")
+    produced, expected = both_sides(t)
+    produced = rc.melt_metrics(produced, PRODUCED).filter("ticker not like '%5'")
+    expected = rc.melt_metrics(expected, EXPECTED).filter("ticker not like '%7'")
     return rc.compare(produced, expected).select(
         "ticker", "metric", "produced", "expected", "passed"
     )
@@ -99,19 +112,20 @@ def j12_full_outer_compare(t):
 
 @query(money=COMPARED_MONEY)
 def l3_tolerance_compare(t):
-    return base_comparison(t).select("ticker", "metric", "difference_kind", "tolerance", "passed")
+    return base_comparison(both_sides(t)).select("ticker", "metric", "difference_kind", "tolerance", "passed")
 
 
 @query()
 def l5_base_reconciliation(t):
-    return rc.first_divergence(base_comparison(t))
+    return rc.first_divergence(base_comparison(both_sides(t)))
 
 
 def shifted_comparison(t):
     """The discount rate of every tenth company is one point off."""
-    off = produced_rows(t).withColumn("wacc", F.col("wacc") + F.when(
+    produced, expected = both_sides(t)
+    off = produced.withColumn("wacc", F.col("wacc") + F.when(
         F.substring("ticker", -1, 1) == "3", 0.01).otherwise(0.0))
-    return rc.compare(rc.melt_metrics(off, PRODUCED), rc.melt_metrics(expected_rows(t), EXPECTED))
+    return rc.compare(rc.melt_metrics(off, PRODUCED), rc.melt_metrics(expected, EXPECTED))
 
 
 @query()
@@ -122,23 +136,23 @@ def w15_first_divergence(t):
 @query()
 def a13_directional_bias(t):
     """Both sides are sums in different orders, so differences of a billionth are left out."""
-    return rc.directional_bias(base_comparison(t), noise=1e-9)
+    return rc.directional_bias(base_comparison(both_sides(t)), noise=1e-9)
 
 
 @query()
 def l4_cell_compare(t):
-    return cell_comparison(t).select("ticker", "table_no", "pos", "output", "kind", "passed")
+    return cell_comparison(both_sides(t)).select("ticker", "table_no", "pos", "output", "kind", "passed")
 
 
 @query()
 def a15_coverage(t):
-    return rc.coverage(cell_comparison(t))
+    return rc.coverage(cell_comparison(both_sides(t)))
 
 
 @query()
 def w14_monotonic(t):
     """Value per share falls along the WACC axis and rises along the others, for positive flows."""
-    cells = se.sensitivity(produced_rows(t), P, tables=(1, 2, 3, 4))
+    cells = se.sensitivity(produced_rows(landed_inputs(t)), P, tables=(1, 2, 3, 4))
     rows = cells.withColumn("rising", F.col("table_no") != 1)
     out = rc.monotonic(rows.select("ticker", "table_no", "pos", "intrinsic_value", "rising"),
                        ("ticker", "table_no"), "pos", "intrinsic_value", "rising")
@@ -147,7 +161,7 @@ def w14_monotonic(t):
 
 @query()
 def l6_sensitivity_reconciliation(t):
-    c = cell_comparison(t)
+    c = cell_comparison(both_sides(t))
     return c.groupBy("ticker").agg(
         F.count(F.lit(1)).alias("scalars"), F.count_if(~F.col("passed")).alias("failures"),
         F.bool_and("passed").alias("all_passed"),
@@ -161,12 +175,13 @@ def a14_verdict(t):
 
 @query()
 def l16_reconciliation_run(t):
-    return rc.verdict(base_comparison(t), cell_comparison(t))
+    sides = both_sides(t)
+    return rc.verdict(base_comparison(sides), cell_comparison(sides))
 
 
 @query()
 def l7_error_injection(t):
-    return rc.mutation_check(produced_rows(t)).select(
+    return rc.mutation_check(produced_rows(landed_inputs(t))).select(
         "ticker", "metric", "difference", "tolerance", "detected"
     )
 

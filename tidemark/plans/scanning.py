@@ -6,18 +6,20 @@ from pyspark.sql import functions as F
 
 from tidemark import fixtures as fx
 from tidemark.operators import asof, evaluate, lookup, scan, screens
+from tidemark.operators.fundamentals import fold_periods
 from tidemark.params import GateParams
 from tidemark.plans.common import landed_valuations, market_rows
 from tidemark.plans.registry import query
 from tidemark.plans.selection import valuation_requests
+from tidemark.session import land
 
 # Prices are sparse here, so the momentum gate looks at a year instead of three months.
 GATES = GateParams(rsi_months=12)
 NOW = "2001-07-01 12:00:00"
 
 
-def scores(t, dates=fx.AS_OF):
-    v = landed_valuations(t, dates)
+def scores(t, dates=fx.AS_OF, statements=None):
+    v = landed_valuations(t, dates, statements=statements)
     return scan.score(v, scan.sector_medians(v))
 
 
@@ -63,8 +65,6 @@ def quoted_valuations(t, as_of=fx.AS_OF[1]):
 
 @query()
 def a4_universe_snapshot(t):
-    from tidemark.session import land
-
     v = land(quoted_valuations(t), "quoted")
     totals = v.groupBy("as_of").agg(
         F.count(F.lit(1)).alias("universe_size"),
@@ -170,8 +170,9 @@ def x17_yield_blend(t):
 
 def daily_scan(t, as_of=fx.AS_OF[1]):
     """Value all, medians on the unscreened set, score, gate, blend."""
-    signals = screens.entry_signals(t.companies, t.statements, t.company_prices, as_of, GATES)
-    gated = scan.apply_gates(scores(t, (as_of,)), signals, GATES)
+    periods = land(fold_periods(t.statements), "periods")
+    signals = screens.entry_signals(t.companies, periods, t.company_prices, as_of, GATES)
+    gated = scan.apply_gates(scores(t, (as_of,), periods), signals, GATES)
     return scan.blend_with_yield(gated)
 
 
@@ -185,8 +186,6 @@ def p11_daily_scan(t):
 
 def stored_snapshot(t, as_of=fx.AS_OF[1]):
     """The scan's own medians as a stored document, read back."""
-    from tidemark.session import land
-
     v = land(quoted_valuations(t, as_of), "quoted")
     m = scan.sector_medians(v)
     totals = v.groupBy("as_of").agg(
