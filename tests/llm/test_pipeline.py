@@ -85,6 +85,24 @@ def test_hot_group_of_near_copies(spark):
     assert {r.doc_id for r in near.near_duplicates(df).collect()} == want and len(want) < 15
 
 
+def test_last_comparison_lets_out_each_alike_pair_once(spark):
+    rnd, by = random.Random(21), near.band_hashes(0.8)
+    passage, words = ([f"w{rnd.randrange(5000)}" for _ in range(n)] for n in (100, 150))
+    texts = [" ".join(passage + [f"w{rnd.randrange(5000)}" for _ in range(50)]) for _ in range(60)]
+    texts += [" ".join(edited(rnd, words, 0.02)) for _ in range(80)] + ["a b", "a b", "w w w w w w w", "w w w w w w w w"]
+    sets = [near.shingle_set(t, 5) for t in texts]
+    rows = [(bucket, i, i // 2, (len(x), *near.sketch_of(near.least_hashes(x, by)).tolist()))
+            for i, x in enumerate(sets) for bucket in (7, 9)]
+    df = spark.createDataFrame(rows, "bucket long, node long, root long, sketch struct<n:int,s0:long,s1:long,s2:long,s3:long>")
+    texts = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    got = near.alike_members(df, texts, 5, 0.8, near.sketch_cut(by.size, 0.8)).collect()
+    sets = [set(x.tolist()) for x in sets]
+    alike = {(i, j) for j, y in enumerate(sets) for i, x in enumerate(sets[:j])
+             if i // 2 < j // 2 and len(x & y) >= 0.8 * len(x | y)}
+    assert sorted((r.a, r.b) for r in got) == sorted(alike) and len(alike) > 100
+    assert all((r.a_root, r.b_root) == (r.a // 2, r.b // 2) for r in got)
+
+
 def test_sketches_let_alike_pairs_through():
     rnd, by = random.Random(5), near.band_hashes(0.8)
     cut = near.sketch_cut(by.size, 0.8)
