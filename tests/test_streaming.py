@@ -178,3 +178,25 @@ def test_values_shown_on_a_stream_equal_batch(spark, tmp_path):
     want = latest.latest_fresh(df, ["user"], "price", "at", F.lit(now), 300).collect()
     assert got == {(r.user, r["at"]) for r in want} and 0 < len(got) < 12
     assert changes.where("not shown and user = 'old'").count() == 1          # forgotten when its time had passed
+
+
+def test_ages_of_the_stream_are_whole_seconds_as_in_its_sql(spark, tmp_path):
+    import duckdb
+
+    from oracle.queries import load
+    from tidemark import plans
+
+    now, second = datetime(2024, 1, 30), timedelta(seconds=1)
+    at = [now - 13 * 3600 * second, now - 43_200 * second, now - 43_200 * second + 0.5 * second, now - 43_199 * second,
+          now - 5 * second, now, now + 0.5 * second, now + second]
+    cells = [(i, t, i, "click", float(i)) for i, t in enumerate(at)] + [(20, at[6], 4, "purchase", 40.0)]
+    spark.createDataFrame(cells, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").write.parquet(
+        f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    for name in ("t2_latest_fresh", "t2_latest_fresh_stream"):
+        result = con.execute(load()[name])
+        names = [c[0] for c in result.description]
+        want = sorted(result.fetchall())
+        got = plans.load()[name](spark, str(tmp_path)).select(names).collect()
+        assert sorted(tuple(r) for r in got) == want and {3, 4, 5, 6} == {dict(zip(names, r))["user_id"] for r in want}

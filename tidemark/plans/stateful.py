@@ -74,11 +74,12 @@ def t1_attempt_limit_stream(t):
 
 @query()
 def t2_latest_fresh_stream(t):
-    """What a stream of the events up to a moment shows at it."""
+    """What a stream of the events up to a moment shows at it; that moment and all ages are whole seconds."""
     e = t.raw("events").where(F.unix_seconds(F.col("ts").cast("timestamp")) <= NOW)
     rows = e.where("event_type <> 'view'").select("user_id", "value", "ts")
     changes = caught_up(flows.latest_stream(as_stream(rows, "seen"), "user_id", "value", "ts", TTL), "shown", "update")
-    return flows.shown_at(changes, "user_id", "value", NOW * 1_000_000, TTL).select(
+    end = NOW * 1_000_000 + 999_999         # the last microsecond of the second
+    return flows.shown_at(changes, "user_id", "value", end, TTL).select(
         "user_id", "value", F.call_function("div", "at_us", F.lit(1_000_000)).alias("seen_at"))
 
 
