@@ -103,6 +103,36 @@ def test_last_comparison_lets_out_each_alike_pair_once(spark):
     assert all((r.a_root, r.b_root) == (r.a // 2, r.b // 2) for r in got)
 
 
+def test_close_fingerprints_link_texts_that_share_no_band(spark, monkeypatch):
+    monkeypatch.setattr(near, "MISSED", 0.9)        # one band, which every twentieth of these pairs does not share
+    rnd, texts = random.Random(31), []
+    for _ in range(240):
+        words = [f"w{rnd.randrange(5000)}" for _ in range(600)]
+        texts += [" ".join(words), " ".join(words[:300] + ["other"] + words[301:])]
+    code, by = [int(near.simhash.signature(near.shingle_hashes(t, 3))[0]) for t in texts], near.band_hashes(0.8)
+    assert len(by) == 1
+    close = [i for i in range(0, len(texts), 2) if (code[i] ^ code[i + 1]).bit_count() <= 2]
+    band = [near.least_hashes(near.shingle_set(t, 5), by).tobytes() for t in texts]
+    assert sum(band[i] != band[i + 1] for i in close) >= 3
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id for r in near.near_duplicates(df).collect()}
+    assert not got & {i + 1 for i in close} and got >= set(range(0, len(texts), 2))
+
+
+def test_groups_of_op2_are_buckets(spark, data_dir):
+    docs = queries.table(spark, data_dir, "documents")
+    want = {}
+    for r in queries.op2_simhash(spark, data_dir).collect():
+        want.setdefault(r.component_id, set()).add(r.doc_id)
+    nodes = near.simhash.fingerprints(docs).select(
+        F.col("doc_id").alias("node"), F.lit(1).alias("sketch"), F.array("code", "code").alias("codes"))
+    got = {}
+    for r in near.group_buckets(nodes).collect():
+        got.setdefault(r.bucket, []).append(r.node)
+    assert {k: set(v) for k, v in got.items()} == want and sum(map(len, got.values())) == docs.count()
+    assert any(len(v) > 1 for v in want.values())
+
+
 def test_sketches_let_alike_pairs_through():
     rnd, by = random.Random(5), near.band_hashes(0.8)
     cut = near.sketch_cut(by.size, 0.8)

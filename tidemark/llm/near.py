@@ -1,8 +1,10 @@
-"""Near-duplicates at a Jaccard similarity of shingles, by bands of min-hashes.
+"""Near-duplicates at a Jaccard similarity of shingles, by SimHash groups and bands of min-hashes.
 
-Texts with an equal band fall into one bucket. A bucket is solved when its texts are one component;
+The SimHash codes of the texts go through the trie self-join of simhash.py, and each group it makes is a
+bucket. Those codes agree only for very alike texts, so texts with an equal band of min-hashes fall into
+one bucket as well: the bands add what the codes leave out. A bucket is solved when its texts are one component;
 until then it links its members, in turns, to one of them. Bands come in a few rounds: what the first
-band has tied together needs no comparison in the next, so a large group is compared about once, not
+round has tied together needs no comparison in the next, so a large group is compared about once, not
 once a band. Only unsolved buckets are carried on, and only what a turn has linked anew is contracted.
 A sketch of two bits a min-hash stands beside each member and rules out unlike pairs before any text
 is fetched; what is left is verified by the shingles themselves. In buckets that no turn solves each
@@ -18,13 +20,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidemark.llm import simhash
 from tidemark.llm.components import components
 from tidemark.llm.simhash import shingle_hashes
 from tidemark.session import land
 
 BAND_HASHES = 5             # min-hashes of a band
 MISSED = 1e-4               # of pairs just at the similarity, in no bucket together
-ROUNDS = (1, 3, 8)          # bands of the first rounds: 0, then 1 and 2, then 3 to 7; the rest last
+ROUNDS = (1, 3, 8)          # bands of the first rounds: 0 and the groups, then 1 and 2, then 3 to 7; the rest last
 TURNS = 2                   # most turns in a round, before what is left waits for the next
 SKETCHED, SKETCH_LONGS = 128, 4
 CACHED_HASHES = 4_000_000
@@ -208,13 +211,24 @@ def _open(named: DataFrame, turn: int) -> tuple[DataFrame, bool]:
     return rows, rows.isEmpty()
 
 
+def group_buckets(nodes: DataFrame) -> DataFrame:
+    """band, bucket, node and sketch: the groups that SimHash codes at two differing bits or fewer make.
+
+    nodes has node, sketch and codes, those of all texts of the node. The groups come with the first band.
+    """
+    codes = nodes.select("node", F.explode("codes").alias("code"))
+    groups = simhash.groups(codes, id_col="node").select(
+        F.col("doc_id").alias("node"), F.col("component_id").alias("bucket")).distinct()
+    return groups.join(nodes.select("node", "sketch"), "node").select(F.lit(0).alias("band"), "bucket", "node", "sketch")
+
+
 def near_duplicates(df: DataFrame, size: int = 5, similarity: float = 0.8,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df without near copies: of each group the row with the smallest id stays.
 
     Texts are linked if their sets of shingles have this Jaccard similarity at least. Candidates are
-    pairs that share a band of min-hashes, which at most MISSED of the pairs just at the similarity
-    do not, and whose sketches are no more than SPREAD deviations off (about one pair in three
+    pairs that share a SimHash group or a band of min-hashes, which at most MISSED of the pairs just at
+    the similarity do not, and whose sketches are no more than SPREAD deviations off (about one pair in three
     million); they are verified by the sets themselves. Texts without words, null ones too, are copies
     of each other; null ids come last; of repeated rows one stays. Rows and sets are told apart by
     hashes of 128 bits. Columns may have any names.
@@ -243,12 +257,12 @@ def near_duplicates(df: DataFrame, size: int = 5, similarity: float = 0.8,
     key = F.struct(F.xxhash64(*parts).alias("k1"), F.xxhash64(F.lit(1), *reversed(parts)).alias("k2"))
     whole = df.select(F.struct(*df.columns).alias("row"), key.alias("key"), F.col(text_col).alias("text"),
                       F.col(id_col).alias("doc_id"))
-    signed = whole.select("key", "doc_id", signatures("text").alias("s"))
+    signed = simhash.fingerprints(whole).select("key", "doc_id", "code", signatures("text").alias("s"))
     nodes = land(signed.groupBy(F.col("s.digest").alias("digest")).agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key")).alias("best"),
-        F.min("s.bands").alias("bands"), F.min("s.sketch").alias("sketch")).withColumn(
+        F.min("s.bands").alias("bands"), F.min("s.sketch").alias("sketch"), F.collect_set("code").alias("codes")).withColumn(
         "node", F.monotonically_increasing_id()).drop("digest"), "signatures")
-    rows = nodes.select("node", "sketch", F.posexplode("bands").alias("band", "bucket"))
+    rows = nodes.select("node", "sketch", F.posexplode("bands").alias("band", "bucket")).unionByName(group_buckets(nodes))
     shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     members = land(rows.join(shared, "bucket"), "bucket-members")
     wanted = nodes.join(members.select("node").distinct(), "node").select("node", F.col("best.key").alias("key"))
