@@ -7,23 +7,24 @@ from pyspark.sql import DataFrame, functions as F
 from tidemark.session import land
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """node and root, the smallest node reachable, for each end of an edge (columns a, b).
 
     Large and small stars take turns until nothing changes, about the logarithm of the longest path
     in rounds. Minima are partial aggregates joined back by key, so the centre of a star is a join
-    key that Spark can split, not a gathered group. The driver sees two numbers a round.
+    key that Spark can split, not a gathered group. The driver sees three numbers a round. rows is the
+    most edges there are, if that is known.
     """
-    edges = land(_pairs(edges), "edges")
+    edges = land(_pairs(edges), "edges", rows)
     state = _state(edges)
     while True:
         around = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = around.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
         large = around.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = land(_pairs(large), "edges")
+        large = land(_pairs(large), "edges", state[0])
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = land(_pairs(small.unionByName(least.withColumnRenamed("m", "b"))), "edges")
+        edges = land(_pairs(small.unionByName(least.withColumnRenamed("m", "b"))), "edges", state[0])
         before, state = state, _state(edges)
         if state == before:
             break

@@ -111,33 +111,35 @@ def _close(left: str, right: str, similarity: float, cut: int) -> Column:
 
 
 class _Links:
-    """Components found so far: roots has node and root of the nodes with a link."""
+    """Components found so far: roots has node and root of the nodes with a link, most at most."""
 
-    def __init__(self, texts: DataFrame, size: int, similarity: float):
-        self.texts, self.size, self.similarity, self.roots = texts, size, similarity, None
+    def __init__(self, texts: DataFrame, size: int, similarity: float, most: int):
+        self.texts, self.size, self.similarity, self.most, self.roots = texts, size, similarity, most, None
 
     def name(self, rows: DataFrame) -> DataFrame:
         if self.roots is None:
             return rows.withColumn("root", F.col("node"))
         return rows.join(self.roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
-    def add(self, pairs: DataFrame) -> bool:
-        """Verifies pairs a, b with their roots and ties components together; whether any was tied."""
-        return self.tie(_alike(pairs, self.texts, self.size, self.similarity))
+    def add(self, pairs: DataFrame, most: int) -> bool:
+        """Verifies pairs a, b with their roots, most at most, and ties components together; whether any was tied."""
+        return self.tie(_alike(pairs, self.texts, self.size, self.similarity), most)
 
-    def tie(self, pairs: DataFrame) -> bool:
+    def tie(self, pairs: DataFrame, most: int | None = None) -> bool:
         """Ties the components of verified pairs together; whether any was tied."""
-        new = land(pairs.select("a_root", "b_root").distinct(), "near-links")
-        if new.isEmpty():
+        new = land(pairs.select("a_root", "b_root").distinct(), "near-links", most)
+        n = new.count()
+        if not n:
             return False
-        moved = land(components(new.select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))), "near-moves")
+        moved = land(components(new.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")), n),
+                     "near-moves", 2 * n)
         if self.roots is None:
             self.roots = moved
             return True
         moves = moved.select(F.col("node").alias("root"), F.col("root").alias("to"))
         old = self.roots.join(moves, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
         fresh = moved.join(self.roots, "node", "left_anti")
-        self.roots = land(old.unionByName(fresh.select("node", "root")), "near-roots")
+        self.roots = land(old.unionByName(fresh.select("node", "root")), "near-roots", self.most)
         return True
 
 
@@ -176,39 +178,40 @@ def near_links(members: DataFrame, texts: DataFrame, bands: int, size: int, simi
 
     members has columns band, bucket, node and sketch, texts has node and text.
     """
-    links, waiting = _Links(texts, size, similarity), None
+    most = members.count()
+    links, waiting = _Links(texts, size, similarity, most), None
     cut = sketch_cut(bands * BAND_HASHES, similarity)
     edges = sorted({0, bands, *(r for r in ROUNDS if r < bands)})
     for low, high in zip(edges, edges[1:]):
         rows = members.where(F.col("band").between(low, high - 1)).select("bucket", "node", "sketch")
         rows = rows if waiting is None else rows.unionByName(waiting)
         for turn in range(TURNS):
-            rows, empty = _open(links.name(rows), turn)
-            if empty:
+            rows, n = _open(links.name(rows), turn, most)
+            if not n:
                 break
             near = rows.where("root != rep.root").where(_close("sketch", "rep.sketch", similarity, cut))
             pairs = near.select(F.col("node").alias("a"), F.col("rep.node").alias("b"),
                                 F.col("root").alias("a_root"), F.col("rep.root").alias("b_root")).distinct()
-            found = links.add(pairs)
+            found = links.add(pairs, n)
             rows = rows.select("bucket", "node", "sketch")
             if not found:
                 break
         waiting = rows.select("bucket", "node", "sketch")
-    rows, empty = _open(links.name(waiting), TURNS)
-    if not empty:           # no turn ties these together: each component against the others
+    rows, n = _open(links.name(waiting), TURNS, most)
+    if n:                   # no turn ties these together: each component against the others
         links.tie(alike_members(rows, texts, size, similarity, cut))
     return links.roots
 
 
-def _open(named: DataFrame, turn: int) -> tuple[DataFrame, bool]:
+def _open(named: DataFrame, turn: int, most: int) -> tuple[DataFrame, int]:
     """Members of the buckets with more than one root, each with a member of its bucket drawn anew;
-    and whether there is none."""
-    named = land(named.select("bucket", "node", "root", "sketch"), "near-members")
+    and how many there are, most at most."""
+    named = land(named.select("bucket", "node", "root", "sketch"), "near-members", most)
     draw = F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "root", "sketch")
     buckets = named.groupBy("bucket").agg(
         F.min("root").alias("low"), F.max("root").alias("high"), F.min(draw).alias("rep")).where("low != high")
-    rows = land(named.join(buckets.select("bucket", "rep"), "bucket"), "near-open")
-    return rows, rows.isEmpty()
+    rows = land(named.join(buckets.select("bucket", "rep"), "bucket"), "near-open", most)
+    return rows, rows.count()
 
 
 def group_buckets(nodes: DataFrame) -> DataFrame:
