@@ -1,6 +1,9 @@
 """Multi-index hashing against comparing each query with every row."""
 
 import random
+import re
+
+import pytest
 
 from tidemark.llm import hamming, queries
 
@@ -39,3 +42,33 @@ def test_codes_of_odd_vectors(spark):
     got = {r.vec_id: r.code for r in hamming.codes(df).collect()}
     assert got[1] is None and got[2] == got[3] == 0 and got[4] not in (0, None)
     assert hamming.codes(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("held, asked, candidates", [(1 << 15, 1 << 10, 1 << 20), (64, 16, 256), (4, 3, 1)])
+def test_far_neighbours_without_rows_of_probes(spark, monkeypatch, held, asked, candidates):
+    """Unlike codes ask for radii with many flips; rows only name the high bits that a query visits."""
+    for name, value in (("HELD", held), ("ASKED", asked), ("CANDIDATES", candidates)):
+        monkeypatch.setattr(hamming, name, value, raising=False)
+    lists, landed = [], hamming.land
+
+    def land(df, *args):
+        lists.extend(re.findall(r"explode\(\[([-\d,]*)\]", df._jdf.queryExecution().optimizedPlan().toString()))
+        return landed(df, *args)
+
+    monkeypatch.setattr(hamming, "land", land)
+    rnd = random.Random(8)
+    rows = [(i, rnd.getrandbits(64) - (1 << 63)) for i in range(500)]
+    rows += [(i, i << 52 | 7) for i in range(500, 540)]      # one value in most segments
+    df = spark.createDataFrame(rows, "vec_id long, code long")
+    got = hamming.top_k(df, df.where("vec_id % 20 = 0"), k=5).collect()
+    assert {tuple(r) for r in got} == slow(rows, [r for r in rows if r[0] % 20 == 0], 5)
+    if held > len(rows):
+        assert lists and max(len(x.split(",")) for x in lists) == 1
+
+
+def test_ids_may_be_text(spark):
+    rnd = random.Random(9)
+    rows = [(f"v{i}", rnd.getrandbits(8)) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id string, code long")
+    got = hamming.top_k(df, df.where("vec_id like '%0'"), k=3).collect()
+    assert {tuple(r) for r in got} == slow(rows, [r for r in rows if r[0].endswith("0")], 3)

@@ -5,6 +5,11 @@ by one bit in one segment after the other: once the first i segments are probed
 the others up to r - 1, every code within segments * r + i - 1 bits is known, since a code further
 off in all of them has at least one bit more. Only queries whose k-th neighbour is not yet within
 that distance go on.
+
+Probes are no rows, as their number grows steeply with the radius. The buckets of a segment that agree
+in its high bits are held together in blocks, and rows say only which queries visit which high bits, at
+which radius in the low bits. A task takes one block of codes and one of queries, flips the low bits
+and looks the buckets up.
 """
 
 from __future__ import annotations
@@ -20,6 +25,9 @@ from tidemark.session import land
 
 SEED = 11
 STEP_PROBES = 256       # probes of a query before it is asked whether it is done
+HELD = 1 << 15          # codes in a block, about
+ASKED = 1 << 10         # queries in a block, about
+CANDIDATES = 1 << 20    # codes that a task compares at a time
 
 
 def codes(vectors: DataFrame, vec_col: str = "embedding", out_col: str = "code") -> DataFrame:
@@ -68,6 +76,107 @@ def _steps(widths: list[int]) -> list[tuple[int, list[int]]]:
     return steps
 
 
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _flips(first: int, width: int, bits: int) -> list[int]:
+    """All ways to set so many of the bits from the first on."""
+    return [sum(1 << first + b for b in c) for c in combinations(range(width), bits)]
+
+
+def _blocks(rows: DataFrame, parts: DataFrame, size: int, block: str, code: str) -> DataFrame:
+    """Adds the number of a row's block among those of its segment and value; parts counts the latter's rows."""
+    return rows.join(parts, ["segment", "value"]).withColumn(
+        block, F.pmod(F.xxhash64(code), F.ceil(F.col("rows") / size)))
+
+
+def _index(known: DataFrame, cuts: list[tuple[int, int]], high: int) -> DataFrame:
+    """Blocks of codes, by first id, for each segment and each value of its high bits."""
+    tops = [F.col("code").bitwiseAND(F.lit(_top(cut, high)).cast("long")) for cut in cuts]
+    spread = known.select("*", F.explode(F.array(*[
+        F.struct(F.lit(i).alias("segment"), top.alias("value")) for i, top in enumerate(tops)
+    ])).alias("s")).select("first", "code", "members", "s.*")
+    parts = land(spread.groupBy("segment", "value").agg(F.count("*").alias("rows")), "code-blocks", len(cuts) << high)
+    return land(_blocks(spread, parts, HELD, "block", "code").groupBy("segment", "value", "block").agg(
+        F.array_sort(F.collect_list(F.struct("first", "code", "members"))).alias("held")), "index")
+
+
+def _top(cut: tuple[int, int], high: int) -> int:
+    """Mask of the high bits of a segment."""
+    a, w = cut
+    return _signed((1 << a + w) - (1 << a + max(0, w - high)))
+
+
+def visits(asked: DataFrame, cuts: list[tuple[int, int]], high: int, segments: list[int], radius: int) -> DataFrame:
+    """Each query with each value of high bits that has buckets at the radius, and the radius left for the low bits."""
+    out = None
+    for i in segments:
+        a, w = cuts[i]
+        low = max(0, w - high)
+        flips = [x for n in range(max(0, radius - low), min(radius, w - low) + 1) for x in _flips(a + low, w - low, n)]
+        if not flips:
+            continue
+        some = asked.select("*", F.lit(i).alias("segment"),
+                            F.explode(F.lit(np.array([_signed(x) for x in flips], np.int64))).alias("value"))
+        some = some.withColumn("radius", F.lit(radius) - F.bit_count("value")).withColumn(
+            "value", F.col("value").bitwiseXOR(F.col("q").bitwiseAND(F.lit(_top(cuts[i], high)).cast("long"))))
+        out = some if out is None else out.unionByName(some)
+    return out
+
+
+def _search(cuts: list[tuple[int, int]], high: int, radius: int, k: int):
+    """Of each block of codes the k nearest of each query that differ by the radius in their closest segment."""
+    masks = [np.uint64(((1 << w) - 1) << a) for a, w in cuts]
+
+    def search(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                yield from found(*(batch.column(c)[row] for c in ("segment", "asked", "held")))
+
+    def found(segment, asked, held):
+        i, asked, held = segment.as_py(), asked.values, held.values
+        a, w = cuts[i]
+        low = max(0, w - high)
+        codes = held.field("code").to_numpy().view(np.uint64)
+        below = np.uint64((1 << low) - 1)
+        value = (codes >> np.uint64(a) & below).astype(np.int64)
+        order = np.argsort(value, kind="stable")
+        starts = np.searchsorted(value[order], np.arange((1 << low) + 1))
+        queries = asked.field("q").to_numpy().view(np.uint64)
+        most, left = asked.field("most").to_numpy(), asked.field("radius").to_numpy()
+        for r in np.unique(left).tolist():
+            flips = np.array(_flips(0, low, r), np.int64)
+            some = np.flatnonzero(left == r)
+            step = max(1, CANDIDATES // max(len(codes), len(flips)))
+            for at in range(0, len(some), step):
+                part = some[at:at + step]
+                q = queries[part]
+                probes = (q >> np.uint64(a) & below).astype(np.int64)[:, None] ^ flips[None, :]
+                begin, n = starts[probes].ravel(), (starts[probes + 1] - starts[probes]).ravel()
+                ends = np.cumsum(n)
+                near = order[np.repeat(begin - ends + n, n) + np.arange(n.sum())]
+                by = np.repeat(np.arange(len(part)), n.reshape(probes.shape).sum(axis=1))
+                off = q[by] ^ codes[near]
+                distance = np.bitwise_count(off)
+                keep = distance <= most[part][by]
+                # each code comes up once: by its closest segment, the first of several
+                for j, mask in enumerate(masks):
+                    if j != i:
+                        keep[keep] = np.bitwise_count(off[keep] & mask) >= radius + (j < i)
+                near, by, distance = near[keep], by[keep], distance[keep]
+                rank = np.lexsort((near, distance, by))     # held is by first id
+                near, by, distance = near[rank], by[rank], distance[rank]
+                best = np.arange(len(by)) - np.searchsorted(by, by) < k
+                hits = held.take(pa.array(near[best]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(q[by[best]].view(np.int64)), hits.field("code"), hits.field("first"),
+                     hits.field("members"), pa.array(distance[best].astype(np.int32))],
+                    ["q", "code", "first", "members", "distance"])
+
+    return search
+
+
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id",
           code_col: str = "code") -> DataFrame:
     """query_id, rank, neighbour_id and distance: the k nearest rows of each query, itself left out.
@@ -83,49 +192,37 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_i
     by_code = Window.partitionBy("code").orderBy("id")
     members = rows.withColumn("n", F.row_number().over(by_code)).where(f"n <= {k + 1}").select("id", "code")
     known = land(rows.groupBy("code").agg(F.min("id").alias("first"), F.count("*").alias("members")), "codes")
-    total = rows.count()
-    cuts = _segments(known.count())
-    masks = [((1 << w) - 1) << a for a, w in cuts]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-
-    def part(code, i):
-        return F.col(code).bitwiseAND(F.lit(signed[i]).cast("long"))
-
-    index = land(known.select("*", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("segment"), part("code", i).alias("value")) for i in range(len(cuts))
-    ])).alias("s")).select("code", "first", "members", "s.*"), "index")
-    open_, best, closed = queries.select(F.col("code").alias("q")).distinct(), None, []
-    off = F.col("q").bitwiseXOR(F.col("code"))
-    by_segment = [F.bit_count(off.bitwiseAND(F.lit(m).cast("long"))) for m in signed]
-    # each code comes up once: by its closest segment, the first of several
-    home = F.array_position(F.array(*by_segment), F.least(*by_segment) if len(cuts) > 1 else by_segment[0]) - 1
+    total, n = rows.count(), known.count()
+    cuts = _segments(n)
+    high = min(max(w for _, w in cuts), (n // HELD).bit_length())
+    index = _index(known, cuts, high)
+    schema = f"q long, code long, first {known.schema['first'].dataType.simpleString()}, members long, distance int"
+    open_, best, closed = queries.select(F.col("code").alias("q"), F.lit(64).alias("most")).distinct(), None, []
     near = Window.partitionBy("q").orderBy("distance", "first")
     for radius, segments in _steps([w for _, w in cuts]):
-        probes = None
-        for i in segments:
-            a, w = cuts[i]
-            flips = [sum(1 << a + b for b in c) for c in combinations(range(w), radius)]
-            flips = [x - (1 << 64) if x >> 63 else x for x in flips]
-            own = part("q", i)
-            if flips:
-                some = open_.select("q", F.lit(i).alias("segment"),
-                    F.explode(F.lit(np.array(flips, np.int64))).alias("value"))
-                some = some.withColumn("value", F.col("value").bitwiseXOR(own))
-                probes = some if probes is None else probes.unionByName(some)
-        if probes is None:
+        asked = visits(open_, cuts, high, segments, radius)
+        if asked is None:
             continue
-        # the size of exploded probes is not known beforehand: neither side may be broadcast
-        found = probes.join(index.hint("shuffle_hash"), ["segment", "value"]).where(home == F.col("segment")).select(
-            "q", "code", "first", "members", F.bit_count(off).alias("distance"))
+        parts = land(asked.groupBy("segment", "value").agg(F.count("*").alias("rows")), "query-blocks",
+                     len(segments) << high)
+        asked = _blocks(asked, parts, ASKED, "ask", "q").groupBy("segment", "value", "ask").agg(
+            F.collect_list(F.struct("q", "most", "radius")).alias("asked"))
+        numbers = F.sequence(F.lit(0).cast("long"), F.ceil(F.col("rows") / ASKED) - 1)
+        held = index.where(F.col("segment").isin(segments)).join(parts, ["segment", "value"]).select(
+            "segment", "value", "held", F.explode(numbers).alias("ask"))
+        # neither side may be broadcast: each block of queries with each of codes is work of its own
+        found = held.join(asked.hint("shuffle_hash"), ["segment", "value", "ask"]).select(
+            "segment", "asked", "held").mapInArrow(_search(cuts, high, radius, k + 1), schema)
         if best is not None:
             found = found.unionByName(best.join(open_, "q", "left_semi"))
         best = land(found.withColumn("n", F.row_number().over(near)).where(f"n <= {k + 1}").drop("n"), "nearest")
         covered = len(cuts) * radius + segments[-1]
-        enough = best.where(F.col("distance") <= covered).groupBy("q").agg(F.sum("members").alias("n"))
-        done = enough.where(F.col("n") >= min(k + 1, total)).select("q")
-        closed.append(best)
-        left = land(open_.join(done, "q", "left_anti"), "open-queries")
-        closed[-1] = best.join(left, "q", "left_anti")
+        state = best.groupBy("q").agg(
+            F.sum(F.when(F.col("distance") <= covered, F.col("members")).otherwise(0)).alias("n"),
+            F.when(F.sum("members") > k, F.max("distance")).alias("worst"))
+        left = land(open_.join(state, "q", "left").where(F.coalesce("n", F.lit(0)) < min(k + 1, total)).select(
+            "q", F.coalesce("worst", "most").alias("most")), "open-queries")
+        closed.append(best.join(left, "q", "left_anti"))
         open_ = left
         if open_.isEmpty():
             break
